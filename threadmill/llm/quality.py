@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,75 +71,106 @@ def latent(model: Model, texts: pa.Array) -> np.ndarray:
     return np.bincount(d, weights=model.weights[b] * v, minlength=len(shape)) + shape @ model.weights[BUCKETS:]
 
 
-def fit(texts: list[str], grades: np.ndarray, n_grades: int, rounds: int = 250, l2: float = 1e-5) -> Model | None:
+@dataclass
+class Rows:
+    """Featurised documents: entries sorted by document, held small, as the driver fits on them."""
+
+    doc: np.ndarray  # int32
+    bucket: np.ndarray  # int32
+    value: np.ndarray  # float32
+    shape: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Rows:
+        parts = [features(p.column(0)) for p in slices(pa.record_batch([pa.array(texts, pa.large_string())], ["t"]), "t")]
+        sizes = np.cumsum([0] + [len(p[3]) for p in parts])
+        return cls(
+            np.concatenate([p[0] + at for p, at in zip(parts, sizes[:-1], strict=True)]).astype(np.int32), np.concatenate([p[1] for p in parts]).astype(np.int32),
+            np.concatenate([p[2] for p in parts]).astype(np.float32), np.concatenate([p[3] for p in parts]),
+        )
+
+
+def fit(rows: Rows, grades: np.ndarray, n_grades: int, rounds: int = 250, l2: float = 1e-5) -> Model | None:
     """Least negative log likelihood; None where there are fewer than two grades. The cut is set on
-    every fifth row, which is held out: the value with the best F1 for the top grade against the rest,
-    among those that keep at least 95 % of the held-out top grade."""
-    grades = np.asarray(grades, dtype=np.int64)
-    if len(set(grades.tolist())) < 2:
+    every fifth row, which is held out: the best F1 for the top grade against the rest, among
+    those that keep at least 95 % of the held-out top grade; the middle of the values that reach it."""
+    g = np.asarray(grades, dtype=np.int64)
+    if len(set(g.tolist())) < 2:
         return None
-    parts = [features(p.column(0)) for p in slices(pa.record_batch([pa.array(texts, pa.large_string())], ["t"]), "t")]
-    at, rows = 0, []
-    for d, *_, s in parts:
-        rows.append(d + at)
-        at += len(s)
-    d, b, v = np.concatenate(rows), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-    shape = np.concatenate([p[3] for p in parts])
-    held = np.arange(len(grades)) % 5 == 4 if len(grades) >= 50 else np.zeros(len(grades), bool)
+    held = np.arange(len(g)) % 5 == 4 if len(g) >= 50 else np.zeros(len(g), bool)
     train = ~held
-    inside = train[d]
-    td, tb, tv = d[inside], b[inside], v[inside]
+    n = train.sum()
     w, raw = np.zeros(BUCKETS + N_SHAPE), np.linspace(-1, 1, n_grades - 1)
     raw[1:] = np.log(np.diff(raw)) if n_grades > 2 else raw[1:]
     m, s = np.zeros(len(w) + len(raw)), np.zeros(len(w) + len(raw))
-    g = grades
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    latents = lambda: np.bincount(rows.doc, weights=w[rows.bucket] * rows.value, minlength=len(g)) + rows.shape @ w[BUCKETS:]
     for step in range(1, rounds + 1):
         t = np.cumsum(np.concatenate((raw[:1], np.exp(raw[1:]))))
-        z = np.bincount(td, weights=w[tb] * tv, minlength=len(g)) + shape @ w[BUCKETS:]
+        z = latents()
         edge = np.concatenate(([-40.0], t, [40.0]))
         hi, lo = sig(edge[g + 1] - z), sig(edge[g] - z)
         p = np.maximum(hi - lo, 1e-9)
         dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        dz = np.where(train, dhi - dlo, 0) / train.sum()
-        gw = np.concatenate([np.bincount(tb, weights=tv * dz[td], minlength=BUCKETS), shape.T @ dz]) + l2 * w
-        gt = np.zeros(n_grades - 1)
-        for j in range(n_grades - 1):
-            gt[j] = (-(dhi * (g == j) * train).sum() + (dlo * (g == j + 1) * train).sum()) / train.sum()
-        graw = np.concatenate(([gt.sum()], np.array([gt[j:].sum() for j in range(1, n_grades - 1)]) * np.exp(raw[1:])))
-        grad = np.concatenate([gw, graw])
+        dz = np.where(train, dhi - dlo, 0) / n  # rows held out pull nothing
+        gw = np.concatenate([np.bincount(rows.bucket, weights=rows.value * dz[rows.doc], minlength=BUCKETS), rows.shape.T @ dz]) + l2 * w
+        gt = np.array([(dlo * (g == j + 1) * train).sum() - (dhi * (g == j) * train).sum() for j in range(n_grades - 1)]) / n
+        grad = np.concatenate([gw, [gt.sum()], np.array([gt[j:].sum() for j in range(1, n_grades - 1)]) * np.exp(raw[1:])])
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad * grad
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
         w, raw = w - move[: len(w)], raw - move[len(w) :]
     model = Model(w, np.cumsum(np.concatenate((raw[:1], np.exp(raw[1:])))), 0.5)
     check = held if held.any() else train
-    z = np.bincount(d, weights=w[b] * v, minlength=len(g)) + shape @ w[BUCKETS:]
-    tail, good = sig(z - model.thresholds[-1])[check], (g == n_grades - 1)[check]
-    best = (-1.0, 0.5)
+    tail, good = sig(latents() - model.thresholds[-1])[check], (g == n_grades - 1)[check]
+    best: dict[float, list[float]] = {}
     for cut in np.unique(np.round(tail, 3)) if good.any() else []:
         hit = (tail >= cut) & good
         if hit.sum() >= 0.95 * good.sum():
-            best = max(best, (2 * hit.sum() / ((tail >= cut).sum() + good.sum()), float(cut)))
-    model.cut = min(best[1], 0.5)
+            best.setdefault(round(2 * hit.sum() / ((tail >= cut).sum() + good.sum()), 9), []).append(float(cut))
+    if best:
+        model.cut = float(np.mean(best[max(best)]))
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
-    """At most max_train labelled texts, those whose ids have the least hash; one label for each id
-    (the worst of several) and one text (the first in order of several)."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[Rows, np.ndarray]:
+    """Features of at most max_train labelled texts, those whose ids have the least hash, in order of
+    that hash; one label for each id (the worst of several) and one text (the first in order of
+    several). Texts are featurised where they are; the driver gets hashed numbers."""
     need_columns(labels, "doc_id", "quality", "toxic")
     lab = labels.where("doc_id is not null and quality is not null and toxic is not null")
     lab = lab.groupBy("doc_id").agg((F.least(F.min("quality"), F.lit(1)) + F.lit(1) - F.greatest(F.max("toxic"), F.lit(0))).cast("int").alias("grade"))
     lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     # the sample is bounded by max_train rows of two numbers each: small enough to broadcast
-    rows = texts.join(F.broadcast(lab), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("grade").alias("grade")).toPandas().sort_values("doc_id")
-    return rows["text"].tolist(), rows["grade"].to_numpy()
+    own = texts.join(F.broadcast(lab), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("grade").alias("grade"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                d, b, v, shape = features(part.column("text"))
+                off = pa.array(np.searchsorted(d, np.arange(part.num_rows + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("h"), part.column("grade"), pa.ListArray.from_arrays(off, pa.array(b, pa.int32())), pa.ListArray.from_arrays(off, pa.array(v, pa.float32())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * N_SHAPE, pa.int32()), pa.array(shape.reshape(-1))),
+                    ],
+                    ["h", "grade", "bucket", "value", "shape"],
+                )
+
+    schema = "h bigint, grade int, bucket array<int>, value array<float>, shape array<double>"
+    t = own.select(F.xxhash64("doc_id").alias("h"), "text", "grade").mapInArrow(run, schema).toArrow()
+    t = t.take(pa.compute.sort_indices(t, [("h", "ascending")])).combine_chunks()
+    if not t.num_rows:
+        return Rows.of([""]), np.zeros(0, np.int64)
+    column = lambda name: t.column(name).chunk(0)
+    sizes = np.diff(np.asarray(column("bucket").offsets))
+    rows = Rows(np.repeat(np.arange(t.num_rows, dtype=np.int32), sizes), np.asarray(column("bucket").flatten()), np.asarray(column("value").flatten()), np.asarray(column("shape").flatten()).reshape(-1, N_SHAPE))
+    return rows, np.asarray(column("grade"), dtype=np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
-    texts, grades = training_rows(docs, labels, max_train)
-    return fit(texts, grades, 3)
+    rows, grades = training_rows(docs, labels, max_train)
+    return fit(rows, grades, 3)
 
 
 def score(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None, max_train: int = MAX_TRAIN) -> DataFrame:
