@@ -62,10 +62,8 @@ class Index:
                 self.short[length] = (h[order], mine[order])
         for i in np.flatnonzero(np.diff(woff) >= k):
             h, _ = shingles(words[woff[i] : woff[i + 1]], np.array([0, woff[i + 1] - woff[i]]), k)
-            u = BLOCK
-            while u < len(h):
-                u *= 2
-            classes.setdefault(u, []).append((i, (h >> U64(32)).astype(np.uint32)))
+            for size in {len(h), len(np.unique(h))}:  # an item that repeats itself is in the class of its distinct shingles too
+                classes.setdefault(max(BLOCK, 1 << (size - 1).bit_length()), []).append((i, (h >> U64(32)).astype(np.uint32)))
         self.classes = {}
         for u in sorted(classes):
             which = np.array([i for i, _ in classes[u]])
