@@ -107,7 +107,7 @@ def hyperplanes(dim: int, tables: int, bits: int, seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((tables, bits, dim))
 
 
-def lsh_buckets(vectors: DataFrame, tables: int = 24, bits: int = 8, probes: int = 1, seed: int = 11) -> DataFrame:
+def lsh_buckets(vectors: DataFrame, tables: int = 24, bits: int = 8, probes: int = 8, seed: int = 11) -> DataFrame:
     """(vec_id, cell): a cell for each table and sign pattern (Charikar 2002), and with `probes` also
     the cells reached by flipping each of the least certain bits."""
 
@@ -131,9 +131,11 @@ def lsh_buckets(vectors: DataFrame, tables: int = 24, bits: int = 8, probes: int
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, cell bigint, probe boolean")
 
 
-def approx_knn(vectors: DataFrame, k: int, tables: int = 24, bits: int = 8, probes: int = 2) -> DataFrame:
+def approx_knn(vectors: DataFrame, k: int, tables: int = 24, bits: int = 8, probes: int = 8) -> DataFrame:
     """(query_id, vec_id, distance): about the k nearest of every row, itself included. Every row is a
-    query; rows that share a cell are compared exactly."""
+    query; rows that share a cell are compared exactly. The defaults find over 0.9 of the nearest ten
+    among vectors without any structure, where no bucketing saves much and knn_join() is the better
+    choice; vectors that cluster need fewer tables and probes."""
     cells = lsh_buckets(vectors, tables, bits, probes)
     asked, stored = cells.select(F.col("vec_id").alias("query_id"), "cell"), cells.where("not probe").select("vec_id", "cell")
     pairs = asked.join(stored, "cell").select("query_id", "vec_id").distinct()
