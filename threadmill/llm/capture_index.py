@@ -18,12 +18,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pfs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, need_columns, shared_dir
+from .common import file_system, materialize, need_columns, shared_dir
 
 LINES = 1000
 TOP = 100_000
@@ -43,17 +42,13 @@ def url_key(url: Column) -> Column:
     return F.when(F.length(F.trim(url)) > 0, key)
 
 
-def _fs(path: str) -> tuple[pfs.FileSystem, str]:
-    return pfs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-
-
 def build_index(pages: DataFrame, lines: int = LINES, path: str | None = None) -> tuple[str, DataFrame]:
     """Writes the blocks under `path` (a new folder in the shared one by default) and returns it with
     the directory. A line has the key, the page_id (empty if null), the bytes of the html (0 if null)
     and their digest. Pages without url aren't indexed; repeated rows have a line each."""
     need_columns(pages, "page_id", "url", "html")
     path = path or f"{shared_dir(pages.sparkSession)}/threadmill-index-{uuid.uuid4().hex}"
-    _fs(path)[0].create_dir(_fs(path)[1], recursive=True)
+    file_system(path)[0].create_dir(file_system(path)[1], recursive=True)
     keyed = pages.select(
         url_key(F.col("url")).alias("key"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("id"),
         F.coalesce(F.octet_length("html"), F.lit(0)).cast("string").alias("length"), F.substring(F.sha2(F.coalesce("html", F.lit("")), 256), 1, 16).alias("digest"),
@@ -62,7 +57,7 @@ def build_index(pages: DataFrame, lines: int = LINES, path: str | None = None) -
     ranged = keyed.repartitionByRange("key").sortWithinPartitions("key", F.col("id").cast("bigint"), "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _fs(path)
+        fs, root = file_system(path)
         part = TaskContext.get().partitionId()
         name = f"part-{part:05d}-{uuid.uuid4().hex}.cdx.z"  # a task that runs again writes another file
         held: list[tuple[str, str]] = []
@@ -126,7 +121,7 @@ def lookup(keys: DataFrame, path: str, directory: DataFrame, most: int = TOP) ->
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.string()), pa.array(ts, pa.int64())], ["key", "top"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _fs(path)
+        fs, root = file_system(path)
         for batch in batches:
             for file, offset, length, wanted in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length", "wanted")), strict=True):
                 with fs.open_input_file(f"{root}/{file}") as f:

@@ -14,7 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pfs
+import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 U64 = np.uint64
@@ -173,3 +177,72 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/threadmill-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def file_system(path: str) -> tuple[pfs.FileSystem, str]:
+    """The file system of a folder that all executors share, and the path in it."""
+    return pfs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
+
+
+FILE, ROW = "__threadmill_file", "__threadmill_row"
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """`docs` with the place of each row: a hash of its file's path, and its number in the file. Rows
+    that don't come straight from Parquet files are written to the shared folder first."""
+
+    def places(df: DataFrame) -> DataFrame:
+        return df.select(*[df[c] for c in df.columns], F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+
+    try:
+        return places(docs)
+    except AnalysisException:
+        return places(materialize(docs, "docs"))
+
+
+def write_places(rows: DataFrame, name: str) -> str:
+    """Writes rows (FILE, ROW) as sorted lists, one for each file, and returns the folder."""
+    path = f"{shared_dir(rows.sparkSession)}/threadmill-{name}-{uuid.uuid4().hex}"
+    rows.select(FILE, ROW).repartition(FILE).sortWithinPartitions(FILE, ROW).write.partitionBy(FILE).parquet(path)
+    return path
+
+
+class Places:
+    """The lists that write_places() wrote, read by a task as it comes to a file."""
+
+    def __init__(self, path: str) -> None:
+        self.fs, self.root = file_system(path)
+        self.file, self.rows = None, np.zeros(0, np.int64)
+
+    def _load(self, file: int) -> np.ndarray:
+        if file != self.file:
+            found = self.fs.get_file_info(pfs.FileSelector(f"{self.root}/{FILE}={file}", allow_not_found=True))
+            parts = [np.asarray(pq.read_table(x.path, filesystem=self.fs, partitioning=None).column(ROW)) for x in found if x.path.endswith(".parquet")]
+            self.file, self.rows = file, np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+        return self.rows
+
+    def hold(self, files: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whether each place is listed."""
+        out = np.zeros(len(rows), bool)
+        for file in np.unique(files):
+            mine, listed = files == file, self._load(int(file))
+            if len(listed):
+                at = np.searchsorted(listed, rows[mine])
+                out[mine] = listed[np.minimum(at, len(listed) - 1)] == rows[mine]
+        return out
+
+
+def at_places(docs: DataFrame, path: str, columns: list[str], keep: bool) -> DataFrame:
+    """The columns of those rows of located() `docs` that are listed at `path` (or aren't, unless
+    `keep`). A map over the files: rows aren't shuffled, whatever their number."""
+    wanted = docs.select(*columns, FILE, ROW)
+    schema = docs.select(*columns).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Places(path)
+        for batch in batches:
+            n = batch.num_columns
+            listed = places.hold(np.asarray(batch.column(n - 2)), np.asarray(batch.column(n - 1)))
+            yield batch.select(list(range(n - 2))).filter(pa.array(listed == keep))
+
+    return wanted.mapInArrow(run, schema)

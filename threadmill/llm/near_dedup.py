@@ -16,6 +16,10 @@ are in different components yet are paired too, unless their distances to the le
 than 1 - threshold, in which case they can't be similar (Jaccard distance is a metric). So every pair
 that shares a bucket is verified, is connected already, or is ruled out, without a cap; a bucket of n
 copies costs n pairs, not n^2. (6) Components are formed again.
+
+Signatures travel with the place of their row (file and row number). The texts of candidates, and at
+the end the rows that stay, are picked in a map over the files by lists of places that lie in the
+shared folder; so the corpus itself is never shuffled, only signatures and the candidates' texts.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import GOLD, U64, fmix, list_array, materialize, need_columns, shingles, slices, word_hashes
+from .common import FILE, GOLD, ROW, U64, at_places, fmix, list_array, located, materialize, need_columns, shingles, slices, word_hashes, write_places
 
 COMPONENTS, BANDS = 80, 20
 THRESHOLD = 0.6
@@ -108,8 +112,10 @@ def _node(doc_id: str = "doc_id", text: str = "text") -> Column:
 _NODE = "struct<z:boolean,i:bigint,h:bigint>"
 
 
-def _sketch(docs: DataFrame, k: int) -> DataFrame:
-    """(n, e1, e2, bands) for rows that have words; e1 and e2 are equal for equal multisets."""
+def _sketch(docs: DataFrame, k: int, order: list[str]) -> DataFrame:
+    """(n, o, FILE, ROW, e1, e2, bands) for rows that have words; o is a hash of the columns `order`,
+    and e1 and e2 are equal for equal multisets."""
+    carried = ["n", "o", FILE, ROW]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,11 +130,12 @@ def _sketch(docs: DataFrame, k: int) -> DataFrame:
                 have = np.flatnonzero(np.bincount(doc, minlength=n))
                 b = bands_of(signatures(doc, element, count, n))[have]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("n").take(pa.array(have)), pa.array(e[0][have].view(np.int64)), pa.array(e[1][have].view(np.int64)), list_array(b.reshape(-1).view(np.int64), np.arange(len(have) + 1) * BANDS, pa.int64())],
-                    ["n", "e1", "e2", "bands"],
+                    [*(part.column(c).take(pa.array(have)) for c in carried), pa.array(e[0][have].view(np.int64)), pa.array(e[1][have].view(np.int64)), list_array(b.reshape(-1).view(np.int64), np.arange(len(have) + 1) * BANDS, pa.int64())],
+                    [*carried, "e1", "e2", "bands"],
                 )
 
-    return docs.select(_node().alias("n"), "text").mapInArrow(run, f"n {_NODE}, e1 bigint, e2 bigint, bands array<bigint>")
+    own = docs.where(F.col("text").isNotNull()).select(_node().alias("n"), F.xxhash64(*order).alias("o"), FILE, ROW, "text")
+    return own.mapInArrow(run, f"n {_NODE}, o bigint, {FILE} bigint, {ROW} bigint, e1 bigint, e2 bigint, bands array<bigint>")
 
 
 def overlap(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], n: int) -> np.ndarray:
@@ -171,18 +178,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
-    """(n, g, rows): every node of a group of two rows or more, the group's least node, and the number
-    of rows that are this node."""
-    need_columns(docs, "doc_id", "text")
-    sketch = materialize(_sketch(docs.where(F.col("text").isNotNull()), k), "sketch")
+def _grouped(docs: DataFrame, threshold: float, k: int, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """For located() `docs`, the sketch and (n, g, rows): every node of a group of two rows or more, the
+    group's least node, and the number of rows that are this node."""
+    sketch = materialize(_sketch(docs, k, order), "sketch")
     nodes = materialize(sketch.groupBy("e1", "e2", "n").agg(F.count("*").alias("rows")), "nodes")
     same = nodes.groupBy("e1", "e2").agg(F.min("n").alias("r"), F.count("*").alias("members"), F.sum("rows").alias("total"))
-    reps = sketch.groupBy("e1", "e2").agg(F.min_by("bands", "n").alias("bands"), F.min("n").alias("n"))
-    cell = materialize(reps.select("n", F.posexplode("bands").alias("band", "key")).withColumn("low", F.min("n").over(Window.partitionBy("band", "key"))).withColumn("size", F.count("*").over(Window.partitionBy("band", "key"))).where("size > 1").drop("size"), "cells")
-    wanted = cell.select("n").distinct()
-    own = docs.where(F.col("text").isNotNull()).select(_node().alias("n"), "text")
-    texts = materialize(own.join(wanted, "n", "left_semi").dropDuplicates(["n"]), "texts")
+    first_row = F.struct("n", FILE, ROW)
+    reps = sketch.groupBy("e1", "e2").agg(F.min_by("bands", first_row).alias("bands"), F.min(first_row).alias("x")).select("bands", "x.*")
+    cell = reps.select("n", FILE, ROW, F.posexplode("bands").alias("band", "key")).withColumn("low", F.min("n").over(Window.partitionBy("band", "key"))).withColumn("size", F.count("*").over(Window.partitionBy("band", "key")))
+    cell = materialize(cell.where("size > 1").drop("size"), "cells")
+    wanted = write_places(cell.select(FILE, ROW).distinct(), "wanted")
+    texts = materialize(at_places(docs.select(_node().alias("n"), "text", FILE, ROW), wanted, ["n", "text"], keep=True), "texts")
     stars = cell.where(F.col("low") != F.col("n")).select(F.col("low").alias("a"), F.col("n").alias("b")).distinct()
     checked = materialize(_verify(stars, texts, k), "checked")
     first = components(checked.where(F.col("j") >= threshold))
@@ -203,12 +210,8 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> D
     more = _verify(rest, texts, k).where(F.col("j") >= threshold)
     edges = first.where(F.col("n") != F.col("c")).select(F.col("c").alias("a"), F.col("n").alias("b")).union(more.select("a", "b"))
     near = components(edges).select(F.col("n").alias("r"), "c")
-    return (
-        nodes.join(same, ["e1", "e2"])
-        .join(near, "r", "left")
-        .where("members > 1 or total > 1 or c is not null")
-        .select("n", F.coalesce("c", "r").alias("g"), "rows")
-    )
+    found = nodes.join(same, ["e1", "e2"]).join(near, "r", "left").where("members > 1 or total > 1 or c is not null")
+    return sketch, found.select("n", F.coalesce("c", "r").alias("g"), "rows")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
@@ -221,21 +224,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     other texts are documents of their own. Null ids take part and come last in order. Single
     documents aren't reported; an empty table gives no rows.
     """
+    need_columns(docs, "doc_id", "text")
+    found = _grouped(located(docs.select("doc_id", "text")), threshold, k, ["doc_id"])[1]
     back = lambda n: F.when(~F.col(f"{n}.z"), F.col(f"{n}.i"))
-    return groups(docs, threshold, k).select(back("n").alias("doc_id"), back("g").alias("group_id"), F.col("rows").alias("n_rows"), (F.col("n") == F.col("g")).alias("kept"))
+    return found.select(back("n").alias("doc_id"), back("g").alias("group_id"), F.col("rows").alias("n_rows"), (F.col("n") == F.col("g")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """The rows of `docs`, with all their columns, without those that near_duplicates() finds to be
-    copies: of each group one row stays, of equal rows the first in order of all columns."""
-    found = groups(docs, threshold, k).select("n", (F.col("n") == F.col("g")).alias("kept"), "rows")
-    mark = "__threadmill_node"
-    own = docs.withColumn(mark, _node())
-    # only what goes, or is there more than once, must be known: the rest has no partner in `found`
-    some = materialize(found.where("not kept or rows > 1").select(F.col("n").alias("__threadmill_n"), F.col("kept").alias("__threadmill_kept")), "decisions")
-    joined = own.join(some, own[mark] == some["__threadmill_n"], "left")
-    once = joined.where("__threadmill_n is null")
-    again = joined.where("__threadmill_kept")
-    order = [F.xxhash64(*docs.columns)]
-    again = again.withColumn("__threadmill_row", F.row_number().over(Window.partitionBy(mark).orderBy(*order))).where("__threadmill_row = 1")
-    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
+    copies: of each group one row stays, of equal rows the first by a hash of all columns and by place."""
+    need_columns(docs, "doc_id", "text")
+    columns = docs.columns
+    docs = located(docs)
+    sketch, found = _grouped(docs, threshold, k, columns)
+    copies = sketch.select("n", "o", FILE, ROW).join(found.where("n != g or rows > 1"), "n")
+    nth = F.row_number().over(Window.partitionBy("n").orderBy("o", FILE, ROW))
+    gone = write_places(copies.withColumn("nth", nth).where("n != g or nth > 1"), "gone")
+    return at_places(docs, gone, columns, keep=False)
