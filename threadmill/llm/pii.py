@@ -25,10 +25,10 @@ from .common import need_columns, slices
 _SEP = r"[^\w\n]{1,6}"
 GENERATORS: list[tuple[str, re.Pattern[str], int]] = [
     ("EMAIL", re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"), 0),
-    ("PHONE", re.compile(rf"\+\d{{1,3}}{_SEP}\d{{1,4}}(?:{_SEP}\d{{2,4}}){{1,4}}|(?:\+?\d{{1,3}}{_SEP})?\d{{3}}{_SEP}\d{{3}}{_SEP}\d{{4}}(?!\d)"), 0),
+    ("PHONE", re.compile(rf"\+\d{{1,3}}{_SEP}\d{{1,4}}(?:{_SEP}\d{{2,4}}){{1,4}}|(?:\+?\d{{1,3}}{_SEP})?(?:\(\d{{3}}|(?<!\d)\d{{3}}){_SEP}\d{{3}}{_SEP}\d{{4}}(?!\d)"), 0),
     ("PHONE", re.compile(r"(?<![\w.])\+?\d[\d ().-]{7,16}\d(?![\w])"), 0),
     ("IP", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"), 0),
-    ("IP", re.compile(r"(?i)(?<![\w:])(?:[0-9a-f]{1,4}:){4,7}[0-9a-f]{1,4}(?![\w:])"), 0),
+    ("IP", re.compile(r"(?i)(?<![\w:])(?:(?:[0-9a-f]{1,4}:){4,7}[0-9a-f]{1,4}|(?:[0-9a-f]{1,4}:){1,6}(?::[0-9a-f]{1,4}){1,6})(?![\w:])"), 0),
     ("CARD", re.compile(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"), 0),
     ("SSN", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), 0),
     ("IBAN", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), 0),
@@ -88,7 +88,7 @@ def describe(text: str, span: tuple[int, int, int]) -> list[float]:
     f = [float(kind == k) for k in KINDS] + [float(no)]
     f += [len(s), len(digits), letters, letters / len(s), len(set(s)) / len(s), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0)]
     f += [float(13 <= len(digits) <= 19 and luhn(digits)), float(bool(octets) and max(octets) <= 255), float(bool(octets) and octets[0] not in (0, 255)), float(kind == "IBAN" and mod97(s))]
-    f += [float("+" in s), float("(" in s), float("-" in s), float("." in s), float(" " in s), float("/" in s), float(any(c.isupper() for c in s)), float(any(c.islower() for c in s))]
+    f += [float(digits[:1] == "0"), float("+" in s), float("(" in s), float("-" in s), float("." in s), float(" " in s), float("/" in s), float(any(c.isupper() for c in s)), float(any(c.islower() for c in s))]
     f += [float(bool(_CONTEXT[k].search(before))) for k in _CONTEXT]
     f += [float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before.rstrip()[-1:] in "=:\"'"), float(before[-1:] in "$€#"), float(bool(re.match(r"(?:19|20)\d\d\D", s)))]
     return f
@@ -111,10 +111,11 @@ def example(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     if pick == 0:
         kind, v = "EMAIL", f"{_word(r)}.{r.randint(0, 99)}@{_word(r).replace('é', 'e').replace('ó', 'o')}{r.randint(1, 9)}.example.{r.choice(['com', 'org', 'net'])}"
     elif pick in (1, 2):
-        kind, v = "PHONE", r.choice([f"+{r.randint(1, 99)} ({n(3)}) {n(3)}-{n(4)}", f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"+{r.randint(1, 99)} {n(3)} {n(3)} {n(4)}", f"+{r.randint(10, 99)} {n(2)} {n(2)} {n(2)} {n(2)}"])
+        kind, v = "PHONE", r.choice([f"+{r.randint(1, 99)} ({n(3)}) {n(3)}-{n(4)}", f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"+{r.randint(1, 99)} {n(3)} {n(3)} {n(4)}", f"+{r.randint(10, 99)} {n(2)} {n(2)} {n(2)} {n(2)}", f"{n(3)}.{n(3)}.{n(4)}", f"1-{n(3)}-{n(3)}-{n(4)}", f"0{r.randint(1, 9)} {n(2)} {n(2)} {n(2)} {n(2)}"])
         lead = r.choice(["", "", "call", "phone:"])
     elif pick in (3, 4):
-        kind, v, lead = "IP", ".".join(str(r.randint(1, 255)) if i == 0 else str(r.randint(0, 255)) for i in range(4)), r.choice(["", "", "host", "from"])
+        v4, v6 = ".".join(str(r.randint(1, 255)) if i == 0 else str(r.randint(0, 255)) for i in range(4)), [hexes(r.randint(1, 4)) for _ in range(8)]
+        kind, v, lead = "IP", r.choice([v4] * 6 + [":".join(v6), ":".join(v6[:2]) + "::" + ":".join(v6[4:])]), r.choice(["", "", "host", "from"])
     elif pick in (5, 6):
         c = _check_digit(r.choice("3456212") + n(r.choice([14, 14, 14, 13])))
         kind, v, lead = "CARD", r.choice([c, c, c, "-".join(c[i : i + 4] for i in range(0, len(c), 4)), " ".join(c[i : i + 4] for i in range(0, len(c), 4))]), r.choice(["", "", "card"])
@@ -130,7 +131,8 @@ def example(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     elif pick == 12:
         kind, v, lead = "SECRET", r.choice(["AKIA" + "".join(r.choice("ABCDEFGHJK23456789") for _ in range(16)), "ghp_" + hexes(36), "sk-" + hexes(24)]), r.choice(["", "key ="])
     elif pick == 13:
-        kind, v, lead = "SECRET", "".join(r.choice("abcdefXYZ0123456789!@#%") for _ in range(r.randint(8, 20))), r.choice(["password:", "passwd =", "secret ="])
+        letters = r.choice(["abcdefXYZ0123456789!@#%", "abcdefXYZ0123456789!@#%", "abcdefghijklmnopqrstuvwxyz"])
+        kind, v, lead = "SECRET", "".join(r.choice(letters) for _ in range(r.randint(8, 20))), r.choice(["password:", "passwd =", "secret =", "password ="])
     else:
         kind, true = "", False
         wrong = n(16)
