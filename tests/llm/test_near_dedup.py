@@ -3,10 +3,12 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyarrow.fs import FileSelector
 from pyspark.sql import functions as F
 
 from tests.llm import brute
 from threadmill.llm import near_dedup as N
+from threadmill.llm.common import Scratch, file_system, shared_dir
 
 
 def test_signatures_estimate_weighted_jaccard():
@@ -88,8 +90,15 @@ def test_one_id_with_two_texts_and_null_ids(spark):
     assert N.drop_near_duplicates(df).count() == 4
 
 
-def test_components_of_a_long_path(spark):
-    node = lambda i: F.struct(F.lit(False).alias("z"), i.cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("h"))
-    edges = spark.range(40).where("id != 20").select(node(F.col("id")).alias("a"), node(F.col("id") + 1).alias("b"))
-    got = {r.n.i: r.c.i for r in N.components(edges).collect()}
-    assert got == {i: 0 if i <= 20 else 21 for i in range(41)}
+def test_components_of_a_path(spark):
+    node = lambda i: F.struct(F.lit(0).cast("bigint").alias("f"), i.cast("bigint").alias("r"))
+    edges = spark.range(14).where("id != 7").select(node(F.col("id")).alias("a"), node(F.col("id") + 1).alias("b"))
+    got = {r.x.r: r.c.r for r in N.components(edges, Scratch(spark)).collect()}
+    assert got == {i: 0 if i <= 7 else 8 for i in range(15)}
+
+
+def test_scratch_tables_are_removed(spark, documents):
+    fs, root = file_system(shared_dir(spark))
+    tables = lambda: sum(x.path.endswith("-sketch") for x in fs.get_file_info(FileSelector(root, recursive=True)))
+    before, out = tables(), N.near_duplicates(documents)
+    assert tables() == before and out.count() > 0

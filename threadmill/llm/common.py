@@ -167,7 +167,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         have = "file://" + tempfile.mkdtemp(prefix="threadmill-")
         sc.setCheckpointDir(have)
-    return have.rstrip("/")
+    at = sc._jvm.org.apache.hadoop.fs.Path(have)  # a path without scheme is on the session's own file system
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString().rstrip("/")
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
@@ -179,9 +180,29 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one job in a folder of their own below the shared one, which clear() removes."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/threadmill-{uuid.uuid4().hex}", 0
+
+    def path(self, name: str) -> str:
+        self.n += 1
+        return f"{self.root}/{self.n}-{name}"
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def file_system(path: str) -> tuple[pfs.FileSystem, str]:
     """The file system of a folder that all executors share, and the path in it."""
-    return pfs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
+    return pfs.FileSystem.from_uri("file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path)
 
 
 FILE, ROW = "__threadmill_file", "__threadmill_row"
@@ -200,9 +221,8 @@ def located(docs: DataFrame) -> DataFrame:
         return places(materialize(docs, "docs"))
 
 
-def write_places(rows: DataFrame, name: str) -> str:
+def write_places(rows: DataFrame, path: str) -> str:
     """Writes rows (FILE, ROW) as sorted lists, one for each file, and returns the folder."""
-    path = f"{shared_dir(rows.sparkSession)}/threadmill-{name}-{uuid.uuid4().hex}"
     rows.select(FILE, ROW).repartition(FILE).sortWithinPartitions(FILE, ROW).write.partitionBy(FILE).parquet(path)
     return path
 

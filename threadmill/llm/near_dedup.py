@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import FILE, GOLD, ROW, U64, at_places, fmix, list_array, located, materialize, need_columns, shingles, slices, word_hashes, write_places
+from .common import FILE, GOLD, ROW, U64, Scratch, at_places, fmix, list_array, located, materialize, need_columns, shingles, slices, word_hashes, write_places
 
 COMPONENTS, BANDS = 80, 20
 THRESHOLD = 0.6
@@ -158,60 +158,71 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                     j = overlap(multisets(one.column("ta"), k), multisets(one.column("tb"), k), one.num_rows)
                     yield pa.RecordBatch.from_arrays([one.column("a"), one.column("b"), pa.array(j)], ["a", "b", "j"])
 
-    x = pairs.join(texts.select(F.col("n").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("n").alias("a"), F.col("text").alias("ta")), "a")
-    return x.select("a", "b", "ta", "tb").mapInArrow(run, f"a {_NODE}, b {_NODE}, j double")
+    x = pairs.join(texts.select(F.col("x").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("x").alias("a"), F.col("text").alias("ta")), "a")
+    return x.select("a", "b", "ta", "tb").mapInArrow(run, f"a {_PLACE}, b {_PLACE}, j double")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(n, c) for each end of `edges` (a, b): the least node it is connected with. Each round takes the
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(x, c) for each end of `edges` (a, b): the least end it is connected with. Each round takes the
     least label among the neighbours and then the label of that label, so that the number of rounds
     grows with the logarithm of the longest path in most graphs; rounds end when no label changes."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("c")), "labels")
+    both = scratch.table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("c")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["n"]).groupBy("a").agg(F.min("c").alias("m"))
-        step = labels.join(near, labels["n"] == near["a"]).select("n", "c", F.least("c", "m").alias("m"))
-        jump = labels.select(F.col("n").alias("m"), F.col("c").alias("up"))
-        new = materialize(step.join(jump, "m").select("n", F.least("m", "up").alias("c"), (F.least("m", "up") != F.col("c")).alias("moved")), "labels")
-        labels = new.select("n", "c")
+        near = both.join(labels, both["b"] == labels["x"]).groupBy("a").agg(F.min("c").alias("m"))
+        step = labels.join(near, labels["x"] == near["a"]).select("x", "c", F.least("c", "m").alias("m"))
+        jump = labels.select(F.col("x").alias("m"), F.col("c").alias("up"))
+        new = scratch.table(step.join(jump, "m").select("x", F.least("m", "up").alias("c"), (F.least("m", "up") != F.col("c")).alias("moved")), "labels")
+        labels = new.select("x", "c")
         if new.where("moved").limit(1).count() == 0:
             return labels
 
 
-def _grouped(docs: DataFrame, threshold: float, k: int, order: list[str]) -> tuple[DataFrame, DataFrame]:
+_PLACE = "struct<f:bigint,r:bigint>"
+
+
+def _place() -> Column:
+    return F.struct(F.col(FILE).alias("f"), F.col(ROW).alias("r"))
+
+
+def _grouped(docs: DataFrame, threshold: float, k: int, order: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """For located() `docs`, the sketch and (n, g, rows): every node of a group of two rows or more, the
-    group's least node, and the number of rows that are this node."""
-    sketch = materialize(_sketch(docs, k, order), "sketch")
-    nodes = materialize(sketch.groupBy("e1", "e2", "n").agg(F.count("*").alias("rows")), "nodes")
-    same = nodes.groupBy("e1", "e2").agg(F.min("n").alias("r"), F.count("*").alias("members"), F.sum("rows").alias("total"))
+    group's least node, and the number of rows that are this node. Documents of one multiset are
+    represented by one row, and a candidate is known by the place of that row."""
+    sketch = scratch.table(_sketch(docs, k, order), "sketch")
     first_row = F.struct("n", FILE, ROW)
-    reps = sketch.groupBy("e1", "e2").agg(F.min_by("bands", first_row).alias("bands"), F.min(first_row).alias("x")).select("bands", "x.*")
-    cell = reps.select("n", FILE, ROW, F.posexplode("bands").alias("band", "key")).withColumn("low", F.min("n").over(Window.partitionBy("band", "key"))).withColumn("size", F.count("*").over(Window.partitionBy("band", "key")))
-    cell = materialize(cell.where("size > 1").drop("size"), "cells")
-    wanted = write_places(cell.select(FILE, ROW).distinct(), "wanted")
-    texts = materialize(at_places(docs.select(_node().alias("n"), "text", FILE, ROW), wanted, ["n", "text"], keep=True), "texts")
-    stars = cell.where(F.col("low") != F.col("n")).select(F.col("low").alias("a"), F.col("n").alias("b")).distinct()
-    checked = materialize(_verify(stars, texts, k), "checked")
-    first = components(checked.where(F.col("j") >= threshold))
+    reps = sketch.groupBy("e1", "e2").agg(F.min(first_row).alias("y"), F.min_by("bands", first_row).alias("bands"), F.count("*").alias("total"))
+    reps = scratch.table(reps.select("e1", "e2", "y.n", F.struct(F.col(f"y.{FILE}").alias("f"), F.col(f"y.{ROW}").alias("r")).alias("x"), "bands", "total"), "reps")
+    w = Window.partitionBy("key")
+    # three numbers a band travel: the key, which has the band's number in it, and the place
+    cell = reps.select(F.col("x.f").alias("f"), F.col("x.r").alias("r"), F.explode("bands").alias("key")).repartition("key")
+    cell = cell.select("key", F.struct("f", "r").alias("x")).withColumn("low", F.min("x").over(w)).withColumn("size", F.count("*").over(w))
+    cell = scratch.table(cell.where("size > 1").drop("size"), "cells")
+    wanted = write_places(cell.select(F.col("x.f").alias(FILE), F.col("x.r").alias(ROW)).distinct(), scratch.path("wanted"))
+    texts = scratch.table(at_places(docs.select(_place().alias("x"), "text", FILE, ROW), wanted, ["x", "text"], keep=True), "texts")
+    stars = cell.where("low != x").select(F.col("low").alias("a"), F.col("x").alias("b")).distinct()
+    checked = scratch.table(_verify(stars, texts, k), "checked")
+    first = components(checked.where(F.col("j") >= threshold), scratch)
     # members of a bucket that aren't connected yet
-    placed = cell.join(first, "n", "left").select("band", "key", "low", "n", F.coalesce("c", "n").alias("c"))
-    w = Window.partitionBy("band", "key")
+    placed = cell.join(first, "x", "left").select("key", "low", "x", F.coalesce("c", "x").alias("c"))
     mixed = placed.withColumn("c0", F.min("c").over(w)).withColumn("c1", F.max("c").over(w)).where("c0 != c1").drop("c0", "c1")
-    away = checked.select(F.col("a").alias("low"), F.col("b").alias("n"), (1 - F.col("j")).alias("d"))
-    mixed = materialize(mixed.join(away, ["low", "n"], "left").select("band", "key", "low", "n", "c", F.coalesce("d", F.lit(0.0)).alias("d")), "mixed")
-    left, right = mixed.alias("x"), mixed.alias("y")
+    away = checked.select(F.col("a").alias("low"), F.col("b").alias("x"), (1 - F.col("j")).alias("d"))
+    mixed = scratch.table(mixed.join(away, ["low", "x"], "left").select("key", "low", "x", "c", F.coalesce("d", F.lit(0.0)).alias("d")), "mixed")
     rest = (
-        left.join(right, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")))
-        .where("x.n < y.n and x.c != y.c and x.n != x.low and y.n != y.low")
-        .where(F.abs(F.col("x.d") - F.col("y.d")) <= 1 - threshold + 1e-9)
-        .select(F.col("x.n").alias("a"), F.col("y.n").alias("b"))
+        mixed.alias("p")
+        .join(mixed.alias("q"), F.col("p.key") == F.col("q.key"))
+        .where("p.x < q.x and p.c != q.c and p.x != p.low and q.x != q.low")
+        .where(F.abs(F.col("p.d") - F.col("q.d")) <= 1 - threshold + 1e-9)
+        .select(F.col("p.x").alias("a"), F.col("q.x").alias("b"))
         .distinct()
     )
     more = _verify(rest, texts, k).where(F.col("j") >= threshold)
-    edges = first.where(F.col("n") != F.col("c")).select(F.col("c").alias("a"), F.col("n").alias("b")).union(more.select("a", "b"))
-    near = components(edges).select(F.col("n").alias("r"), "c")
-    found = nodes.join(same, ["e1", "e2"]).join(near, "r", "left").where("members > 1 or total > 1 or c is not null")
-    return sketch, found.select("n", F.coalesce("c", "r").alias("g"), "rows")
+    near = components(first.where("x != c").select(F.col("c").alias("a"), F.col("x").alias("b")).union(more.select("a", "b")), scratch)
+    named = near.join(reps.select("x", "n"), "x")
+    least = named.groupBy("c").agg(F.min("n").alias("g"))
+    grouped = reps.select("e1", "e2", "x", "n", "total").join(near.join(least, "c").select("x", "g"), "x", "left").where("total > 1 or g is not null")
+    nodes = sketch.groupBy("e1", "e2", "n").agg(F.count("*").alias("rows"))
+    return sketch, nodes.join(grouped.select("e1", "e2", F.coalesce("g", "n").alias("g")), ["e1", "e2"]).select("n", "g", "rows")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
@@ -225,19 +236,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     documents aren't reported; an empty table gives no rows.
     """
     need_columns(docs, "doc_id", "text")
-    found = _grouped(located(docs.select("doc_id", "text")), threshold, k, ["doc_id"])[1]
+    scratch = Scratch(docs.sparkSession)
+    found = _grouped(located(docs.select("doc_id", "text")), threshold, k, ["doc_id"], scratch)[1]
     back = lambda n: F.when(~F.col(f"{n}.z"), F.col(f"{n}.i"))
-    return found.select(back("n").alias("doc_id"), back("g").alias("group_id"), F.col("rows").alias("n_rows"), (F.col("n") == F.col("g")).alias("kept"))
+    out = materialize(found.select(back("n").alias("doc_id"), back("g").alias("group_id"), F.col("rows").alias("n_rows"), (F.col("n") == F.col("g")).alias("kept")), "groups")
+    scratch.clear()
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """The rows of `docs`, with all their columns, without those that near_duplicates() finds to be
     copies: of each group one row stays, of equal rows the first by a hash of all columns and by place."""
     need_columns(docs, "doc_id", "text")
-    columns = docs.columns
+    columns, scratch = docs.columns, Scratch(docs.sparkSession)
     docs = located(docs)
-    sketch, found = _grouped(docs, threshold, k, columns)
+    sketch, found = _grouped(docs, threshold, k, columns, scratch)
     copies = sketch.select("n", "o", FILE, ROW).join(found.where("n != g or rows > 1"), "n")
     nth = F.row_number().over(Window.partitionBy("n").orderBy("o", FILE, ROW))
-    gone = write_places(copies.withColumn("nth", nth).where("n != g or nth > 1"), "gone")
+    gone = write_places(copies.withColumn("nth", nth).where("n != g or nth > 1"), Scratch(scratch.spark).path("gone"))
+    scratch.clear()
     return at_places(docs, gone, columns, keep=False)
