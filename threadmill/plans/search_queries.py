@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmill.functions import text as X
@@ -18,6 +18,12 @@ C = F.col
 QUERY = "the and of"
 
 
+def _r(c: Column | str, n: int = 6) -> Column:
+    """Rounded, and 0 without a sign."""
+    x = F.round(c, n)
+    return F.when(x == 0, 0.0).otherwise(x)
+
+
 def _vector(spark: SparkSession, sf: str, vec_id: int = 7) -> list[float]:
     return [float(x) for x in table(spark, sf, "embeddings").where(C("vec_id") == vec_id).select("embedding").first()[0]]
 
@@ -53,22 +59,22 @@ def b07_query_cache(spark: SparkSession, sf: str) -> DataFrame:
 
 def v01_cosine(spark: SparkSession, sf: str) -> DataFrame:
     q = V.literal(_vector(spark, sf))
-    return table(spark, sf, "embeddings").select("vec_id", F.round(V.cosine_distance(C("embedding"), q), 6).alias("distance"))
+    return table(spark, sf, "embeddings").select("vec_id", _r(V.cosine_distance(C("embedding"), q)).alias("distance"))
 
 
 def v02_knn(spark: SparkSession, sf: str) -> DataFrame:
-    return V.knn(vectors(spark, sf), _vector(spark, sf), 20, ("vec_id",)).select("vec_id", F.round("distance", 6).alias("distance"))
+    return V.knn(vectors(spark, sf), _vector(spark, sf), 20, ("vec_id",)).select("vec_id", _r("distance").alias("distance"))
 
 
 def v02_knn_all(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return V.knn_join(e, e.select(C("vec_id").alias("query_id"), "embedding"), 5).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
+    return V.knn_join(e, e.select(C("vec_id").alias("query_id"), "embedding"), 5).select("query_id", "vec_id", _r("distance").alias("distance"))
 
 
 def v03_knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
     f = SearchFilters(agent="codex", since=datetime(2024, 1, 1, 3))
     found = V.search(vectors(spark, sf), turns(spark, sf), sessions(spark, sf), _vector(spark, sf), 10, f)
-    return found.select("session_id", "turn_index", F.round("score", 6).alias("score"), "snippet")
+    return found.select("session_id", "turn_index", _r("score").alias("score"), "snippet")
 
 
 def v05_lsh(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +143,7 @@ def h05_wiki_body(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def h06_wiki_semantic(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.wiki_semantic(_pages(spark, sf), _vector(spark, sf), "src3").select("path", F.round("score", 6).alias("score"))
+    return fusion.wiki_semantic(_pages(spark, sf), _vector(spark, sf), "src3").select("path", _r("score").alias("score"))
 
 
 def h07_wiki_hybrid(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,10 +198,10 @@ QUERIES = dict([
     _q(b02_search, "with " + SESSIONS_SQL + ", " + _bm25_sql(TURNS, ["the", "and"], "and") + """, best as (select session_id, turn_index, score from scored join sessions on id = session_id where not is_archived and (session_type is null or session_type != 'automated') order by score desc, session_id, turn_index limit 10)
       select session_id, turn_index, round(score / max(score) over (), 6) as score, case when length(content) <= 200 then content else substr(content, (case when position('the and' in lower(content)) > 0 then greatest(position('the and' in lower(content)) - 31, 0) else 0 end + 1)::int, 200) end as snippet from best join turns using (session_id, turn_index)"""),
     _q(b07_query_cache, "select event_type as original, props as expanded from events where user_id = 7 and ts + interval 7 day > timestamp '2024-01-20'"),
-    _q(v01_cosine, f"select vec_id, round({COS.format('embedding')}, 6) as distance from embeddings"),
-    _q(v02_knn, f"select vec_id, round({COS.format('embedding')}, 6) as distance from embeddings order by {COS.format('embedding')}, vec_id limit 20"),
+    _q(v01_cosine, f"select vec_id, round({COS.format('embedding')}, 6) + 0.0 as distance from embeddings"),
+    _q(v02_knn, f"select vec_id, round({COS.format('embedding')}, 6) + 0.0 as distance from embeddings order by {COS.format('embedding')}, vec_id limit 20"),
     _q(v02_knn_all, "with e as (select vec_id, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings), d as (select a.vec_id as query_id, b.vec_id, 1 - list_dot_product(a.e, b.e) / (a.n * b.n) as distance from e a, e b) select query_id, vec_id, round(distance, 6) + 0.0 as distance from d qualify row_number() over (partition by query_id order by round(distance, 12), vec_id) <= 5"),
-    _q(v03_knn_filtered, SV + f", vd as (select session_id, turn_index, min({COS.format('embedding')}) as distance from vectors group by 1, 2), b as (select session_id, turn_index, distance from vd join sessions on id = session_id where not is_archived and agent = 'codex' and start_time >= '2024-01-01 03:00' order by distance, session_id, turn_index limit 10) select session_id, turn_index, round(1 - distance, 6) as score, left(content, 200) as snippet from b join turns using (session_id, turn_index)"),
+    _q(v03_knn_filtered, SV + f", vd as (select session_id, turn_index, min({COS.format('embedding')}) as distance from vectors group by 1, 2), b as (select session_id, turn_index, distance from vd join sessions on id = session_id where not is_archived and agent = 'codex' and start_time >= '2024-01-01 03:00' order by distance, session_id, turn_index limit 10) select session_id, turn_index, round(1 - distance, 6) + 0.0 as score, left(content, 200) as snippet from b join turns using (session_id, turn_index)"),
     _q(v05_lsh, None),
     _q(v06_chunks, "select source as session_id, doc_id as turn_index, i::int as seq, length(substr(text, (i * 850 + 1)::int, 1000))::int as n from (select source, doc_id, text, unnest(range(0, greatest(ceil((length(text) - 1000) / 850.0), 0)::bigint + 1)) as i from documents where text != '')"),
     _q(v07_pending, "with " + SESSIONS_SQL.split(", sess0")[0] + ", " + VECTORS_SQL + ", c as (select session_id, turn_index, unnest(range(0, greatest(ceil((length(content) - 1000) / 850.0), 0)::bigint + 1))::int as seq from turns where content != '') select session_id, turn_index, seq from c where (session_id, turn_index, seq) not in (select session_id, turn_index, chunk_seq from vectors where model = 'm0')"),
@@ -209,7 +215,7 @@ QUERIES = dict([
     _q(h04_multi, SV + _best_bm25(["the", "and"], 30, "a") + _best_bm25(["of"], 30, "b") + VEC_BEST + ", ab as (select session_id, turn_index, score / max(score) over () as score from a union all select session_id, turn_index, score / max(score) over () from b), abr as (select session_id, turn_index, row_number() over (order by score desc, session_id, turn_index) - 1 as r from ab)" + FUSE.format("select session_id, turn_index, r from abr union all select session_id, turn_index, r from vec")),
     _q(h05_wiki_kw, f"with {PAGES} select path, case when contains(stem, 'the1') then 2.0::double else 1.0 end as score, contains(stem, 'the1') as name_match from p where contains(stem, 'the1') or contains(lower(body), 'the1')"),
     _q(h05_wiki_body, f"with {PAGES} select path, 1.0::double as score, false as name_match from p where contains(lower(body), 'tion of')"),
-    _q(h06_wiki_semantic, f"with {PAGES} select path, round(1 - ({COS.format('p.embedding')}), 6) as score from p where starts_with(path, 'src3/')"),
+    _q(h06_wiki_semantic, f"with {PAGES} select path, round(1 - ({COS.format('p.embedding')}), 6) + 0.0 as score from p where starts_with(path, 'src3/')"),
     _q(h07_wiki_hybrid, f"""with {PAGES}, k as (select path, case when contains(stem, 'the1') then 2.0 else 1.0 end as s from p where contains(stem, 'the1') or contains(lower(body), 'the1')), v as (select path, round(1 - ({COS.format('p.embedding')}), 9) as s from p),
       x as (select path, 1.0 / (60 + row_number() over (order by s desc, path)) as p from k union all select path, 1.0 / (60 + row_number() over (order by s desc, path)) from v), g as (select path, sum(p) as score from x group by 1) select path, round(score / max(score) over (), 6) as score from g"""),
     _q(h09_related_mix, "with " + SESSIONS_SQL + """, me as (select project, tags[1] as t from sessions where id = '6'), x as (select * from (select id, 0 as o from sessions where conv_id in (1, 2, 9) order by id limit 5) union all select * from (select s.id, 1 from sessions s, me where s.id != '6' and s.project = me.project order by start_time desc, id limit 5)
