@@ -116,7 +116,16 @@ def edited_files(body: Column, cwd: Column) -> Column:
 
 
 def humanize(n: Column) -> Column:
-    return F.when(n >= 1000, F.format_string("%.1fk", n / 1000)).otherwise(n.cast("string"))
+    """From 1000 on in thousands with one decimal. What lies halfway between two decimals goes where the
+    64-bit float next to it lies, as printf has it: its 53 bits times 1000 are compared with n."""
+    n = n.cast("bigint")
+    x = n / 1000
+    scale = F.pow(F.lit(2.0), 52 - F.floor(F.log2(x)))
+    bits, exact = (x * scale).cast("bigint") * 1000, n * scale.cast("bigint")
+    tenths = F.floor(n / 100)
+    over = (bits > exact) | ((bits == exact) & (tenths % 2 == 1))
+    tenths = tenths + F.when((n % 100 > 50) | ((n % 100 == 50) & over), 1).otherwise(0)
+    return F.when(n >= 1000, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("k"))).otherwise(n.cast("string"))
 
 
 def json_block(text: Column) -> Column:
