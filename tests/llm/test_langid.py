@@ -42,6 +42,22 @@ def test_a_small_vector_table_gives_the_same():
         assert np.allclose(few.score(pa.array([t]))[0], L.Scorer(unit).score(pa.array([t]))[0])
 
 
+def test_many_trigrams_are_scored_in_blocks(monkeypatch):
+    r = random.Random(2)
+    texts = ["".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(400)) for _ in range(5)] + ["the cat", ""]
+    unit = {"a": bundle(texts[0]) / np.linalg.norm(bundle(texts[0])), "b": np.ones(L.DIM) / L.DIM**0.5}
+    whole = L.Scorer(unit).score(pa.array(texts))[0]
+    monkeypatch.setattr(L, "KEY_BLOCK", 7)
+    assert np.allclose(L.Scorer(unit).score(pa.array(texts))[0], whole, atol=1e-5) and abs(whole[0, 0] - 1) < 1e-5
+
+
+def test_prototypes_are_the_bundles_of_all_texts(spark):
+    rows = [("hello there", "en"), ("the end", "en"), ("été", "fr"), (None, "fr"), ("123", "xx"), ("x", None)]
+    got = L.train_profiles(spark.createDataFrame(rows, "text string, lang string"))
+    want = bundle("hello there") + bundle("the end")
+    assert set(got) == {"en", "fr"} and np.allclose(got["en"], want / np.linalg.norm(want))
+
+
 def test_held_out_accuracy(spark, documents):
     train, test = documents.where("doc_id % 3 != 0"), documents.where("doc_id % 3 = 0 and n_chars >= 100")
     got = L.identify(test, profiles=L.train_profiles(train)).toPandas().merge(test.select("doc_id", "lang").toPandas(), on="doc_id")

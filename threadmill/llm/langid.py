@@ -7,7 +7,7 @@ has the language whose prototype is nearest by cosine. Sums run over distinct tr
 counts, which is the same bundle.
 
 Prototypes count every trigram of every labelled text: one pass that sends only counts by language
-and trigram to the shuffle. The number of languages and of trigrams doesn't grow with the data.
+and trigram to the shuffle, and bundles them on the executors; the driver gets one vector a language.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from .common import GOLD, U64, fmix, need_columns, slices
 DIM = 1024
 N_GRAM_BITS = 21
 MIN_COSINE = 0.15
+KEY_BLOCK = 16384
 SCHEMA = "doc_id bigint, lang string, cosine double, margin double, n_letters bigint, accepted boolean"
 _vectors: dict[int, np.ndarray] = {}
 
@@ -98,8 +99,14 @@ def train_profiles(docs: DataFrame) -> dict[str, np.ndarray]:
     """A unit prototype for each value of `lang` that has letters, from all rows where it isn't null."""
     need_columns(docs, "text", "lang")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, int], int] = {}
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "trigram", "n"])
+            total.clear()
+            return out
+
         for batch in batches:
             for part in slices(batch, "text"):
                 keys, doc, (at, n), _ = trigram_counts(part.column("text"))
@@ -112,19 +119,31 @@ def train_profiles(docs: DataFrame) -> dict[str, np.ndarray]:
                     for i in np.flatnonzero(sums).tolist():
                         cell = (name, int(keys[i]))
                         total[cell] = total.get(cell, 0) + int(sums[i])
+                if len(total) > 500_000:
+                    yield told()
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total]), pa.array([k[1] for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "trigram", "n"])
+            yield told()
 
-    counts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").mapInArrow(run, "lang string, trigram bigint, n bigint")
-    rows = counts.groupBy("lang", "trigram").agg(F.sum("n").alias("n")).toPandas()
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}  # whole numbers, so the order of rows doesn't matter
+        for batch in batches:
+            langs = np.asarray(batch.column("lang").to_pylist(), dtype=object)
+            for lang in sorted(set(langs)):
+                mine = np.flatnonzero(langs == lang)
+                keys, n = np.asarray(batch.column("trigram"))[mine], np.asarray(batch.column("n"))[mine].astype(np.float64)
+                v = sums.setdefault(lang, np.zeros(DIM))
+                for i in range(0, len(keys), 4096):
+                    v += n[i : i + 4096] @ trigram_vectors(keys[i : i + 4096]).astype(np.float64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
+
+    counts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").mapInArrow(count, "lang string, trigram bigint, n bigint")
+    whole = counts.groupBy("lang", "trigram").agg(F.sum("n").alias("n")).repartition("lang").mapInArrow(bundle, "lang string, v array<double>")
     profiles = {}
-    for lang, own in sorted(rows.groupby("lang")):
-        own = own.sort_values("trigram")
-        v = np.zeros(DIM)
-        for i in range(0, len(own), 4096):
-            v += own["n"].to_numpy()[i : i + 4096].astype(np.float64) @ trigram_vectors(own["trigram"].to_numpy()[i : i + 4096]).astype(np.float64)
+    for r in whole.collect():  # DIM numbers for each language
+        v = np.array(r["v"])
         if np.linalg.norm(v) > 0:
-            profiles[lang] = v / np.linalg.norm(v)
+            profiles[r["lang"]] = v / np.linalg.norm(v)
     return profiles
 
 
@@ -155,18 +174,25 @@ class Scorer:
         out = np.zeros((len(letters), len(self.names)))
         if not len(keys):
             return out, letters
-        at_row = self.rows(keys)
-        vectors = self.table[at_row].astype(np.float32)
-        bounds = np.searchsorted(doc, np.arange(len(letters) + 1))
-        block = max(1, (8 << 20) // (4 * len(keys)))
-        for a in range(0, len(letters), block):
-            b = min(len(letters), a + block)
-            lo, hi = bounds[a], bounds[b]
-            dense = np.zeros((b - a, len(keys)), dtype=np.float32)
-            dense[doc[lo:hi] - a, at[lo:hi]] = n[lo:hi]
-            bundle = dense @ vectors
-            norm = np.sqrt(np.einsum("ij,ij->i", bundle, bundle))
-            out[a:b] = (bundle @ self.p) / np.maximum(norm, 1e-9)[:, None]
+        # blocks of trigrams and of documents: memory doesn't depend on how many trigrams a slice has
+        bundle = np.zeros((len(letters), DIM), dtype=np.float32)
+        order = np.argsort(at, kind="stable")
+        doc, at, n = doc[order], at[order], n[order]
+        docs = max(1, (8 << 20) // min(len(keys), KEY_BLOCK))
+        for k in range(0, len(keys), KEY_BLOCK):
+            own = keys[k : k + KEY_BLOCK]
+            at_row = self.rows(own)
+            vectors = self.table[at_row].astype(np.float32)
+            lo, hi = np.searchsorted(at, (k, k + KEY_BLOCK))
+            d, c, x = doc[lo:hi], at[lo:hi] - k, n[lo:hi]
+            for a in range(0, len(letters), docs):
+                mine = (d >= a) & (d < a + docs)
+                if mine.any():
+                    dense = np.zeros((min(docs, len(letters) - a), len(own)), dtype=np.float32)
+                    dense[d[mine] - a, c[mine]] = x[mine]
+                    bundle[a : a + docs] += dense @ vectors
+        norm = np.sqrt(np.einsum("ij,ij->i", bundle, bundle))
+        out[:] = (bundle @ self.p) / np.maximum(norm, 1e-9)[:, None]
         return out, letters
 
 
