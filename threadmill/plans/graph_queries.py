@@ -50,9 +50,9 @@ def w04_same_day(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def g04_build(spark: SparkSession, sf: str) -> DataFrame:
-    """Half of the sessions are stored; the rest is added, and adjacency is made anew."""
+    """One agent's sessions are stored; the rest is added, and adjacency is made anew."""
     s = _sessions(spark, sf)
-    nodes, edges = G.build(s.where("conv_id % 2 = 0"))
+    nodes, edges = G.build(s.where("agent = 'codex'"))
     nodes, edges = G.build(s, nodes, edges)
     return G.stats(nodes, edges)
 
@@ -128,7 +128,7 @@ def s23_graph_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:
-    return sessions(spark, sf).where("conv_id % 5 != 1 and vault_path is not null").select(C("vault_path").alias("path"), C("id").alias("file_id")).union(spark.createDataFrame([("raw/zz.md", "zz")], "path string, file_id string"))
+    return sessions(spark, sf).where("not is_archived and vault_path is not null").select(C("vault_path").alias("path"), C("id").alias("file_id")).union(spark.createDataFrame([("raw/zz.md", "zz")], "path string, file_id string"))
 
 
 def _wiki(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,7 +146,7 @@ def n01_vault_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def n02_orphan_files(spark: SparkSession, sf: str) -> DataFrame:
-    return N.orphan_files(_files(spark, sf), sessions(spark, sf).where("conv_id < 10"))
+    return N.orphan_files(_files(spark, sf), sessions(spark, sf))
 
 
 def n03_duplicates(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,8 +158,7 @@ def n04_missing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def n05_index_counts(spark: SparkSession, sf: str) -> DataFrame:
-    t = turns(spark, sf)
-    return N.index_counts(t, t.where("turn_index > 0"))
+    return N.index_counts(turns(spark, sf), vectors(spark, sf))
 
 
 def n06_orphan_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,8 +229,8 @@ def r15_overview(spark: SparkSession, sf: str) -> DataFrame:
 def f37_merge_pages(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     src = lambda *xs: F.array(*[F.concat(F.lit("s"), x) for x in xs])
-    a = d.where("doc_id % 3 != 0").select(C("doc_id").cast("string").alias("path"), src(C("doc_id") % 5, C("doc_id") % 7).alias("sources"), F.lit("old").alias("body"))
-    b = d.where("doc_id % 2 = 0").select(C("doc_id").cast("string").alias("path"), src(C("doc_id") % 4).alias("sources"), F.lit("new").alias("body"))
+    a = d.where("lang != 'fr'").select(C("doc_id").cast("string").alias("path"), src(C("doc_id") % 5, C("doc_id") % 7).alias("sources"), F.lit("old").alias("body"))
+    b = d.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select(C("doc_id").cast("string").alias("path"), src(C("doc_id") % 4).alias("sources"), F.lit("new").alias("body"))
     return markdown.merge_pages(a, b).select("path", F.array_join("sources", ",").alias("sources"), "body")
 
 
@@ -241,7 +240,7 @@ def t03_job_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def t05_retention(spark: SparkSession, sf: str) -> DataFrame:
-    j = table(spark, sf, "events").select("event_id", C("ts").alias("started_at"), F.when(C("event_id") % 4 != 0, C("ts")).alias("completed_at"))
+    j = table(spark, sf, "events").select("event_id", C("ts").alias("started_at"), F.when(C("event_type") != "click", C("ts")).alias("completed_at"))
     return R.expire_jobs(j, F.lit(datetime(2024, 1, 25))).select("event_id")
 
 
@@ -257,7 +256,7 @@ BASE = TOOLED + """, base as (select 'session:' || id as source, 'project:' || p
 SEM = """, sem as (select 'session:' || id as source, 'issue:' || (conv_id % 10) as target, 'fixes_bug' as relation, 'INFERRED' as confidence, 0.7::double as weight from sessions union all select 'session:' || id, 'file:src/' || (conv_id % 4) || '.rs', 'modifies_file', 'INFERRED', 0.9 from sessions where conv_id % 3 = 0)"""
 ADJ = """, adj as (select id, lead(id) over (partition by project order by start_time, id) as nxt, 'same_project' as relation from sessions where project is not null union all select id, lead(id) over (partition by start_time::date order by start_time, id), 'same_day' from sessions)"""
 NODES = ", nodes as (select distinct target as id from edges)"
-FILES = ", files as (select vault_path as path, id as file_id from sessions where conv_id % 5 != 1 and vault_path is not null union all select 'raw/zz.md', 'zz')"
+FILES = ", files as (select vault_path as path, id as file_id from sessions where not is_archived and vault_path is not null union all select 'raw/zz.md', 'zz')"
 WIKI = """, wiki as (select doc_id, 'projects/' || doc_id || '.md' as path from documents), src as (select path, unnest([(doc_id % 60)::varchar, 'x' || (doc_id % 3)]) as session_id from wiki where doc_id % 10 != 0)"""
 NOISE = "turn_count >= 2 and coalesce(session_type, '') != 'automated' and not (starts_with(coalesce(summary, ''), 'Summarize this') or starts_with(coalesce(summary, ''), 'Write a wiki') or starts_with(coalesce(summary, ''), 'You are a'))"
 L001 = "select 'L001' as code, 'error' as severity, id as session_id, case when vault_path is null then 'no path' else 'missing ' || vault_path end as detail from sessions where vault_path is null or vault_path not in (select path from files)"
@@ -293,10 +292,10 @@ QUERIES = dict([
     _q(g15_delete, GR + " select relation, count(*) as n from edges where relation != 'by_agent' and source != 'session:1' group by 1"),
     _q(s23_graph_json, S_ + BASE + " select (select count(*) from (select source as id from base union select target from base))::int as nodes, (select count(*) from base)::int as links"),
     _q(n01_vault_files, S_ + FILES + " " + L001),
-    _q(n02_orphan_files, S_ + FILES + " select 'L002' as code, 'warn' as severity, file_id as session_id, path as detail from files where not exists (select 1 from sessions where conv_id < 10 and (id = file_id or (length(file_id) <= 8 and starts_with(id, file_id))))"),
+    _q(n02_orphan_files, S_ + FILES + " select 'L002' as code, 'warn' as severity, file_id as session_id, path as detail from files where not exists (select 1 from sessions where (id = file_id or (length(file_id) <= 8 and starts_with(id, file_id))))"),
     _q(n03_duplicates, L003),
     _q(n04_missing, "with " + TURNS_SQL + ", " + VECTORS_SQL + " " + L004),
-    _q(n05_index_counts, "with " + TURNS_SQL + " select 'L005' as code, 'error' as severity, null::varchar as session_id, count(*) || ' turns, ' || count(*) filter (turn_index > 0) || ' indexed' as detail from turns"),
+    _q(n05_index_counts, "with " + TURNS_SQL + " select 'L005' as code, 'error' as severity, null::varchar as session_id, count(*) || ' turns, ' || (select count(*) from embeddings) || ' indexed' as detail from turns"),
     _q(n06_orphan_vectors, S_ + ", " + VECTORS_SQL + " " + L007),
     _q(n07_frontmatter, S_ + WIKI + " " + L008),
     _q(n08_dead_sources, S_ + WIKI + " " + L009),
@@ -311,8 +310,8 @@ QUERIES = dict([
     _q(r10_review, "select event_id as id, event_id % 3 = 0 as approved, case when event_id % 3 = 1 then 1 else 0 end::int as n_issues, event_id % 3 = 1 and event_id % 2 = 0 as regenerate from events"),
     _q(r11_page_path, S_ + " select id, case when project is not null then 'projects/' || project || '---x.md' else 'sessions/' || left(id, 8) || '.md' end as path from sessions"),
     _q(r15_overview, S_ + "," + GRAPH_SQL + NODES + " select (select count(*) from sessions) || ' sessions; projects: ' || (select string_agg(distinct project, ', ' order by project) from sessions) || '; agents: ' || (select string_agg(distinct agent, ', ' order by agent) from sessions) || '; vectors: yes; graph: ' || (select count(*) from nodes) || ' nodes, ' || (select count(*) from edges) || ' edges' as overview"),
-    _q(f37_merge_pages, """with d as (select doc_id::varchar as path, case when doc_id % 3 != 0 then list_sort(list_distinct(['s' || (doc_id % 5), 's' || (doc_id % 7)])) else [] end as a, case when doc_id % 2 = 0 then ['s' || (doc_id % 4)] else [] end as b, doc_id % 3 != 0 as o, doc_id % 2 = 0 as n from documents where doc_id % 3 != 0 or doc_id % 2 = 0)
+    _q(f37_merge_pages, """with d as (select doc_id::varchar as path, case when lang != 'fr' then list_sort(list_distinct(['s' || (doc_id % 5), 's' || (doc_id % 7)])) else [] end as a, case when doc_id in (select doc_id from labels) then ['s' || (doc_id % 4)] else [] end as b, lang != 'fr' as o, doc_id in (select doc_id from labels) as n from documents where lang != 'fr' or doc_id in (select doc_id from labels))
       select path, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') as sources, case when o and (not n or list_contains(a, b[1])) then 'old' else 'new' end as body from d"""),
     _q(t03_job_state, """with e as (select user_id, event_id, (['started', 'running', 'completed', 'failed', 'interrupted'])[(event_id * 7 % 5 + 1)::int] as status from events) select user_id as job_id, coalesce(arg_min(status, event_id) filter (status in ('completed', 'failed', 'interrupted')), arg_max(status, event_id)) as status, count(*) as n_events from e group by 1"""),
-    _q(t05_retention, "select event_id from events where not (event_id % 4 != 0 and ts < timestamp '2024-01-18')"),
+    _q(t05_retention, "select event_id from events where not (event_type != 'click' and ts < timestamp '2024-01-18')"),
 ])

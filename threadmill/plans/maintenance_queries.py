@@ -16,12 +16,12 @@ C = F.col
 
 
 def _wiki(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    d = table(spark, sf, "documents").select(F.concat(F.lit("p/"), "doc_id").alias("path"), C("text").alias("body"), "doc_id")
-    old = d.where("doc_id % 5 != 0").select(
-        "path", F.sha2(F.when(C("doc_id") % 3 == 0, F.concat("body", F.lit("x"))).otherwise(C("body")), 256).alias("content_hash"),
-        F.when(C("doc_id") % 7 == 0, "old").otherwise("new").alias("model_id"), F.array(F.lit(1.0)).alias("embedding"),
+    d = table(spark, sf, "documents").select(F.concat(F.lit("p/"), "doc_id").alias("path"), C("text").alias("body"), "doc_id", "lang")
+    old = d.join(table(spark, sf, "labels"), "doc_id").select(
+        "path", F.sha2(F.when(C("quality") == 0, F.concat("body", F.lit("x"))).otherwise(C("body")), 256).alias("content_hash"),
+        F.when(C("toxic") == 1, "old").otherwise("new").alias("model_id"), F.array(F.lit(1.0)).alias("embedding"),
     )
-    return d.where("doc_id % 11 != 0"), old
+    return d.where("lang != 'de'"), old
 
 
 def m08_wiki_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,13 +84,13 @@ def _q(f, sql: str):  # noqa: ANN001, ANN202
     return f.__name__, (f, sql)
 
 
-ACTION = "case when doc_id % 11 = 0 then 'delete' when doc_id % 5 != 0 and doc_id % 3 != 0 and doc_id % 7 != 0 then 'skip' else 'embed' end"
+ACTION = "case when lang = 'de' then 'delete' when quality = 1 and toxic = 0 then 'skip' else 'embed' end"
 RES = "res as (select id, conv_id, semantic_extracted_at, case when conv_id % 4 = 0 then 'failed' when conv_id % 5 = 0 then 'skipped' else 'ok' end as outcome from sessions)"
 PREFIX = "b as (select *, coalesce(sum(least(length(content), 1000)) over (partition by session_id order by turn_index rows between unbounded preceding and 1 preceding), 0) as before from turns), pr as (select session_id, string_agg('[' || role || '] ' || left(content, 1000), chr(10) order by turn_index) as prompt from b where before <= 3000 group by 1)"
 S_ = "with " + SESSIONS_SQL
 QUERIES = dict([
-    _q(m08_wiki_vectors, f"select 'p/' || doc_id as path, {ACTION} as action from documents where not (doc_id % 11 = 0 and doc_id % 5 = 0)"),
-    _q(m08_wiki_apply, f"select 'p/' || doc_id as path, sha256(text) as content_hash, case when {ACTION} = 'skip' then 1.0::double else 2.0 end as v from documents where {ACTION} != 'delete'"),
+    _q(m08_wiki_vectors, f"select 'p/' || doc_id as path, {ACTION} as action from documents left join labels using (doc_id) where lang != 'de' or quality is not null"),
+    _q(m08_wiki_apply, f"select 'p/' || doc_id as path, sha256(text) as content_hash, case when {ACTION} = 'skip' then 1.0::double else 2.0 end as v from documents left join labels using (doc_id) where {ACTION} != 'delete'"),
     _q(g14_outcomes, S_ + f", {RES} select outcome, count(*) as n from res group by 1"),
     _q(g14_stamp, S_ + f", {RES} select id, case when outcome = 'ok' then timestamp '2024-03-01' else semantic_extracted_at end as semantic_extracted_at from res"),
     _q(v10_run_status, S_ + f", {RES}, c as (select count(*) filter (outcome = 'ok') as ok, count(*) filter (outcome = 'failed') as failed from res) select ok, failed, 'partial' as status, 'all' as what from c union all select 0, failed, 'failed', 'failed' from c union all select ok, 0, 'ok', 'ok' from c"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadmill.functions import text as X
 from threadmill.model import QueryItem, SearchFilters
-from threadmill.operators import bm25, fusion
+from threadmill.operators import bm25, fusion, graph
 from threadmill.operators import vectors as V
 from threadmill.plans.tables import SESSIONS_SQL, VECTORS_SQL, documents_turns, sessions, table, turns, vectors
 from threadmill.plans.text_queries import WORDS_SQL
@@ -154,7 +154,7 @@ def h07_wiki_hybrid(spark: SparkSession, sf: str) -> DataFrame:
 
 def h09_related_mix(spark: SparkSession, sf: str) -> DataFrame:
     s = sessions(spark, sf)
-    near = s.where("conv_id in (1, 2, 9)").select("id")
+    near = graph.neighbors(graph.adjacency(s)).where("id = 'session:6'").select(F.expr("substring(other, 9)").alias("id")).distinct()
     return fusion.related_mix(s, near, "6")
 
 
@@ -218,6 +218,7 @@ QUERIES = dict([
     _q(h06_wiki_semantic, f"with {PAGES} select path, round(1 - ({COS.format('p.embedding')}), 6) + 0.0 as score from p where starts_with(path, 'src3/')"),
     _q(h07_wiki_hybrid, f"""with {PAGES}, k as (select path, case when contains(stem, 'the1') then 2.0 else 1.0 end as s from p where contains(stem, 'the1') or contains(lower(body), 'the1')), v as (select path, round(1 - ({COS.format('p.embedding')}), 9) as s from p),
       x as (select path, 1.0 / (60 + row_number() over (order by s desc, path)) as p from k union all select path, 1.0 / (60 + row_number() over (order by s desc, path)) from v), g as (select path, sum(p) as score from x group by 1) select path, round(score / max(score) over (), 6) as score from g"""),
-    _q(h09_related_mix, "with " + SESSIONS_SQL + """, me as (select project, tags[1] as t from sessions where id = '6'), x as (select * from (select id, 0 as o from sessions where conv_id in (1, 2, 9) order by id limit 5) union all select * from (select s.id, 1 from sessions s, me where s.id != '6' and s.project = me.project order by start_time desc, id limit 5)
+    _q(h09_related_mix, "with " + SESSIONS_SQL + """, adj as (select id as a, lead(id) over (partition by project order by start_time, id) as b from sessions where project is not null union all select id, lead(id) over (partition by start_time::date order by start_time, id) from sessions),
+      near as (select b as id from adj where a = '6' and b is not null union select a from adj where b = '6'), me as (select project, tags[1] as t from sessions where id = '6'), x as (select * from (select id, 0 as o from near order by id limit 5) union all select * from (select s.id, 1 from sessions s, me where s.id != '6' and s.project = me.project order by start_time desc, id limit 5)
       union all select * from (select s.id, 2 from sessions s, me where s.id != '6' and list_contains(s.tags, me.t) order by start_time desc, id limit 5)) select id, (['graph', 'project', 'tag'])[min(o) + 1] as origin from x group by id order by min(o), id limit 10"""),
 ])

@@ -124,8 +124,8 @@ def j06_semi_pair(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j08_full_merge(spark: SparkSession, sf: str) -> DataFrame:
-    a = turns(spark, sf).where("turn_index < 3").select("session_id", "turn_index", F.length("content").alias("left_score"))
-    b = vectors(spark, sf).where("turn_index < 5").select("session_id", "turn_index", C("vec_id").alias("right_score"))
+    a = turns(spark, sf).select("session_id", "turn_index", F.length("content").alias("left_score"))
+    b = vectors(spark, sf).select("session_id", "turn_index", C("vec_id").alias("right_score"))
     return a.join(b, ["session_id", "turn_index"], "full")
 
 
@@ -139,7 +139,7 @@ def j14_prefix_anti(spark: SparkSession, sf: str) -> DataFrame:
 
 def j17_tool_results(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    use, result = e.where("event_id % 2 = 0").select(C("event_id").alias("tool_use_id"), "event_type"), e.where("event_id % 3 = 0").select((C("event_id") * 2).alias("tool_use_id"), C("value").alias("output"))
+    use, result = e.select(C("event_id").alias("tool_use_id"), "event_type"), e.select((C("event_id") * 2).alias("tool_use_id"), C("value").alias("output"))
     return use.join(result, "tool_use_id", "left")
 
 
@@ -244,7 +244,7 @@ def r06_with_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def r09_summary_backfill(spark: SparkSession, sf: str) -> DataFrame:
-    s = sessions(spark, sf).withColumn("summary", F.when(C("conv_id") % 2 == 0, C("summary")))
+    s = sessions(spark, sf).withColumn("summary", F.when(C("is_favorite"), C("summary")))
     return S.summary_backfill(s, turns(spark, sf))
 
 
@@ -256,42 +256,42 @@ def f21_render_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 def m01_upsert(spark: SparkSession, sf: str) -> DataFrame:
     s = sessions(spark, sf)
-    old = s.where("conv_id % 3 != 0").select("id", C("agent").alias("model"), "turn_count", "end_time", "tags", "summary")
-    new = s.where("conv_id % 2 = 0").select("id", F.when(C("conv_id") % 4 == 0, F.lit("m2")).alias("model"), (C("turn_count") + 1).alias("turn_count"), "end_time", F.array(F.lit("x")).alias("tags"), F.lit("new").alias("summary"))
+    old = s.where("agent != 'chatgpt'").select("id", C("agent").alias("model"), "turn_count", "end_time", "tags", "summary")
+    new = s.where("session_type = 'interactive'").select("id", F.when(C("agent") == "codex", F.lit("m2")).alias("model"), (C("turn_count") + 1).alias("turn_count"), "end_time", F.array(F.lit("x")).alias("tags"), F.lit("new").alias("summary"))
     return S.upsert(old, new).select("id", "model", "turn_count", "summary", F.array_join("tags", ",").alias("tags"))
 
 
 def m02_insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
     t = turns(spark, sf).select("session_id", "turn_index", "role")
-    return S.insert_ignore(t.where("turn_index < 2"), t.withColumn("role", F.lit("new")))[0]
+    return S.insert_ignore(t.where("role = 'user'"), t.withColumn("role", F.lit("new")))[0]
 
 
 def m04_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    gone = sessions(spark, sf).where("conv_id % 5 = 0").select(C("id").alias("session_id"))
+    gone = sessions(spark, sf).where("is_archived").select(C("id").alias("session_id"))
     out = S.delete_sessions({"sessions": sessions(spark, sf).select("id"), "turns": turns(spark, sf).select("session_id"), "vectors": vectors(spark, sf).select("session_id")}, gone)
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in out.items()]
     return parts[0].union(parts[1]).union(parts[2])
 
 
 def m05_set_tags(spark: SparkSession, sf: str) -> DataFrame:
-    s = sessions(spark, sf).select("id", "conv_id", "summary")
-    return S.set_fields(s, s.where("conv_id % 3 = 0").select("id", F.concat(F.lit("s"), "id").alias("value")), "summary").select("id", "summary")
+    s = sessions(spark, sf).select("id", "is_favorite", "summary")
+    return S.set_fields(s, s.where("is_favorite").select("id", F.concat(F.lit("s"), "id").alias("value")), "summary").select("id", "summary")
 
 
 def m06_archive(spark: SparkSession, sf: str) -> DataFrame:
-    s = sessions(spark, sf).select("id", "conv_id", "is_archived").withColumn("archived_at", F.when(C("is_archived"), F.lit(datetime(2024, 1, 1))))
-    return S.set_archived(s, s.where("conv_id % 2 = 0").select("id"), True, F.lit(datetime(2024, 2, 1))).select("id", "is_archived", "archived_at")
+    s = sessions(spark, sf).select("id", "is_favorite", "is_archived").withColumn("archived_at", F.when(C("is_archived"), F.lit(datetime(2024, 1, 1))))
+    return S.set_archived(s, s.where("is_favorite").select("id"), True, F.lit(datetime(2024, 2, 1))).select("id", "is_archived", "archived_at")
 
 
 def m07_relative(spark: SparkSession, sf: str) -> DataFrame:
-    s = sessions(spark, sf).withColumn("vault_path", F.when(C("conv_id") % 2 == 0, F.concat(F.lit("/home/v/"), "vault_path")).otherwise(C("vault_path")))
+    s = sessions(spark, sf).withColumn("vault_path", F.when(C("is_favorite"), F.concat(F.lit("/home/v/"), "vault_path")).otherwise(C("vault_path")))
     return S.relative_paths(s, "/home/v").select("id", "vault_path")
 
 
 def s18_changed(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")
     files = p.select(C("url").alias("path"), F.length("html").cast("bigint").alias("size"), C("page_id").alias("mtime")).dropDuplicates(["path"])
-    stored = p.where("page_id % 3 != 0").select(C("url").alias("path"), (F.length("html") + C("page_id") % 2).cast("bigint").alias("size"), C("page_id").alias("mtime")).dropDuplicates(["path"])
+    stored = p.where("url like 'https:%'").select(C("url").alias("path"), (F.length("html") + F.endswith("url", F.lit(".html")).cast("int")).cast("bigint").alias("size"), C("page_id").alias("mtime")).dropDuplicates(["path"])
     return S.source_changed(files.join(p.groupBy(C("url").alias("path")).count().where("count = 1").select("path"), "path", "left_semi"), stored)
 
 
@@ -332,9 +332,9 @@ QUERIES = dict([
     _q(j04_anti_missing, TV + "select distinct session_id from turns t where not exists (select 1 from vectors v where v.session_id = t.session_id and v.turn_index = t.turn_index)"),
     _q(j05_anti_orphan, SV + "select vec_id, session_id from vectors where session_id not in (select id from sessions)"),
     _q(j06_semi_pair, TV + "select session_id, turn_index, left(content, 60) as snippet from turns where (session_id, turn_index) in (select session_id, turn_index from vectors)"),
-    _q(j08_full_merge, TV + "select session_id, turn_index, left_score, right_score from (select session_id, turn_index, length(content)::int as left_score from turns where turn_index < 3) full join (select session_id, turn_index, vec_id as right_score from vectors where turn_index < 5) using (session_id, turn_index)"),
+    _q(j08_full_merge, TV + "select session_id, turn_index, left_score, right_score from (select session_id, turn_index, length(content)::int as left_score from turns) full join (select session_id, turn_index, vec_id as right_score from vectors) using (session_id, turn_index)"),
     _q(j14_prefix_anti, S_ + "select distinct cast(user_id + 40 as varchar) as file_id from events where not exists (select 1 from sessions where starts_with(id, cast(user_id + 40 as varchar)))"),
-    _q(j17_tool_results, "select u.event_id as tool_use_id, u.event_type, r.value as output from events u left join (select event_id * 2 as k, value from events where event_id % 3 = 0) r on r.k = u.event_id where u.event_id % 2 = 0"),
+    _q(j17_tool_results, "select u.event_id as tool_use_id, u.event_type, r.value as output from events u left join (select event_id * 2 as k, value from events) r on r.k = u.event_id"),
     _q(a02_status, SV + "select (select count(*) from sessions) as sessions, (select count(*) from turns) as turns, (select count(*) from turns where coalesce(content, '') != '') as embeddable, count(*) as vectors, count(distinct (session_id, turn_index)) as embedded, round(100.0 * count(distinct (session_id, turn_index)) / (select count(*) from turns where coalesce(content, '') != ''), 6) as coverage from vectors"),
     _q(a03_distinct2, "select count(distinct (l_suppkey, l_returnflag)) as n from lineitem"),
     _q(a05_agents, S_ + "select agent, count(*) as n from sessions group by agent"),
@@ -356,15 +356,15 @@ QUERIES = dict([
     _q(c01_classify, S_ + ", f as (select session_id, arg_min(content, turn_index) as c from turns where role = 'user' group by 1) select id, session_type as old, case when coalesce(regexp_matches(c, '^The|^Nicht'), false) then 'wiki' when project = 'proj3' then 'third' when coalesce(regexp_matches(c, '(?i)thes'), false) then 'long' else 'interactive' end as new from sessions left join f on id = session_id"),
     _q(r05_detail, S_ + ", g as (select session_id, count(*) filter (role = 'user') as user_turns, count(*) filter (role = 'assistant') as assistant_turns, count(*) filter (role = 'system') as system_turns, string_agg('## ' || role || chr(10) || content, chr(10) || chr(10) order by turn_index) as content from turns group by 1) select id, agent, user_turns, assistant_turns, system_turns, content from sessions left join g on id = session_id"),
     _q(r06_with_turns, T_ + "select session_id as id, string_agg(turn_index || role, ',' order by turn_index) as turns from turns group by 1"),
-    _q(r09_summary_backfill, S_ + "select id, summary, case when conv_id % 2 = 0 and summary is not null then 'kept' when summary is not null then 'filled' else 'no user turn' end as outcome from sessions"),
+    _q(r09_summary_backfill, S_ + "select id, summary, case when is_favorite and summary is not null then 'kept' when summary is not null then 'filled' else 'no user turn' end as outcome from sessions"),
     _q(f21_render_roundtrip, T_ + "select session_id as id, turn_index, role, sha256(trim(content)) as sha from turns where length(trim(content)) > 0"),
-    _q(m01_upsert, S_ + """select id, case when o and n and conv_id % 4 != 0 then agent when n then case when conv_id % 4 = 0 then 'm2' end else agent end as model, case when n then turn_count + 1 else turn_count end as turn_count,
-      case when o then summary else 'new' end as summary, case when o then array_to_string(tags, ',') else 'x' end as tags from (select *, conv_id % 3 != 0 as o, conv_id % 2 = 0 as n from sessions) where o or n"""),
-    _q(m02_insert_ignore, T_ + "select session_id, turn_index, case when turn_index < 2 then role else 'new' end as role from turns"),
-    _q(m04_cascade, SV + "select 'sessions' as name, count(*) as n from sessions where conv_id % 5 != 0 union all select 'turns', count(*) from turns where conv_id % 5 != 0 union all select 'vectors', count(*) from vectors where session_id not in (select id from sessions where conv_id % 5 = 0)"),
-    _q(m05_set_tags, S_ + "select id, case when conv_id % 3 = 0 then 's' || id else summary end as summary from sessions"),
-    _q(m06_archive, S_ + "select id, is_archived or conv_id % 2 = 0 as is_archived, case when is_archived then timestamp '2024-01-01' when conv_id % 2 = 0 then timestamp '2024-02-01' end as archived_at from sessions"),
+    _q(m01_upsert, S_ + """select id, case when n and agent = 'codex' then 'm2' when o then agent end as model, case when n then turn_count + 1 else turn_count end as turn_count,
+      case when o then summary else 'new' end as summary, case when o then array_to_string(tags, ',') else 'x' end as tags from (select *, agent != 'chatgpt' as o, coalesce(session_type = 'interactive', false) as n from sessions) where o or n"""),
+    _q(m02_insert_ignore, T_ + "select session_id, turn_index, case when role = 'user' then role else 'new' end as role from turns"),
+    _q(m04_cascade, SV + "select 'sessions' as name, count(*) as n from sessions where not is_archived union all select 'turns', count(*) from turns where session_id not in (select id from sessions where is_archived) union all select 'vectors', count(*) from vectors where session_id not in (select id from sessions where is_archived)"),
+    _q(m05_set_tags, S_ + "select id, case when is_favorite then 's' || id else summary end as summary from sessions"),
+    _q(m06_archive, S_ + "select id, is_archived or is_favorite as is_archived, case when is_archived then timestamp '2024-01-01' when is_favorite then timestamp '2024-02-01' end as archived_at from sessions"),
     _q(m07_relative, S_ + "select id, vault_path from sessions"),
-    _q(s18_changed, "with u as (select url from pages group by url having count(*) = 1) select url as path, not (page_id % 3 != 0 and page_id % 2 = 0) as changed from pages where url in (select url from u)"),
+    _q(s18_changed, "with u as (select url from pages group by url having count(*) = 1) select url as path, not (starts_with(url, 'https:') and not ends_with(url, '.html')) as changed from pages where url in (select url from u)"),
     _q(s19_decide, S_ + "select id, case when p > d + 10 and p > 2 * d then 'rebuild' when agent in ('claude-code', 'codex') and p > d then 'incremental' when agent in ('claude-code', 'codex') and p = d then 'skip' else 'rebuild' end as action from (select *, turn_count * case when conv_id % 6 = 0 then 4 else 1 end as p, conv_id % 9 as d from sessions)"),
 ])
