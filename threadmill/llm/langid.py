@@ -73,8 +73,11 @@ def trigram_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     keep[starts] = True
     code, doc, letter = np.where(letter, code, 32)[keep], doc[keep], letter[keep]
     n_letters = np.bincount(doc[letter], minlength=len(lower))
-    alphabet, sym = np.unique(code, return_inverse=True)
+    met = np.zeros(int(code.max(initial=0)) + 1, bool)
+    met[code] = True
+    alphabet = np.flatnonzero(met)
     k = len(alphabet)
+    sym = (np.cumsum(met) - 1)[code]
     if len(code) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((2, 0), np.int64), n_letters
     tri = (sym[:-2] * k + sym[1:-1]) * k + sym[2:]
@@ -176,14 +179,15 @@ class Scorer:
             return out, letters
         # blocks of trigrams and of documents: memory doesn't depend on how many trigrams a slice has
         bundle = np.zeros((len(letters), DIM), dtype=np.float32)
-        order = np.argsort(at, kind="stable")
-        doc, at, n = doc[order], at[order], n[order]
+        if len(keys) > KEY_BLOCK:
+            order = np.argsort(at, kind="stable")
+            doc, at, n = doc[order], at[order], n[order]
         docs = max(1, (8 << 20) // min(len(keys), KEY_BLOCK))
         for k in range(0, len(keys), KEY_BLOCK):
             own = keys[k : k + KEY_BLOCK]
             at_row = self.rows(own)
             vectors = self.table[at_row].astype(np.float32)
-            lo, hi = np.searchsorted(at, (k, k + KEY_BLOCK))
+            lo, hi = np.searchsorted(at, (k, k + KEY_BLOCK)) if len(keys) > KEY_BLOCK else (0, len(at))
             d, c, x = doc[lo:hi], at[lo:hi] - k, n[lo:hi]
             for a in range(0, len(letters), docs):
                 mine = (d >= a) & (d < a + docs)
