@@ -75,4 +75,4 @@ def test_table(spark, documents, odd, empty, model):
     assert rows.columns == odd.columns and sorted(map(str, rows.collect())) == sorted(map(str, odd.collect()))
     assert pii.redact(odd, model).count() == odd.count() and pii.redact(empty, model).count() == 0
     df = spark.createDataFrame([(1, "mail a.b@c.org", None, None, 14), (None, None, None, None, None)], documents.schema)
-    assert sorted(map(tuple, pii.redact_rows(df, model).select("text", "n_chars").collect()), key=str) == [(None, None), ("mail [EMAIL]", 12)]
+    assert {tuple(r) for r in pii.redact_rows(df, model).select("text", "n_chars").collect()} == {(None, None), ("mail [EMAIL]", 12)}

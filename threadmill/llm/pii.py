@@ -109,7 +109,9 @@ def example(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     pick = r.randrange(24)
     lead, true = "", True
     if pick == 0:
-        kind, v = "EMAIL", f"{_word(r)}.{r.randint(0, 99)}@{_word(r).replace('é', 'e').replace('ó', 'o')}{r.randint(1, 9)}.example.{r.choice(['com', 'org', 'net'])}"
+        name, host = _word(r), _word(r).replace("é", "e").replace("ó", "o")
+        tld = r.choice(["com", "org", "net", "de", "co.uk"])
+        kind, v = "EMAIL", r.choice([f"{name}.{r.randint(0, 99)}@{host}{r.randint(1, 9)}.example.{tld}", f"{name}.{_word(r)}@{host}.{tld}", f"{name[0]}.{name[-1]}@{host[0]}.{tld}", f"{name}@{host}.{tld}"])
     elif pick in (1, 2):
         kind, v = "PHONE", r.choice([f"+{r.randint(1, 99)} ({n(3)}) {n(3)}-{n(4)}", f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"+{r.randint(1, 99)} {n(3)} {n(3)} {n(4)}", f"+{r.randint(10, 99)} {n(2)} {n(2)} {n(2)} {n(2)}", f"{n(3)}.{n(3)}.{n(4)}", f"1-{n(3)}-{n(3)}-{n(4)}", f"0{r.randint(1, 9)} {n(2)} {n(2)} {n(2)} {n(2)}"])
         lead = r.choice(["", "", "call", "phone:"])
