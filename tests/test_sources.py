@@ -114,7 +114,7 @@ def folder(tmp_path):
     d = tmp_path / ".claude" / "projects" / "p"
     d.mkdir(parents=True)
     (d / "s1.jsonl").write_bytes(lines(*EVENTS))
-    (d / "bad.jsonl").write_bytes(b"")
+    (d / "bad.jsonl").write_bytes(b"\n")
     (d / "subagents").mkdir()
     (d / "subagents" / "x.jsonl").write_bytes(lines(*EVENTS))
     return tmp_path

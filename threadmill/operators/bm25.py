@@ -47,8 +47,8 @@ def hits(index: Index, terms: list[str]) -> DataFrame:
     """The postings of the terms; prunes buckets where the index was saved."""
     p = index.postings
     if "bucket" in p.columns:
-        wanted = F.pmod(F.xxhash64(F.explode(F.array(*map(F.lit, terms)))), F.lit(BUCKETS)).cast("int")
-        numbers = [r[0] for r in p.sparkSession.range(1).select(wanted).collect()]  # one for each query term
+        own = p.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("term"))
+        numbers = [r[0] for r in own.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).collect()]  # one for each query term
         p = p.where(F.col("bucket").isin(numbers))
     return p.where(F.col("term").isin(terms))
 

@@ -177,7 +177,9 @@ def embed(chunked: DataFrame, embedder: Callable[[list[str]], list[list[float]]]
                             found.append(None)
                 ok = [v is not None and len(v) > 0 and bool(np.isfinite(v).all()) for v in found]
                 own = part.loc[ok, ["session_id", "turn_index", "seq"]].rename(columns={"seq": "chunk_seq"})
-                yield own.assign(model=model, embedding=[[float(x) for x in v] for v, k in zip(found, ok, strict=True) if k])
+                made = pd.Series([np.asarray(v, dtype=np.float32) for v, k in zip(found, ok, strict=True) if k], index=own.index, dtype=object)
+                if len(own):
+                    yield own.assign(model=model, embedding=made)
 
     return chunked.select("session_id", "turn_index", "seq", "text").mapInPandas(run, "session_id string, turn_index int, chunk_seq int, model string, embedding array<float>")
 

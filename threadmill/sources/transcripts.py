@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -16,6 +17,7 @@ from pathlib import PurePosixPath
 from typing import Any
 
 import pandas as pd
+import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -444,9 +446,18 @@ def parse_file(path: str, data: bytes) -> list[dict[str, Any]]:
         return [{"path": path, "error": f"{type(e).__name__}: {e}"[:300], "turns": []} | none]
 
 
+def hidden_folders(root: str) -> list[str]:
+    """Folders below the root whose names start with a dot or an underscore: Spark's listing passes
+    over them unless they are named, and agents keep their files in such."""
+    fs, base = pfs.FileSystem.from_uri(root) if "://" in root else (pfs.LocalFileSystem(), os.path.abspath(root))
+    prefix = root[: len(root) - len(base)] if "://" in root else ""
+    found = [x.path for x in fs.get_file_info(pfs.FileSelector(base, recursive=True, allow_not_found=True)) if x.type == pfs.FileType.Directory and PurePosixPath(x.path).name[0] in "._"]
+    return [prefix + p for p in sorted(found)]
+
+
 def find_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Files below the root as (path, modificationTime, length, content), without those of subagents."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load([root, *hidden_folders(root)])
     return found.where(~F.contains("path", F.lit("/subagents/")))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmill.functions import markdown
+from threadmill.sources.transcripts import hidden_folders
 
 
 def write(rendered: DataFrame, root: str) -> DataFrame:
@@ -38,9 +39,10 @@ def write(rendered: DataFrame, root: str) -> DataFrame:
 
 def read(spark: SparkSession, root: str) -> DataFrame:
     """(path, markdown) of every markdown file below the root; path is relative to it."""
-    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text([root, *hidden_folders(root)], wholetext=True)
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # names come as in a url
     clean = root.removeprefix("file://").rstrip("/")
-    return found.select(F.substring_index(F.col("_metadata.file_path"), clean + "/", -1).alias("path"), F.col("value").alias("markdown"))
+    return found.select(F.substring_index(plain, clean + "/", -1).alias("path"), F.col("value").alias("markdown"))
 
 
 def reindex(files: DataFrame) -> tuple[DataFrame, DataFrame]:
