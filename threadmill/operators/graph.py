@@ -116,18 +116,19 @@ def neighbors(edges: DataFrame) -> DataFrame:
 def related_sessions(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None = None, via_hubs: bool = False) -> DataFrame:
     """(session_id, relation, hop): sessions within 1 to 3 hops of `seeds` (session_id) over edges
     between sessions (any edges with `via_hubs`), at their least hop, seeds left out. The relation is
-    the first by name of those that lead there. Each hop is one join, with what was seen taken out."""
+    the first by name of those that lead there. Each hop is one join of the edges with what the last one
+    reached; the least hop is taken at the end, so that no step is in the plan more than once a hop."""
     both = neighbors(edges).select("id", "other", "relation")
     if not via_hubs:
         both = both.where(F.startswith("id", F.lit("session:")) & F.startswith("other", F.lit("session:")))
-    seen = seeds.select(_session("session_id").alias("id")).distinct()
-    frontier, found = seen, None
+    start = seeds.select(_session("session_id").alias("id")).distinct()
+    walk, found = start, None
     for hop in range(1, min(3, max(1, hops)) + 1):
-        step = both.join(frontier, "id", "left_semi").groupBy("other").agg(F.min("relation").alias("relation")).withColumnRenamed("other", "id").join(seen, "id", "left_anti")
-        step = step.withColumn("hop", F.lit(hop))
+        step = both.join(walk, "id", "left_semi").groupBy("other").agg(F.min("relation").alias("relation")).withColumnRenamed("other", "id").withColumn("hop", F.lit(hop))
         found = step if found is None else found.unionByName(step)
-        frontier = step.select("id")
-        seen = seen.union(frontier)
+        walk = step.select("id")
+    # the shortest walk to a session comes from one that is a hop nearer, so its relation is the one sought
+    found = found.groupBy("id").agg(F.min(F.struct("hop", "relation")).alias("w")).select("id", "w.*").join(start, "id", "left_anti")
     out = found.where(F.startswith("id", F.lit("session:"))).select(F.expr("substring(id, 9)").alias("session_id"), "relation", "hop")
     return out.orderBy("hop", "relation", "session_id").limit(limit) if limit is not None else out
 
