@@ -58,6 +58,11 @@ def f14_wiki_safe(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.wiki_safe(F.substring("text", 1, 60)).alias("name"))
 
 
+def f14_wiki_safe_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """f14_wiki_safe has the first 60 characters only, as its SQL; this has all."""
+    return table(spark, sf, "documents").select("doc_id", X.wiki_safe(C("text")).alias("name"))
+
+
 def f15_tag_norm(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.normalize_tag(C("text")).alias("tag"))
 
@@ -66,6 +71,11 @@ def f16_tag_list(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_join(X.normalize_tags(F.split(F.substring("text", 1, 200), " ")), ",").alias("tags"))
 
 
+def f16_tag_list_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """f16_tag_list has the first 200 characters only, as its SQL; this has all."""
+    return table(spark, sf, "documents").select("doc_id", F.array_join(X.normalize_tags(F.split("text", " ")), ",").alias("tags"))
+
+
 def f17_summary(spark: SparkSession, sf: str) -> DataFrame:
     u = F.when(C("role") == "user", C("turn_index"))
     return turns(spark, sf).groupBy("session_id").agg(F.min_by("content", u).alias("c")).select("session_id", X.first_line(C("c")).alias("summary"))
@@ -154,7 +164,7 @@ def s15_epoch(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", X.epoch_to_timestamp(x).alias("ts"))
 
 
-def _both(f, sql: str):  # noqa: ANN001, ANN202
+def _both(f, sql: str | None):  # noqa: ANN001, ANN202
     return f.__name__, (f, sql)
 
 
@@ -171,8 +181,10 @@ QUERIES = dict([
     _both(f12_truncate_bytes, "with c as (select doc_id, text, list_max(list_filter(range(0, least(length(text), 101) + 1), lambda i: strlen(left(text, i)) <= 101)) as k from documents) select doc_id, left(text, k) as cut, strlen(left(text, k))::int as n_bytes from c"),
     _both(f13_sanitize, rf"select doc_id, left(trim(regexp_replace(text, '[^{WORD}_ -]', '_', 'g')), 50) as name from documents"),
     _both(f14_wiki_safe, rf"select doc_id, regexp_replace(regexp_replace(left(text, 60), '[^{WORD}]', '-', 'g'), '^-+|-+$', '', 'g') as name from documents"),
+    _both(f14_wiki_safe_whole, None),
     _both(f15_tag_norm, "select doc_id, " + TAGS.format("text") + " as tag from documents"),
     _both(f16_tag_list, "select doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(left(text, 200), ' '), lambda t: " + TAGS.format("t") + "), lambda t: t != ''))), ',') as tags from documents"),
+    _both(f16_tag_list_whole, None),
     _both(f17_summary, r"with t as (select conv_id, trim(regexp_extract(arg_min(text, turn) filter (role = 'user'), '^\s*([^\r\n]*)', 1)) as line from conversations group by conv_id) select cast(conv_id as varchar) as session_id, nullif(case when length(line) > 80 then left(line, 80) || '...' else line end, '') as summary from t"),
     _both(f23_blank_lines, r"select doc_id, sha256(regexp_replace(replace(text, '.', '.' || chr(10) || chr(10) || chr(10)), '\n([ \t]*\n){2,}', chr(10) || chr(10), 'g')) as sha from documents"),
     _both(f25_vault_path, "select cast(conv_id as varchar) as id, 'raw/.sessions/' || strftime(make_timestamp((1704067200 + conv_id * 3600) * 1000000), '%Y-%m-%d') || '/' || (['claude-code', 'codex', 'gemini-cli', 'chatgpt'])[(conv_id % 4 + 1)::int] || '_' || case when conv_id % 13 != 0 then 'proj' || (conv_id % 7) else 'unknown' end || '_' || left(cast(conv_id as varchar), 8) || '.md' as path from (select distinct conv_id from conversations)"),
