@@ -51,3 +51,16 @@ def test_odd_rows(spark, odd, empty):
     df = spark.createDataFrame([(None, "Released under the MIT License."), (1, "Released under the MIT License.\n" * 3), (1, "Released under the MIT License.\n" * 3), (2, "word " * 100_000 + "\nLicensed under CC BY 4.0.")], "doc_id bigint, text string")
     assert sorted(((r.doc_id, r.license) for r in S.scan(df).collect()), key=str) == [(1, "MIT"), (1, "MIT"), (2, "CC-BY-4.0"), (None, "MIT")]
     assert S.scan(df, {}).count() == 0
+
+
+def test_every_paragraph_of_a_license_is_found():
+    mit = 'MIT License\n\nCopyright (c) 2020 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.'
+    assert [(no, f[2]) for no, f in S.scan_text(mit, KEY)] == [(0, "MIT"), (2, "MIT"), (3, "MIT")]
+    assert [f[2] for _, f in S.scan_text("Prose.\nAll rights reserved.", KEY)] == ["All-Rights-Reserved"]
+    assert [f[2] for _, f in S.scan_text("Copyright (c) 2020 A. Person. All rights reserved.", KEY)] == ["All-Rights-Reserved"]
+
+
+def test_every_planted_license_line(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r.doc_id for r in df.collect() if r.text and re.search(r"(?i)released under the MIT|licensed under (the (Apache|GNU)|CC BY)|all rights reserved", r.text)}
+    assert {r.doc_id for r in S.scan(df).collect()} == want and {29, 163, 584, 684, 831, 888, 975} <= want

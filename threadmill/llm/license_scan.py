@@ -27,6 +27,9 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the MIT License.",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "MIT License",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -59,7 +62,7 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
     "CC0-1.0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
-    "All-Rights-Reserved": ["Copyright. All rights reserved."],
+    "All-Rights-Reserved": ["Copyright. All rights reserved.", "All rights reserved."],
 }
 ANCHOR = r"(?i)licen[sc]e|licens|sublicens|copyright|spdx|hereby granted|redistribut|rights reserved|public domain|creative commons|free software|unencumbered|cc0|cc by"
 WORDS = re.compile(r"[\w.+-]*\w")
