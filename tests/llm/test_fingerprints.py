@@ -62,3 +62,37 @@ def test_shared_phrases(spark):
     df = spark.createDataFrame([(1, text), (2, "x y z " + text), (3, "nothing in common")], "doc_id bigint, text string")
     shared = L.shared_phrases(L.lcp_fingerprints(df)).collect()
     assert len(shared) > 20 and all(r.n_docs == 2 and r.first_doc_id == 1 for r in shared)
+
+
+def test_shared_passages_are_reported_by_a_query(spark, tmp_path, odd, empty):
+    from threadmill.llm.queries import QUERIES
+
+    r = np.random.default_rng(11)
+    w = lambda n: " ".join(f"w{x}" for x in r.integers(0, 3000, n))
+    rows, planted = [], []
+    for g in range(60):
+        passage, ids = w(int(r.integers(51, 120))), [g * 10 + j for j in range(int(r.integers(2, 5)))]
+        planted.append((ids, len(passage.split())))
+        rows += [(i, f"{w(int(r.integers(0, 80)))} {passage} {w(int(r.integers(0, 60)))}") for i in ids]
+    rows += [(10_000 + i, w(200)) for i in range(20)] + [(None, rows[0][1]), (20_000, w(90)), (20_001, None)] + [(20_000, "x " * 30)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(list(x.doc_ids), x.n_docs, x.first_doc_id, x.start_word, x.n_words) for x in QUERIES["op1_shared_passages"](spark, str(tmp_path)).collect()]
+    text = {i: t.split() for i, t in rows if i is not None and t}
+    for ids, n in planted:
+        mine = [x for x in got if set(x[0]) <= set(ids)]
+        assert any(x[0] == ids and x[1] == len(ids) for x in mine) and all(x[4] <= n for x in mine)
+    for ids, _, first, start, n in got:
+        piece = " " + " ".join(text[first][start : start + n]) + " "
+        assert n >= 12 and first == ids[0] and all(piece in " " + " ".join(text[i]) + " " for i in ids)
+    assert {i for ids, *_ in got for i in ids} == {i for ids, _ in planted for i in ids}
+    assert L.shared_passages(empty).count() == 0 and L.shared_passages(odd).count() == 0
+
+
+def test_parts_with_more_documents_are_rows_of_their_own(spark):
+    r = np.random.default_rng(12)
+    w = lambda n: " ".join(f"w{x}" for x in r.integers(0, 3000, n))
+    a, b, c = w(100), w(100), w(100)
+    df = spark.createDataFrame([(1, f"{a} {b} {c}"), (2, f"{w(9)} {a} {b} {c}"), (3, f"{w(30)} {b} {w(5)}")], "doc_id bigint, text string")
+    got = [(x.start_word, x.n_words, x.doc_ids) for x in L.shared_passages(df).orderBy("start_word").collect()]
+    assert [d for _, _, d in got] == [[1, 2], [1, 2, 3], [1, 2]]
+    assert got[0][0] < 40 and got[2][0] + got[2][1] > 270

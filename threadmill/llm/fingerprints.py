@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import GOLD, U64, fmix, list_array, need_columns, slices, word_hashes
@@ -151,3 +151,59 @@ def shared_phrases(fingerprints: DataFrame, min_words: int = 4) -> DataFrame:
     one = one.where(F.col("p.phrase_words") >= min_words).select("doc_id", F.col("p.phrases").alias("phrase"), F.col("p.phrase_words").alias("words")).distinct()
     found = one.groupBy("phrase").agg(F.max("words").alias("words"), F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc_id"))
     return found.where("n_docs > 1")
+
+
+def phrase_windows(names: np.ndarray, sizes: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """From each phrase on, the fewest phrases of its document with `least` words or more: name,
+    document, phrase number, first word, words. Phrases with too few words after them give none."""
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    to = np.searchsorted(ends, starts + least)
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    at = np.flatnonzero(to < off[1:][doc])
+    n, doc = to[at] - at + 1, doc[at]
+    h = fmix(names[at] + U64(0x5DEECE66D))
+    for t in range(1, int(n.max(initial=1))):
+        more = np.flatnonzero(n > t)
+        h[more] = fmix(h[more] * GOLD + names[at[more] + t])
+    first = off[:-1][doc]
+    return h, doc, at - first, starts[at] - starts[first], ends[to[at]] - starts[at]
+
+
+def shared_passages(docs: DataFrame, min_words: int = 12, level: int = 2) -> DataFrame:
+    """(first_doc_id, start_word, n_words, n_docs, doc_ids): passages that several documents hold, as
+    place in the document with the least id and the ordered ids of all documents that hold it.
+
+    Windows of phrases with at least `min_words` words are joined over all documents, and windows that
+    follow each other in the first document and have the same documents are one passage. Where a part
+    has more documents than the rest, each part is a row of its own. Names near a passage's ends differ
+    (see above), so n_words may leave out words there; passages of over 50 words are found at level 2.
+    Within a document the first place of a window counts. Null ids don't count as documents.
+    """
+    need_columns(docs, "doc_id", "text")
+    if min_words < 1 or level < 0:
+        raise ValueError("min_words is 1 or more, level 0 or more")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                names, sizes, off = parse(part.column("text"), level)[3:]
+                h, doc, k, start, words = phrase_windows(names, sizes, off, min_words)
+                order = np.lexsort((k, h, doc))
+                new = np.ones(len(h), bool)
+                new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+                at = order[new]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[at].view(np.int64)), part.column("doc_id").cast(pa.int64()).take(pa.array(doc[at])), pa.array(k[at] << 31 | start[at], pa.int64()), pa.array(words[at], pa.int32())],
+                    ["window", "doc_id", "place", "words"],
+                )
+
+    one = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, "window bigint, doc_id bigint, place bigint, words int")
+    same = Window.partitionBy("window")
+    several = one.withColumns({"least": F.min("doc_id").over(same), "most": F.max("doc_id").over(same)}).where("least < most")
+    found = several.groupBy("window").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"), F.min(F.struct("doc_id", "place", "words")).alias("p"))
+    found = found.select("window", "doc_ids", F.xxhash64("doc_ids").alias("set"), F.col("p.doc_id").alias("first_doc_id"), F.shiftright("p.place", 31).alias("k"), F.col("p.place").bitwiseAND((1 << 31) - 1).alias("start"), F.col("p.words").alias("words"))
+    number = F.row_number().over(Window.partitionBy("first_doc_id", "set").orderBy("k", "start", "window"))
+    runs = found.withColumn("run", F.col("k") - number).groupBy("first_doc_id", "set", "run")
+    runs = runs.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("words")).alias("end"), F.first("doc_ids").alias("doc_ids"))
+    return runs.select("first_doc_id", F.col("start").cast("int").alias("start_word"), (F.col("end") - F.col("start")).cast("int").alias("n_words"), F.size("doc_ids").alias("n_docs"), "doc_ids")
