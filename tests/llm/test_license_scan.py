@@ -64,3 +64,19 @@ def test_every_planted_license_line(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = {r.doc_id for r in df.collect() if r.text and re.search(r"(?i)released under the MIT|licensed under (the (Apache|GNU)|CC BY)|all rights reserved", r.text)}
     assert {r.doc_id for r in S.scan(df).collect()} == want and {29, 163, 584, 684, 831, 888, 975} <= want
+
+
+def test_every_license_of_a_block_is_found():
+    names = lambda t: [f[2] for _, f in S.scan_text(t, KEY)]
+    wrapped = "Licensed under the\nApache License,\nVersion 2.0."
+    assert names("Released under the MIT License.\n" + wrapped) == ["Apache-2.0", "MIT"] == names(wrapped + "\nReleased under the MIT License.")
+    assert names(wrapped + "\nThis work is licensed under the GNU General\nPublic License, version 3.") == ["Apache-2.0", "GPL-3.0"]
+    assert names("Licensed under the\nMIT License.\n" + wrapped + "\nLicensed under CC\nBY 4.0.") == ["Apache-2.0", "CC-BY-4.0", "MIT"]
+    assert names("Released under the MIT License. Licensed under CC BY 4.0.") == ["CC-BY-4.0", "MIT"]
+    assert names("Released under the MIT License. Licensed under the\nApache License, Version 2.0.") == ["Apache-2.0", "MIT"]
+    assert names("Some prose about a license\n" * 40 + wrapped + "\nmore prose\n" * 40) == ["Apache-2.0"]
+
+
+def test_repeated_notices_are_one_finding_each():
+    assert [f[2] for _, f in S.scan_text("Released under the MIT License. " * 3000, KEY)] == ["MIT"]
+    assert [f[2] for _, f in S.scan_text("This work is licensed under the\nGNU General Public License, version 3.\n" * 500, KEY)] == ["GPL-3.0"]

@@ -1,15 +1,17 @@
 """License scans by conditional compression.
 
 A block is a run of lines without a blank line between them. Blocks with a word stem that license
-wording uses are candidates; each line of a candidate, and the candidate as a whole, is compressed
-alone and with each template as a raw zstandard dictionary. Templates are ranked by the bytes saved,
-and the best are confirmed by their exact differences in wording.
+wording uses are candidates; each line of a candidate, and the runs of lines that are left, are
+compressed alone and with each template as a raw zstandard dictionary. Templates are ranked by the
+bytes saved, and the best are confirmed by their exact differences in wording. A confirmed wording is
+taken out and the rest judged again, so that a block gives all its licenses.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -88,56 +90,141 @@ def flat(templates: dict[str, list[str]]) -> tuple[tuple[str, int, str], ...]:
     return tuple((name, no, text) for name in sorted(templates) for no, text in enumerate(templates[name]))
 
 
-def difference(template: str, text: str) -> tuple[float, list[str], list[str]]:
-    """The share of the template's words that the text has in order, the words it lacks, and those it
-    has in between (what stands before the first common word or after the last isn't counted)."""
-    a, b = [w.lower() for w in WORDS.findall(template)], [w.lower() for w in WORDS.findall(text)]
+def words_of(text: str) -> list[str]:
+    return [w.lower() for w in WORDS.findall(text)]
+
+
+def _aligned(a: list[str], b: list[str]) -> tuple[float, list[str], list[str], int, int]:
+    """difference(), and the first and last word of b that a has; -1 where there is none."""
     blocks = [m for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
     if not blocks:
-        return 0.0, a, []
+        return 0.0, a, [], -1, -1
     got = {i for m in blocks for i in range(m.a, m.a + m.size)}
     there = {i for m in blocks for i in range(m.b, m.b + m.size)}
     lo, hi = min(there), max(there)
-    return len(got) / len(a), [w for i, w in enumerate(a) if i not in got], [b[i] for i in range(lo, hi) if i not in there]
+    return len(got) / len(a), [w for i, w in enumerate(a) if i not in got], [b[i] for i in range(lo, hi) if i not in there], lo, hi
+
+
+def difference(template: str, text: str) -> tuple[float, list[str], list[str]]:
+    """The share of the template's words that the text has in order, the words it lacks, and those it
+    has in between (what stands before the first common word or after the last isn't counted)."""
+    return _aligned(words_of(template), words_of(text))[:3]
+
+
+@lru_cache(maxsize=4)
+def _bags(key: tuple[tuple[str, int, str], ...]) -> dict[tuple[str, int], Counter[str]]:
+    return {(name, no): Counter(words_of(text)) for name, no, text in key}
+
+
+def _fits(words: Counter[str], bag: Counter[str]) -> bool:
+    """Whether the words are enough for the template in some order; without, it can't be confirmed."""
+    return sum(min(n, words[w]) for w, n in bag.items()) >= COVERED * bag.total()
 
 
 @lru_cache(maxsize=20_000)
 def judge(block: str, key: tuple[tuple[str, int, str], ...]) -> tuple | None:
     """The confirmed template for the block: of those whose wording differs little, the one with most
-    bytes saved, then fewest differences, then the first by name; None if none is confirmed."""
+    bytes saved, then fewest differences, then the first by name; None if none is confirmed. The last
+    field is the wording's place in the block, as first and end character."""
     global _plain
+    words, bags = words_of(block), _bags(key)
+    bag = Counter(words)
+    if not any(_fits(bag, x) for x in bags.values()):
+        return None
     if _plain is None:
         _plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
     raw = " ".join(block.split()).encode("utf-8", "replace")
     alone = len(_plain.compress(raw))
-    sizes = sorted((len(c.compress(raw)), name, no, text) for name, no, text, c in _compressors(key))
+    sizes = sorted((len(c.compress(raw)), name, no, text) for name, no, text, c in _compressors(key) if _fits(bag, bags[name, no]))
     best = None
     for given, name, no, text in sizes:
         if given >= alone or (best is not None and given > best[0]):
             break
-        share, missing, extra = difference(text, block)
-        if share >= COVERED and len(extra) <= EXTRA * len(WORDS.findall(text)):
-            found = (given, len(missing) + len(extra), name, no, alone, share, missing, extra)
+        own = words_of(text)
+        share, missing, extra, lo, hi = _aligned(own, words)
+        if share >= COVERED and len(extra) <= EXTRA * len(own):
+            found = (given, len(missing) + len(extra), name, no, alone, share, missing, extra, (lo, hi))
             best = found if best is None or found[:4] < best[:4] else best
-    return best
+    if best is None:
+        return None
+    places = [m.span() for m in WORDS.finditer(block)]
+    lo, hi = best[8]
+    return *best[:8], (places[lo][0], places[hi][1])
 
 
 def blocks_of(text: str) -> list[str]:
     return [b for b in re.split(r"\n\s*\n", text) if b.strip()]
 
 
+def _line_run(text: str, key: tuple[tuple[str, int, str], ...]) -> tuple | None:
+    """The confirmed finding of a run of the text's lines with most bytes saved, then of the fewest
+    lines, then the first; its place is that in the text. A wording has at most 1 + EXTRA times its
+    template's words, so runs end when the lines between first and last have more than that."""
+    bags = _bags(key)
+    whole = Counter(words_of(text))
+    near = [x for x in bags.values() if _fits(whole, x)]
+    if not near:
+        return None
+    most = (1 + EXTRA) * max(x.total() for x in near)
+    lines = [(m.start(), m.end(), words_of(m[0])) for m in re.finditer(r"[^\n]+", text)]
+    best = None
+    for i, (start, _, _) in enumerate(lines):
+        bag: Counter[str] = Counter()
+        between = 0
+        for j in range(i, len(lines)):
+            between += len(lines[j - 1][2]) if j > i + 1 else 0
+            if between > most:
+                break
+            bag.update(lines[j][2])
+            if any(_fits(bag, x) for x in near) and (f := judge(text[start : lines[j][1]], key)):
+                found = (f[0] - f[4], j - i, i, f, start)
+                best = found if best is None or found[:3] < best[:3] else best
+    if best is None:
+        return None
+    f, start = best[3:]
+    return *f[:8], (f[8][0] + start, f[8][1] + start)
+
+
+def find_all(text: str, key: tuple[tuple[str, int, str], ...]) -> tuple[list[tuple], list[str]]:
+    """All findings in the text, and the pieces of it that none covers: the best finding's wording is
+    taken out wherever it stands, and what is left on its sides is judged again."""
+    found, rest, seen, todo = [], [], set(), [text]
+    while todo:
+        piece = todo.pop()
+        if piece in seen:
+            continue
+        seen.add(piece)
+        f = None
+        if _anchor.search(piece):
+            f = judge(piece, key)
+            if f is None and "\n" in piece.strip():
+                f = _line_run(piece, key)
+        if f is None:
+            rest.append(piece)
+        else:
+            found.append(f)
+            todo += piece.split(piece[slice(*f[8])])[::-1]
+    return found, rest
+
+
 def scan_text(text: str, key: tuple[tuple[str, int, str], ...]) -> list[tuple[int, tuple]]:
-    """(block number, finding): for each candidate block the findings of its lines, those of the whole
-    block where it has several lines and no line alone is confirmed. One finding for each license."""
+    """(block number, finding): for each candidate block the findings of its lines, and those of the
+    runs of lines that are left between them. One finding for each license."""
     out = []
     for no, block in enumerate(blocks_of(text)):
         if not _anchor.search(block):
             continue
-        lines = [x for x in block.split("\n") if x.strip()]
-        near = [x for x in lines if _anchor.search(x)]
-        found = [f for f in (judge(x, key) for x in dict.fromkeys(near)) if f]
-        if not found and len(lines) > 1:
-            found = [f for f in [judge(block, key)] if f]
+        found, runs = [], [[]]
+        for line in (x for x in block.split("\n") if x.strip()):
+            f, rest = find_all(line, key) if _anchor.search(line) else ([], [line])
+            found += f
+            if f:  # a notice may begin or end beside the one that the line has
+                runs[-1].append(rest[0] if line.startswith(rest[0]) else "") if rest else None
+                runs.append([rest[-1]] if rest and line.endswith(rest[-1]) else [])
+            else:
+                runs[-1].append(line)
+        for run in dict.fromkeys("\n".join(x) for x in runs if len(x) > 1):
+            found += find_all(run, key)[0]
         best: dict[str, tuple] = {}
         for f in found:
             best[f[2]] = min(best.get(f[2], f), f)
