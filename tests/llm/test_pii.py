@@ -76,3 +76,16 @@ def test_table(spark, documents, odd, empty, model):
     assert pii.redact(odd, model).count() == odd.count() and pii.redact(empty, model).count() == 0
     df = spark.createDataFrame([(1, "mail a.b@c.org", None, None, 14), (None, None, None, None, None)], documents.schema)
     assert {tuple(r) for r in pii.redact_rows(df, model).select("text", "n_chars").collect()} == {(None, None), ("mail [EMAIL]", 12)}
+
+
+def test_no_part_of_a_long_secret_is_left(model):
+    r = random.Random(17)
+    pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for n in (150, 201, 256, 400, 2000):
+        for made in (
+            lambda: ('The api_key = "', pick(base64, n), '" is set.'), lambda: ("password: ", pick(base64, n), " and more"), lambda: ("token = '", pick("0123456789abcdef", n), "' here"),
+            lambda: ("we saw ", pick("0123456789abcdef", n), " there"), lambda: ("use ", "sk-" + pick(base64[:62], n), " now"), lambda: ("use ", "ghp_" + pick(base64[:62], n), " now"), lambda: ("use ", "xoxb-" + pick(base64[:62], n), " now"),
+        ):
+            before, secret, after = made()
+            assert pii.redact_text(before + secret + after, pii.select(before + secret + after, model)) == before + "[SECRET]" + after, (n, before, secret)

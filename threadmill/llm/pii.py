@@ -32,9 +32,9 @@ GENERATORS: list[tuple[str, re.Pattern[str], int]] = [
     ("CARD", re.compile(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"), 0),
     ("SSN", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), 0),
     ("IBAN", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), 0),
-    ("SECRET", re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{32,128}(?![0-9a-fA-F])"), 0),
-    ("SECRET", re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[^\w\n]{1,12}["']?([^\s"']{6,200})"""), 1),
-    ("SECRET", re.compile(r"\b(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_\w{20,255}|sk-[\w-]{16,200}|xox[abprs]-[\w-]{10,200}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"), 0),
+    ("SECRET", re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{32,}(?![0-9a-fA-F])"), 0),
+    ("SECRET", re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[^\w\n]{1,12}["']?([^\s"']{6,})"""), 1),
+    ("SECRET", re.compile(r"\b(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_\w{20,}|sk-[\w-]{16,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"), 0),
 ]
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN", "SECRET")
 #: A text without any of these has no candidate.
@@ -128,13 +128,14 @@ def example(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         check = 98 - int(body[1] + "".join(str(int(c, 36)) for c in body[0]) + "00") % 97
         kind, v, lead = "IBAN", f"{body[0]}{check:02d}{body[1]}", r.choice(["", "iban"])
     elif pick in (9, 10, 11):
-        h = hexes(r.choice([32, 40, 40, 64]))
+        h = hexes(r.choice([32, 40, 40, 64, 32, 40, 40, 64, 128, r.randint(129, 600)]))
         kind, v, lead = "SECRET", h, r.choice(["token =", "secret:", "api_key =", "key =", _word(r) + " =", "", ""])
     elif pick == 12:
-        kind, v, lead = "SECRET", r.choice(["AKIA" + "".join(r.choice("ABCDEFGHJK23456789") for _ in range(16)), "ghp_" + hexes(36), "sk-" + hexes(24)]), r.choice(["", "key ="])
+        kind, v, lead = "SECRET", r.choice(["AKIA" + "".join(r.choice("ABCDEFGHJK23456789") for _ in range(16)), "ghp_" + hexes(36), "sk-" + hexes(24), "ghp_" + hexes(r.randint(200, 500)), "sk-" + hexes(r.randint(150, 500)), "xoxb-" + hexes(r.randint(150, 500))]), r.choice(["", "key ="])
     elif pick == 13:
-        letters = r.choice(["abcdefXYZ0123456789!@#%", "abcdefXYZ0123456789!@#%", "abcdefghijklmnopqrstuvwxyz"])
-        kind, v, lead = "SECRET", "".join(r.choice(letters) for _ in range(r.randint(8, 20))), r.choice(["password:", "passwd =", "secret =", "password ="])
+        letters = r.choice(["abcdefXYZ0123456789!@#%", "abcdefXYZ0123456789!@#%", "abcdefghijklmnopqrstuvwxyz", "ABCDEFabcdefwxyz0123456789+/"])
+        n_chars = r.randint(8, 20) if r.random() < 0.7 else r.randint(100, 600)
+        kind, v, lead = "SECRET", "".join(r.choice(letters) for _ in range(n_chars)), r.choice(["password:", "passwd =", "secret =", "password ="])
     else:
         kind, true = "", False
         wrong = n(16)
