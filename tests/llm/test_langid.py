@@ -82,3 +82,15 @@ def test_odd_rows(spark, odd, empty):
     assert L.identify(empty).count() == 0 and L.keep_identified(empty).count() == 0
     free = odd.withColumn("lang", odd["lang"].substr(1, 0)).selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert {(r.lang, r.accepted) for r in L.identify(free).collect()} == {(None, True)}
+
+
+def test_short_clean_texts_are_kept_and_unlike_ones_rejected(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    profiles = L.train_profiles(df)
+    known = L.identify(df, profiles=profiles)
+    assert {r.doc_id for r in known.where("n_letters > 0 and not accepted").collect()} == set()
+    assert {564, 909, 974} <= {r.doc_id for r in L.keep_identified(df, profiles=profiles).collect()}
+    r = random.Random(8)
+    junk = ["".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(n)) for n in [100] * 200 + [1000] * 50]
+    got = L.identify(spark.createDataFrame([(i, t, None) for i, t in enumerate(junk)], "doc_id bigint, text string, lang string"), profiles=profiles).toPandas()
+    assert got.accepted.mean() <= 0.05

@@ -25,6 +25,7 @@ from .common import GOLD, U64, fmix, need_columns, slices
 DIM = 1024
 N_GRAM_BITS = 21
 MIN_COSINE = 0.15
+FULL_LETTERS = 128  # a shorter text's cosine is smaller, in proportion to the root of its length
 KEY_BLOCK = 16384
 SCHEMA = "doc_id bigint, lang string, cosine double, margin double, n_letters bigint, accepted boolean"
 _vectors: dict[int, np.ndarray] = {}
@@ -200,6 +201,11 @@ class Scorer:
         return out, letters
 
 
+def bounds(letters: np.ndarray, min_cosine: float) -> np.ndarray:
+    """The least cosine at which texts of so many letters are accepted."""
+    return min_cosine * np.sqrt(np.minimum(1.0, letters / FULL_LETTERS))
+
+
 def _judged(docs: DataFrame, min_cosine: float, profiles: dict[str, np.ndarray] | None, keep: bool) -> DataFrame:
     profiles = train_profiles(docs) if profiles is None else profiles
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # languages x DIM numbers, whatever the corpus
@@ -218,7 +224,7 @@ def _judged(docs: DataFrame, min_cosine: float, profiles: dict[str, np.ndarray]
                     which = cos.argmax(axis=1)
                     ranked = np.sort(cos, axis=1)
                     best, second = ranked[:, -1], ranked[:, -2] if cos.shape[1] > 1 else np.zeros(len(letters))
-                    sure = (letters > 0) & (best >= min_cosine)
+                    sure = (letters > 0) & (best >= bounds(letters, min_cosine))
                 if keep:
                     yield part.filter(pa.array(sure))
                     continue
@@ -238,7 +244,8 @@ def identify(docs: DataFrame, min_cosine: float = MIN_COSINE, profiles: dict[str
     """One row for each row of `docs` (doc_id, text; lang for training unless profiles are given).
 
     cosine is that of the nearest prototype, margin its lead over the next one (over 0 where there is
-    one language). Texts that are null or without letters have null lang, cosine and margin and are
+    one language). A text is accepted from min_cosine on; with under FULL_LETTERS letters the bound is
+    lower by the root of their share, as a clean text's cosine is. Texts that are null or without letters have null lang, cosine and margin and are
     not accepted. Where no row is labelled there is nothing to compare with: lang is null and all rows
     are accepted. Equal cosines: the language first in the alphabet. A null doc_id stays; repeated
     rows give repeated rows; an empty table gives no rows.
