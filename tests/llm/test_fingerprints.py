@@ -76,7 +76,7 @@ def test_shared_passages_are_reported_by_a_query(spark, tmp_path, odd, empty):
         rows += [(i, f"{w(int(r.integers(0, 80)))} {passage} {w(int(r.integers(0, 60)))}") for i in ids]
     rows += [(10_000 + i, w(200)) for i in range(20)] + [(None, rows[0][1]), (20_000, w(90)), (20_001, None)] + [(20_000, "x " * 30)]
     spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
-    got = [(list(x.doc_ids), x.n_docs, x.first_doc_id, x.start_word, x.n_words) for x in QUERIES["op1_shared_passages"](spark, str(tmp_path)).collect()]
+    got = [(list(x.doc_ids), x.n_docs, x.first_doc_id, x.start_word, x.n_words) for x in QUERIES["shared_passages"](spark, str(tmp_path)).collect()]
     text = {i: t.split() for i, t in rows if i is not None and t}
     for ids, n in planted:
         mine = [x for x in got if set(x[0]) <= set(ids)]

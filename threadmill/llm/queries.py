@@ -17,7 +17,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.lcp_fingerprints(table(spark, sf_dir, "documents"))
 
 
-def op1_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.shared_passages(table(spark, sf_dir, "documents"))
 
 
@@ -59,7 +59,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fingerprints, op1_shared_passages, op2_near_dedup, op3_license_scan, op4_capture_index, op5_packing, op6_language_id, op7_pii, op8_chat_format, op9_decontamination, op10_quality)
+    for f in (op1_fingerprints, shared_passages, op2_near_dedup, op3_license_scan, op4_capture_index, op5_packing, op6_language_id, op7_pii, op8_chat_format, op9_decontamination, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {
