@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -19,13 +19,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .common import need_columns, slices
+from .common import numbered, only, slices
 
 _SEP = r"[^\w\n]{1,6}"
+_KEYWORD = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)"
+#: Kind, pattern, group. No span has an upper length; where a run could be scanned from each of its
+#: characters, the pattern starts at the run's beginning only, so that time grows with the text.
 GENERATORS: list[tuple[str, re.Pattern[str], int]] = [
-    ("EMAIL", re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"), 0),
-    ("PHONE", re.compile(rf"\+\d{{1,3}}{_SEP}\d{{1,4}}(?:{_SEP}\d{{2,4}}){{1,4}}|(?:\+?\d{{1,3}}{_SEP})?(?:\(\d{{3}}|(?<!\d)\d{{3}}){_SEP}\d{{3}}{_SEP}\d{{4}}(?!\d)"), 0),
+    ("EMAIL", re.compile(r"(?<![\w.+%-])[\w.+%-]++@[\w-]+(?:\.[\w-]+)+"), 0),
+    ("PHONE", re.compile(rf"\+\d{{1,3}}{_SEP}\d{{1,4}}(?:{_SEP}\d{{2,4}}){{1,4}}|(?:\+?\d{{1,3}}{_SEP})?(?:\(\d{{3}}|(?<!\d)\d{{3}}){_SEP}\d{{3}}{_SEP}\d{{4}}(?!\d)|(?<!\d)0\d(?:{_SEP}\d{{2}}){{4}}(?!\d)"), 0),
     ("PHONE", re.compile(r"(?<![\w.])\+?\d[\d ().-]{7,16}\d(?![\w])"), 0),
     ("IP", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"), 0),
     ("IP", re.compile(r"(?i)(?<![\w:])(?:(?:[0-9a-f]{1,4}:){4,7}[0-9a-f]{1,4}|(?:[0-9a-f]{1,4}:){1,6}(?::[0-9a-f]{1,4}){1,6})(?![\w:])"), 0),
@@ -33,20 +37,55 @@ GENERATORS: list[tuple[str, re.Pattern[str], int]] = [
     ("SSN", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), 0),
     ("IBAN", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), 0),
     ("SECRET", re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{32,}(?![0-9a-fA-F])"), 0),
-    ("SECRET", re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[^\w\n]{1,12}["']?([^\s"']{6,})"""), 1),
-    ("SECRET", re.compile(r"\b(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_\w{20,}|sk-[\w-]{16,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"), 0),
+    ("SECRET", re.compile(rf"""(?i){_KEYWORD}[^\w\n]{{1,12}}["']?([^\s"']{{6,}})"""), 1),
+    ("SECRET", re.compile(r"\b(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_\w{20,}|sk-[\w-]{16,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{8,}+\.[\w-]{8,}+\.[\w-]{8,})"), 0),
+    ("SECRET", re.compile(rf"""(?i){_KEYWORD}[^\w\n"']{{1,12}}(?:"([^"\n]{{6,}})"|'([^'\n]{{6,}})')"""), 0),
+    ("SECRET", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?s:.*?)-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\s]*+)"), 0),
+    ("SECRET", re.compile(rf"""(?i){_KEYWORD}[^\w\n:=]{{0,6}}[:=]+[^\S\n]*["']?([^\s"':=][^\s"']{{5,}})"""), 1),
 ]
+QUOTED = 11  # has a group for each kind of quotes
+#: Punctuation that isn't taken to belong to the end of what these generators propose.
+STRIP = {0: ".,;:!?*#%&$|", 9: ".,;:", 13: ".,;:"}
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN", "SECRET")
-#: A text without any of these has no candidate.
-ANY = r"[0-9@]|(?i:token|secret|passw|pwd|key)"
+
+
+def _digits() -> str:
+    """All decimal digits that the patterns' \\d stands for, as ranges of a class of the gates' syntax."""
+    at = [c for c in range(0x110000) if chr(c).isdecimal()]
+    starts = [c for i, c in enumerate(at) if i == 0 or at[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(at) if i + 1 == len(at) or at[i + 1] != c + 1]
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
+_D = _digits()
+#: For each generator, what every text it proposes a span for matches: its own pattern without what
+#: stands around. A text without a match has no span; tested on all of the generators' own matches.
+GATES: tuple[str, ...] = (
+    "@",
+    rf"\+{_D}{{1,3}}[^\w\n]|{_D}{{3}}[^\w\n]{{1,6}}{_D}{{3}}[^\w\n]{{1,6}}{_D}{{4}}|0{_D}[^\w\n]{{1,6}}{_D}{{2}}[^\w\n]{{1,6}}{_D}{{2}}",
+    rf"{_D}(?:{_D}|[ ().-]){{7}}",
+    rf"{_D}\.{_D}{{1,3}}\.{_D}{{1,3}}\.{_D}",
+    "[0-9a-fA-F]:(?:[0-9a-fA-F]{1,4}:|:)",
+    rf"{_D}(?:[ -]?{_D}){{12}}",
+    rf"{_D}{{3}}-{_D}{{2}}-{_D}{{4}}",
+    rf"[A-Z]{{2}}{_D}{{2}}",
+    "[0-9a-fA-F]{32}",
+    rf"(?i){_KEYWORD}",
+    "AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|eyJ",
+    rf"(?i){_KEYWORD}",
+    "PRIVATE KEY-----",
+    rf"(?i){_KEYWORD}",
+)
 _CONTEXT = {
     "secret": re.compile(r"(?i)token|secret|passw|pwd|key|credential"),
-    "call": re.compile(r"(?i)phone|tel\b|call|mobile|fax|contact"),
-    "net": re.compile(r"(?i)\bip\b|host|server|address|login|from"),
-    "pay": re.compile(r"(?i)card|visa|credit|iban|account|pay"),
-    "sum": re.compile(r"(?i)commit|sha\d*|md5|checksum|hash|digest|revision|blob"),
-    "count": re.compile(r"(?i)version|\bv\.?$|release|order|invoice|isbn|page|figure|section|total|item|no\.|number|date|range|between"),
+    "call": re.compile(r"(?i)\b(?:phone|tel|call|mobile|cell|fax|contact)"),
+    "net": re.compile(r"(?i)\b(?:ip|host|server|address|login|from)\b"),
+    "pay": re.compile(r"(?i)\b(?:card|visa|credit|iban|account|pay)"),
+    "sum": re.compile(r"(?i)\b(?:commit|sha-?\d*|md5|checksum|hash|digest|revision|blob)\b"),
+    "count": re.compile(r"(?i)\b(?:version|v|release|order|invoice|isbn|page|figure|section|total|item|no|number|date|range|between|tracking|parcel|ticket|serial|part|model|ref)\b"),
+    "uuid": re.compile(r"(?i)\b(?:uu?id|guid|id|session|request|trace)\b"),
 }
+_UUID = re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 SCHEMA_TAIL = "n_redactions int, spans array<struct<start:int,end:int,kind:string,score:double>>"
 
 
@@ -64,13 +103,14 @@ def mod97(text: str) -> bool:
     return t.isalnum() and t.isascii() and int("".join(str(int(c, 36)) for c in t)) % 97 == 1
 
 
-def candidates(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, generator) of all proposed spans; they may overlap."""
+def candidates(text: str, numbers: Iterable[int] = range(len(GENERATORS))) -> list[tuple[int, int, int]]:
+    """(start, end, generator) of all spans proposed by the generators of these numbers; they may overlap."""
     out = set()
-    for no, (_, pattern, group) in enumerate(GENERATORS):
+    for no in numbers:
+        _, pattern, group = GENERATORS[no]
         for m in pattern.finditer(text):
-            a, b = m.span(group)
-            while b > a and text[b - 1] in ".,;:!?*#%&$|" and no in (0, 9):
+            a, b = m.span(group if no != QUOTED else m.lastindex)
+            while b > a and text[b - 1] in STRIP.get(no, ""):
                 b -= 1
             if b > a:
                 out.add((a, b, no))
@@ -89,11 +129,15 @@ def describe(text: str, span: tuple[int, int, int]) -> list[float]:
     f += [len(s), len(digits), letters, letters / len(s), len(set(s)) / len(s), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0)]
     f += [float(13 <= len(digits) <= 19 and luhn(digits)), float(bool(octets) and max(octets) <= 255), float(bool(octets) and octets[0] not in (0, 255)), float(kind == "IBAN" and mod97(s))]
     f += [float(digits[:1] == "0"), float("+" in s), float("(" in s), float("-" in s), float("." in s), float(" " in s), float("/" in s), float(any(c.isupper() for c in s)), float(any(c.islower() for c in s))]
-    f += [float(bool(_CONTEXT[k].search(before))) for k in _CONTEXT]
+    f += [float(bool(_CONTEXT[k].search(near))) for k in _CONTEXT for near in (before, before[-16:])]
+    f += [float(bool(_UUID.fullmatch(s)))]
     f += [float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before.rstrip()[-1:] in "=:\"'"), float(before[-1:] in "$€#"), float(bool(re.match(r"(?:19|20)\d\d\D", s)))]
     return f
 
 
+_NUMBERED = ("tracking", "tracking number", "order", "order number", "parcel", "ticket", "ref", "serial number", "part", "model", "invoice", "case no.")
+
+
 def _word(r: random.Random) -> str:
     return "".join(r.choice(["the", "in", "er", "ou", "la", "que", "sch", "ung", "an", "re", "ti", "on", "é", "ción"]) for _ in range(r.randint(1, 4)))
 
@@ -106,7 +150,8 @@ def example(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     """A sentence with one value, and its true span if the value is personal or secret."""
     n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
-    pick = r.randrange(24)
+    uuid = lambda: "-".join(hexes(k) for k in (8, 4, 4, 4, 12))
+    pick = r.randrange(28)
     lead, true = "", True
     if pick == 0:
         name, host = _word(r), _word(r).replace("é", "e").replace("ó", "o")
@@ -114,7 +159,7 @@ def example(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         kind, v = "EMAIL", r.choice([f"{name}.{r.randint(0, 99)}@{host}{r.randint(1, 9)}.example.{tld}", f"{name}.{_word(r)}@{host}.{tld}", f"{name[0]}.{name[-1]}@{host[0]}.{tld}", f"{name}@{host}.{tld}"])
     elif pick in (1, 2):
         kind, v = "PHONE", r.choice([f"+{r.randint(1, 99)} ({n(3)}) {n(3)}-{n(4)}", f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"+{r.randint(1, 99)} {n(3)} {n(3)} {n(4)}", f"+{r.randint(10, 99)} {n(2)} {n(2)} {n(2)} {n(2)}", f"{n(3)}.{n(3)}.{n(4)}", f"1-{n(3)}-{n(3)}-{n(4)}", f"0{r.randint(1, 9)} {n(2)} {n(2)} {n(2)} {n(2)}"])
-        lead = r.choice(["", "", "call", "phone:"])
+        lead = r.choice(["", "", "call", "phone:", "tel.", "phone number", "contact number:", "mobile", "fax"])
     elif pick in (3, 4):
         v4, v6 = ".".join(str(r.randint(1, 255)) if i == 0 else str(r.randint(0, 255)) for i in range(4)), [hexes(r.randint(1, 4)) for _ in range(8)]
         kind, v, lead = "IP", r.choice([v4] * 6 + [":".join(v6), ":".join(v6[:2]) + "::" + ":".join(v6[4:])]), r.choice(["", "", "host", "from"])
@@ -136,6 +181,14 @@ def example(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         letters = r.choice(["abcdefXYZ0123456789!@#%", "abcdefXYZ0123456789!@#%", "abcdefghijklmnopqrstuvwxyz", "ABCDEFabcdefwxyz0123456789+/"])
         n_chars = r.randint(8, 20) if r.random() < 0.7 else r.randint(100, 600)
         kind, v, lead = "SECRET", "".join(r.choice(letters) for _ in range(n_chars)), r.choice(["password:", "passwd =", "secret =", "password ="])
+    elif pick == 14:
+        kind, v, lead = "SECRET", uuid(), r.choice(["token =", "secret:", "api_key =", "password:", "access_key ="])
+    elif pick == 15:
+        kind, v, lead = "SECRET", " ".join(_word(r) for _ in range(r.randint(2, 5))) + r.choice(["", str(r.randint(0, 99))]), r.choice(["password =", "passphrase =", "secret =", "token ="])
+    elif pick == 16:
+        name = r.choice(["", "RSA ", "EC ", "OPENSSH "])
+        body = "\n".join("".join(r.choice("ABCDEFwxyz0123456789+/") for _ in range(r.randint(20, 64))) for _ in range(r.randint(1, 20)))
+        kind, v = "SECRET", f"-----BEGIN {name}PRIVATE KEY-----\n{body}\n-----END {name}PRIVATE KEY-----"
     else:
         kind, true = "", False
         wrong = n(16)
@@ -147,20 +200,22 @@ def example(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
             (f"{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 20)}", "version"), (hexes(40), "commit"), (hexes(32), r.choice(["md5", "checksum"])), (hexes(64), "sha256"),
             (f"{r.randint(1990, 2030)} {r.randint(1990, 2030)} {r.randint(1990, 2030)}", "between"), (f"{n(2)} {n(2)} {n(2)} {n(2)}", ""), (f"{r.randint(1, 99)}.{n(12)}", ""), (f"{n(3)} {n(2)} {n(3)} {n(2)}", ""),
             (f"{_word(r)} is {_word(r)}{_word(r)}", r.choice(["the token", "a key", "the secret"])), (f"{r.randint(100, 999)}-{r.randint(100, 999)}", "page"),
+            (f"{n(3)}-{n(3)}-{n(4)}", r.choice(_NUMBERED)), (f"{n(3)} {n(3)} {n(4)}", r.choice(_NUMBERED)), (f"{r.choice(('978', '979'))}-{n(1)}-{n(3)}-{n(5)}-{n(1)}", r.choice(["ISBN", "isbn", "isbn:"])), (f"{r.choice(('978', '979'))}{n(10)}", r.choice(["ISBN", "isbn"])),
+            (f"{n(3)}-{n(2)}-{n(4)}", r.choice(_NUMBERED)), (uuid(), r.choice(["", "id", "uuid", "request", "session id", "trace"])), (_check_digit(n(14)), r.choice(["serial number", "tracking number", "part"])),
         ])
     junk = r.random() < 0.15
-    mark = lambda w: w + r.choice(["***", "###", "%%%", "&&&", "$$$"]) if junk else w
+    mark = lambda w: w + "".join(r.choice("*#%&$~^|!") for _ in range(r.randint(1, 4))) if junk else w
     parts, at, shift = [mark(_word(r)) for _ in range(r.randint(0, 8))] + [mark(w) for w in lead.split()], None, 0
     text = " ".join(parts)
-    quote = '"' if lead.endswith("=") and r.random() < 0.7 else ""
+    quote = r.choice("\"'") if pick == 15 or (lead.endswith("=") and r.random() < 0.7) else ""
     text += (" " if text else "") + quote
     at = len(text)
     shown = " ".join(mark(w) for w in v.split(" ")) if junk and kind == "PHONE" else v
     text += shown + quote
     shift = len(shown)
     if junk and shown is not v:
-        shift = len(shown.rstrip("*#%&$"))
-    text += ("### " if junk and shown is v else r.choice([" ", ", ", ". "])) + " ".join(mark(_word(r)) for _ in range(r.randint(0, 8)))
+        shift = len(shown.rstrip("*#%&$~^|!"))
+    text += (r.choice(["### ", "** ", "|| "]) if junk and shown is v else r.choice([" ", ", ", ". "])) + " ".join(mark(_word(r)) for _ in range(r.randint(0, 8)))
     return text, [(at, at + shift, kind)] if true else []
 
 
@@ -263,9 +318,9 @@ def train(n: int = 6000, rounds: int = 60, depth: int = 4, rate: float = 0.3, se
     return model
 
 
-def select(text: str, model: Model) -> list[tuple[int, int, str, float]]:
+def select(text: str, model: Model, numbers: Iterable[int] = range(len(GENERATORS))) -> list[tuple[int, int, str, float]]:
     """Disjoint (start, end, kind, score) in text order."""
-    spans = candidates(text)
+    spans = candidates(text, numbers)
     if not spans:
         return []
     p = model.probability(np.array([describe(text, s) for s in spans]))
@@ -299,8 +354,9 @@ def _run(docs: DataFrame, model: Model | None, full: bool) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 text = part.column("text")
-                some = np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring_regex(text, ANY), False)))
-                found = [(i, t, s) for i, t in zip(some.tolist(), text.take(pa.array(some)).to_pylist(), strict=True) if (s := select(t, m))]
+                gates = np.stack([np.asarray(pc.fill_null(pc.match_substring_regex(text, g), False)) for g in GATES])
+                some = np.flatnonzero(gates.any(axis=0))
+                found = [(i, t, s) for i, t in zip(some.tolist(), text.take(pa.array(some)).to_pylist(), strict=True) if (s := select(t, m, np.flatnonzero(gates[:, i]).tolist()))]
                 at = np.array([i for i, _, _ in found], dtype=np.int64)
                 mask = np.zeros(len(text), bool)
                 mask[at] = True
@@ -328,11 +384,17 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     Null text stays null, without spans; an empty text stays empty. Of overlapping spans the union is
     replaced; equal scores go to the longer span, then to the first. A null doc_id stays; repeated
-    rows give repeated rows; an empty table gives no rows.
+    rows give repeated rows; an empty table gives no rows. Other columns are ignored, whatever their
+    names. Whole texts are searched and spans have no upper length; a secret that isn't quoted ends at
+    white space.
     """
-    return _run(need_columns(docs, "doc_id", "text").select("doc_id", "text"), model, full=True)
+    return _run(only(docs, "doc_id", "text"), model, full=True)
 
 
 def redact_rows(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """`docs` with all its columns, text redacted as by redact() and n_chars set anew where it changed."""
-    return _run(need_columns(docs, "text"), model, full=False)
+    """`docs` with all its columns, text redacted as by redact() and n_chars, if there is such a column
+    of numbers, set anew where the text changed. Every row stays, null and empty texts as they are.
+    Names of columns may clash, hold dots or repeat (but text)."""
+    names = docs.columns
+    keep = ["text", "n_chars"] if names.count("n_chars") == 1 and isinstance(docs.schema.fields[names.index("n_chars")].dataType, T.IntegralType) else ["text"]
+    return _run(numbered(docs, *keep), model, full=False).toDF(*names)
