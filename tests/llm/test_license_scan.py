@@ -1,47 +1,186 @@
+import difflib
+import random
 import re
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from threadmill.llm import license_scan as S
+from threadmill.llm import license_texts as full
 
 KEY = S.flat(S.TEMPLATES)
+INDEX = S.index_of(KEY)
+names = lambda t: [f.template.name for _, f in S.scan_text(t, KEY)]
 
 
 def test_every_template_finds_itself():
     for name, no, text in KEY:
-        best = S.judge(text, KEY)
-        assert best is not None and best[2] == name and best[5] == 1.0 and best[6] == best[7] == [], (name, no, best)
+        ((_, f),) = S.scan_text(text, KEY)
+        assert (f.template.name, f.template.no, f.coverage, f.missing, f.extra) == (name, no, 1.0, (), ()) and f.saved > 0
+
+
+def test_enough_pairs_are_left_by_every_edit_that_is_allowed():
+    for t in INDEX.templates:
+        n = len(t.words)
+        assert n - 1 - 2 * (n - t.least) - t.most >= 1 or n == 2 and t.most == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, len(KEY) - 1), st.randoms(use_true_random=False))
+def test_edited_wordings_are_blocks_in_question(which, r):
+    """Whatever words go and come within the bounds, the template's block covers the wording."""
+    t = INDEX.templates[which]
+    n = len(t.words)
+    if n > 400:
+        return
+    gone = set(r.sample(range(1, n - 1), min(max(0, n - 2), r.randint(0, n - t.least)))) if n > 2 else set()
+    middle = [w for i, w in enumerate(t.words) if i not in gone]
+    for _ in range(r.randint(0, t.most)):
+        middle.insert(r.randint(1, len(middle) - 1), f"new{r.randint(0, 9)}")
+    before, after = [f"x{r.randint(0, 99)}" for _ in range(r.randint(0, 40))], [f"y{r.randint(0, 99)}" for _ in range(r.randint(0, 40))]
+    import numpy as np
+    import pyarrow as pa
+
+    words, woff = S.word_hashes(pa.array([" ".join(before + middle + after)]))
+    assert any(i == which and a <= len(before) and b >= len(before) + len(middle) for _, i, a, b in INDEX.blocks(words, woff)), (t.name, t.no)
+    assert np.array_equal(woff, [0, len(words)])
 
 
 def test_differences_in_wording_are_told():
-    share, missing, extra = S.difference("a b c d", "x a b new d y")
-    assert (share, missing, extra) == (0.75, ["c"], ["new"])
-    f = S.judge("This work is licensed under the terms of the GNU General Public License, version 3.", KEY)
-    assert f[2] == "GPL-3.0" and sorted(f[7]) == ["of", "terms", "the"] and f[6] == []
+    ((_, f),) = S.scan_text("This work is licensed under the terms of the GNU General Public License, version 3.", KEY)
+    assert f.template.name == "GPL-3.0" and sorted(f.extra) == ["of", "terms", "the"] and f.missing == ()
+    ((_, f),) = S.scan_text("x MPL: This Source Form is subject to the terms of the new Mozilla Public License, v. 2.0. y", KEY)
+    assert f.template.name == "MPL-2.0" and f.missing == ("code",) and f.extra == ("new",) and f.coverage == pytest.approx(16 / 17)
 
 
 def test_versions_and_variants_are_kept_apart():
-    for text, want in (("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0")):
-        assert S.judge(text, KEY)[2] == want
+    for text, want in (
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"), ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"), ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+    ):
+        assert names(text) == [want]
+    assert names("This work is licensed under the GNU General Public License, version 1.") == [] == names("Licensed under the Apache License, Version 1.1.")
 
 
 def test_prose_is_not_a_license():
-    for t in ("She lost her driving licence on the way home.", "The copyright debate went on.", "Free software is a matter of liberty.", "Redistribution of wealth", "cc by the way"):
-        assert S.judge(t, KEY) is None
+    for t in ("She lost her driving licence on the way home.", "The copyright debate went on.", "Free software is a matter of liberty.", "Redistribution of wealth", "cc by the way", "", "   ", "License", "rights reserved"):
+        assert names(t) == []
 
 
-def test_wrapped_notice_is_found_as_a_block():
+def test_blocks_are_numbered():
     text = "Intro.\n\nLicensed under the\nApache License,\nVersion 2.0.\n\nMore."
-    ((no, f),) = S.scan_text(text, KEY)
-    assert no == 1 and f[2] == "Apache-2.0"
+    assert [(no, f.template.name) for no, f in S.scan_text(text, KEY)] == [(1, "Apache-2.0")]
+    assert [no for no, _ in S.scan_text("\n\n  \nMIT License\n \nx\n\n\n\nMIT License", KEY)] == [0, 2]
+    assert [no for no, _ in S.scan_text("MIT License\n\nMIT License\n\nmit license", KEY)] == [0, 1, 2]
+
+
+def test_full_texts_are_one_finding_each():
+    for name, text in (("MIT", full.MIT), ("ISC", full.ISC), ("BSD-2-Clause", full.BSD_2), ("BSD-3-Clause", full.BSD_3), ("Zlib", full.ZLIB), ("Apache-2.0", full.APACHE_2), ("MPL-2.0", full.MPL_2), ("CC0-1.0", full.CC0_1), ("Unlicense", full.UNLICENSE)):
+        assert names(text) == [name]
+        commented = "\n".join(" * " + x for x in text.split("\n"))
+        assert names(f"/*\n{commented}\n */\nint main;") == [name]
+        paragraphs = re.sub(r"(?<=\.) (?=[A-Z0-9])", "\n\n", text)
+        assert names("Some prose.\n\n" + paragraphs + "\n\nMore prose.") == [name]
+        long = " ".join(f"w{i % 977}" for i in range(20_000))
+        assert names(f"{long}\n{text}\n{long}") == [name]
+
+
+def test_two_clauses_against_three():
+    named = full.BSD_3.replace("the copyright holder nor", "Example Corp. nor").replace("COPYRIGHT HOLDERS AND", "AUTHORS AND")
+    assert names("Copyright (c) 2020 A. Person. All rights reserved.\n\n" + named) == ["All-Rights-Reserved", "BSD-3-Clause"]
+    assert names(full.BSD_2.replace("HOLDERS", "OWNERS")) == ["BSD-2-Clause"]
+
+
+def test_heads_of_long_licenses():
+    assert names("GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.") == ["GPL-3.0"]
+    assert names("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007") == ["AGPL-3.0"]
+    assert names("Apache License\n   Version 2.0, January 2004\n  http://www.apache.org/licenses/\n\n TERMS AND CONDITIONS FOR USE") == ["Apache-2.0"]
+
+
+def plain(text, key):
+    """Licenses of a text without hashes, arrays or a choice of blocks: every window of three spans is
+    aligned with every template, and wordings that overlap are ranked as the operator says."""
+    lowered = text.lower()
+    spans = [m.span() for m in re.finditer("[0-9a-z_\u0080-\U0010ffff]+", lowered)]
+    words = [lowered[a:b] for a, b in spans]
+    found = {}
+    for t in S.index_of(key).templates:
+        n, own = len(t.words), set(t.words)
+
+        def judge(a, b, t=t, n=n):
+            if b - a < t.least:
+                return
+            m = [x for x in difflib.SequenceMatcher(None, t.words, words[a:b], autojunk=False).get_matching_blocks() if x.size]
+            best = None
+            for i in range(len(m)):
+                for j in range(i, len(m)):
+                    size = sum(x.size for x in m[i : j + 1])
+                    gap = m[j].b + m[j].size - m[i].b - size
+                    if best is None or size - gap > best[0]:
+                        best = (size - gap, i, j, size, gap)
+            if best is None or best[3] < t.least or best[4] > t.most:
+                return
+            run = m[best[1] : best[2] + 1]
+            lo, hi = a + run[0].b, a + run[-1].b + run[-1].size
+            missing = [i for i in range(n) if not any(x.a <= i < x.a + x.size for x in run)]
+            if t.numbers & set(missing):
+                return
+            raw = " ".join(words[lo:hi]).encode()
+            alone, given = len(S.zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False).compress(raw)), len(t.given.compress(raw))
+            if given < alone:
+                found[t.name, t.no, lo, hi] = (alone - given, len(missing) + best[4])
+                judge(a, lo), judge(hi, b)
+
+        for at in range(0, max(1, len(words)), t.span):
+            a, b = max(0, at - t.span), min(len(words), at + 2 * t.span + 2)
+            if sum(w in own for w in words[a:b]) >= t.least:
+                judge(a, b)
+    left, out = dict(found), set()
+    while left:
+        top = min(left, key=lambda k: (-left[k][0], left[k][1], k[0], k[1], k[2]))
+        over = [k for k in left if k[2] < top[3] and top[2] < k[3] and left[k][0] >= S.NEAR * left[top][0]]
+        best = min(over, key=lambda k: (left[k][1], -left[k][0], k[0], k[1], k[2]))
+        no = sum(1 for b in re.split(r"\n\s*\n", lowered[: spans[best[2]][0] + 1]) if b.strip()) - 1
+        out.add((no, best[0]))
+        left = {k: v for k, v in left.items() if not (k[2] < best[3] and best[2] < k[3])}
+    return out
+
+
+def planted(r, n):
+    """Texts with edited notices, paragraphs and whole licenses between lines of prose."""
+    out = []
+    for _ in range(n):
+        parts = []
+        for _ in range(r.randint(1, 5)):
+            parts.append(" ".join(r.choice(["the", "of", "license", "under", "work", "is", f"w{r.randint(0, 60)}"]) for _ in range(r.randint(0, 60))))
+            t = r.choice([x for x in INDEX.templates if len(x.words) < 260])
+            w = list(t.words)
+            for _ in range(r.randint(0, max(0, len(w) // 12))):
+                i = r.randrange(len(w))
+                w[i : i + 1] = r.choice([[], [w[i], "also"], ["other"]])
+            parts.append(" ".join(w))
+        out.append("".join(p + r.choice([" ", "\n", "\n\n"]) for p in parts))
+    return out
+
+
+def test_same_as_a_plain_version(documents):
+    texts = planted(random.Random(4), 60) + [r.text for r in documents.orderBy("doc_id").limit(25).collect()]
+    agreed = told = 0
+    for t in texts:
+        want, got = plain(t, KEY), {(no, f.template.name) for no, f in S.scan_text(t, KEY)}
+        agreed, told = agreed + len(want & got), told + len(want | got)
+    assert told > 100 and agreed >= 0.97 * told  # windows differ, so a wording at its bounds may be aligned otherwise
 
 
 def test_documents_against_patterns(documents):
-    want = {r.doc_id for r in documents.collect() if re.search(r"(?i)released under the MIT|licensed under (the (Apache|GNU)|CC BY)", r.text)}
+    want = {r.doc_id for r in documents.collect() if re.search(r"(?i)released under the MIT|licensed under (the (Apache|GNU)|CC BY)|all rights reserved", r.text)}
     assert {r.doc_id for r in S.scan(documents).collect()} == want
 
 
 def test_same_as_one_by_one(spark, documents):
     rows = documents.where("text rlike '(?i)licen'").limit(10).collect()
-    want = sorted((r.doc_id, no, f[2]) for r in rows for no, f in S.scan_text(r.text, KEY))
+    want = sorted((r.doc_id, no, f.template.name) for r in rows for no, f in S.scan_text(r.text, KEY))
     df = spark.createDataFrame(rows, documents.schema)
     assert sorted((r.doc_id, r.block_no, r.license) for r in S.scan(df).collect()) == want
 
@@ -51,13 +190,17 @@ def test_odd_rows(spark, odd, empty):
     df = spark.createDataFrame([(None, "Released under the MIT License."), (1, "Released under the MIT License.\n" * 3), (1, "Released under the MIT License.\n" * 3), (2, "word " * 100_000 + "\nLicensed under CC BY 4.0.")], "doc_id bigint, text string")
     assert sorted(((r.doc_id, r.license) for r in S.scan(df).collect()), key=str) == [(1, "MIT"), (1, "MIT"), (2, "CC-BY-4.0"), (None, "MIT")]
     assert S.scan(df, {}).count() == 0
+    clash = df.selectExpr("doc_id", "text", "1 as license", "2 as TEXT2", "3 as `block.no`")
+    assert S.scan(clash).count() == 4
+    with pytest.raises(ValueError):
+        S.scan(df.selectExpr("cast(doc_id as string) as doc_id", "text"))
 
 
-def test_every_paragraph_of_a_license_is_found():
-    mit = 'MIT License\n\nCopyright (c) 2020 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.'
-    assert [(no, f[2]) for no, f in S.scan_text(mit, KEY)] == [(0, "MIT"), (2, "MIT"), (3, "MIT")]
-    assert [f[2] for _, f in S.scan_text("Prose.\nAll rights reserved.", KEY)] == ["All-Rights-Reserved"]
-    assert [f[2] for _, f in S.scan_text("Copyright (c) 2020 A. Person. All rights reserved.", KEY)] == ["All-Rights-Reserved"]
+def test_equal_findings_and_small_templates():
+    two = S.flat({"B": ["one two three"], "A": ["one two three"]})
+    assert [f.template.name for _, f in S.scan_text("x one two three y", two)] == ["A"]
+    with pytest.raises(ValueError):
+        S.scan_text("one", S.flat({"A": ["one"]}))
 
 
 def test_every_planted_license_line(spark):
@@ -67,16 +210,17 @@ def test_every_planted_license_line(spark):
 
 
 def test_every_license_of_a_block_is_found():
-    names = lambda t: [f[2] for _, f in S.scan_text(t, KEY)]
+    each = lambda t: sorted(names(t))
     wrapped = "Licensed under the\nApache License,\nVersion 2.0."
-    assert names("Released under the MIT License.\n" + wrapped) == ["Apache-2.0", "MIT"] == names(wrapped + "\nReleased under the MIT License.")
-    assert names(wrapped + "\nThis work is licensed under the GNU General\nPublic License, version 3.") == ["Apache-2.0", "GPL-3.0"]
-    assert names("Licensed under the\nMIT License.\n" + wrapped + "\nLicensed under CC\nBY 4.0.") == ["Apache-2.0", "CC-BY-4.0", "MIT"]
-    assert names("Released under the MIT License. Licensed under CC BY 4.0.") == ["CC-BY-4.0", "MIT"]
-    assert names("Released under the MIT License. Licensed under the\nApache License, Version 2.0.") == ["Apache-2.0", "MIT"]
-    assert names("Some prose about a license\n" * 40 + wrapped + "\nmore prose\n" * 40) == ["Apache-2.0"]
+    assert each("Released under the MIT License.\n" + wrapped) == ["Apache-2.0", "MIT"] == each(wrapped + "\nReleased under the MIT License.")
+    assert each(wrapped + "\nThis work is licensed under the GNU General\nPublic License, version 3.") == ["Apache-2.0", "GPL-3.0"]
+    assert each("Licensed under the\nMIT License.\n" + wrapped + "\nLicensed under CC\nBY 4.0.") == ["Apache-2.0", "CC-BY-4.0", "MIT"]
+    assert each("SPDX-License-Identifier: Apache-2.0\n" + full.MIT) == ["Apache-2.0", "MIT"]
+    assert each("Some prose about a license\n" * 40 + wrapped + "\nmore prose\n" * 40) == ["Apache-2.0"]
+    assert each("w " * 4000 + wrapped.replace("\n", " ") + " w" * 4000) == ["Apache-2.0"]
 
 
 def test_repeated_notices_are_one_finding_each():
-    assert [f[2] for _, f in S.scan_text("Released under the MIT License. " * 3000, KEY)] == ["MIT"]
-    assert [f[2] for _, f in S.scan_text("This work is licensed under the\nGNU General Public License, version 3.\n" * 500, KEY)] == ["GPL-3.0"]
+    assert names("Released under the MIT License. " * 3000) == ["MIT"]
+    assert names("This work is licensed under the\nGNU General Public License, version 3.\n" * 500) == ["GPL-3.0"]
+    assert names("Released under the MIT License.\n\n" * 50) == ["MIT"] * 50
