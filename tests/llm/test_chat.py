@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from tests.conftest import SMALL
 from tests.llm import brute
 from threadmill.llm import chat
@@ -35,3 +37,25 @@ def test_odd_rows(spark):
     assert set(got) == {1, 2} and got[1].n_turns == 4 and got[1].prompt.startswith("<|user|>\n<|end|>\n<|assistant|>\nzzz") and got[1].n_tokens == 9
     assert got[2].prompt == "<|user|>\n" + "[" * 5000 + "<|end|>\n"
     assert chat.format_chats(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_parts_that_would_crash_a_plain_walk(spark):
+    deep = {"type": "text", "text": "x"}
+    for _ in range(900):
+        deep = {"content": [deep]}
+    rows = [
+        (1, 0, "user", json.dumps([deep])), (2, 0, "user", '[{"type":"text"' + ',"content":' + "[" * 3000 + "]" * 3000 + "}]"), (3, 0, "user", '[{"type":"audio","seconds":1e30},{"type":"image","width":1e300,"height":1e300},{"type":"image","width":1e999,"height":-3}]'),
+        (4, 0, "user", '[{"type":"text","text":"a\\ud800b"},{"type":"image","url":"\\udfff"},{"type":"document","text":"\\ud83d\\ude00 \\ud83d"}]'), (5, 0, "user", '[{"type":"audio","seconds":' + "9" * 400 + "}]"), (6, 0, "user", "[NaN, {}]"), (7, 0, "user", '[{"type":"audio","seconds":NaN}]'),
+    ]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert len(got) == len(rows) and got[1].prompt == "<|user|>\nx<|end|>\n"
+    assert [x["n_tokens"] for x in json.loads(got[3].attachments)] == [chat.MAX_TOKENS, chat.MAX_TOKENS, 256]
+    assert got[4].prompt == "<|user|>\na\ufffdb<|image_1|><|document_1|><|end|>\n" and json.loads(got[4].attachments)[0]["ref"] == "\ufffd"
+    assert json.loads(got[5].attachments)[0]["n_tokens"] == chat.MAX_TOKENS and got[7].n_tokens == 2 and got[6].n_attachments == 0
+
+
+def test_other_columns_and_ids(spark):
+    df = spark.createDataFrame([(1, 0, "user", "x", "clash", 2, 3)], "conv_id bigint, turn bigint, role string, text string, `meta.url` string, turns int, TEXT2 int")
+    assert chat.format_chats(df).count() == 1
+    with pytest.raises(ValueError):
+        chat.format_chats(df.selectExpr("'a' as conv_id", "turn", "role", "text"))

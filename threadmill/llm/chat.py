@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need_columns
+from .common import only
 from .packing import token_counts
 
 IMAGE_PATCH = 28
@@ -25,12 +25,19 @@ IMAGE_SIDE = 448
 AUDIO_TOKENS_A_SECOND = 25
 PAGE_TOKENS = 512
 TURN_TOKENS = 2  # the markers around a turn
+MAX_TOKENS = 1 << 31  # more tokens of one attachment count as so many
 SCHEMA = "conv_id bigint, prompt string, n_turns bigint, n_tokens bigint, n_attachments bigint, attachments string"
 
 
 def _number(value: Any, default: float) -> float:
-    ok = isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value) and value > 0
-    return float(value) if ok else default
+    """A finite positive number, or the default; numbers over MAX_TOKENS count as that."""
+    ok = isinstance(value, (int, float)) and not isinstance(value, bool) and value == value and value > 0
+    return float(min(value, MAX_TOKENS)) if ok and value not in (math.inf,) else default
+
+
+def _clean(text: str) -> str:
+    """Half a surrogate pair, which JSON can hold and UTF-8 can't, becomes the replacement character."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 class Visitor:
@@ -44,21 +51,25 @@ class Visitor:
         self.turn: int | None = None
 
     def visit(self, part: Any) -> None:
-        if isinstance(part, str):
-            self.visit_text({"text": part})
-        elif isinstance(part, list):
-            for x in part:
-                self.visit(x)
-        elif isinstance(part, dict):
-            kind = part.get("type")
-            if kind in ("text", "image", "audio", "document"):
-                getattr(self, f"visit_{kind}")(part)
-            else:
-                self.visit(part.get("content"))
+        """Parts in order; the stack is explicit, so that nesting has no limit."""
+        stack = [part]
+        while stack:
+            part = stack.pop()
+            if isinstance(part, str):
+                self.visit_text({"text": part})
+            elif isinstance(part, list):
+                stack += part[::-1]
+            elif isinstance(part, dict):
+                kind = part.get("type")
+                if kind in ("text", "image", "audio", "document"):
+                    getattr(self, f"visit_{kind}")(part)
+                else:
+                    stack.append(part.get("content"))
 
     def visit_text(self, part: dict[str, Any]) -> None:
         text = part.get("text")
         if isinstance(text, str):
+            text = _clean(text)
             self.out.append(text.replace("<|", "< |"))  # no text can pass for a marker
             self.texts.append(text)
 
@@ -71,15 +82,15 @@ class Visitor:
 
     def visit_document(self, part: dict[str, Any]) -> None:
         text = part.get("text")
-        n = int(token_counts(pa.array([text]))[0]) if isinstance(text, str) else math.ceil(_number(part.get("pages"), 1)) * PAGE_TOKENS
+        n = int(token_counts(pa.array([_clean(text)]))[0]) if isinstance(text, str) else math.ceil(_number(part.get("pages"), 1)) * PAGE_TOKENS
         self._attach("document", part, n)
 
     def _attach(self, kind: str, part: dict[str, Any], tokens: int) -> None:
         self.count[kind] += 1
         mark = f"<|{kind}_{self.count[kind]}|>"
-        ref = next((part[k] for k in ("url", "file", "name", "id") if isinstance(part.get(k), str)), None)
+        ref = next((_clean(part[k]) for k in ("url", "file", "name", "id") if isinstance(part.get(k), str)), None)
         self.out.append(mark)
-        self.attachments.append({"placeholder": mark, "kind": kind, "ref": ref, "turn": self.turn, "n_tokens": tokens})
+        self.attachments.append({"placeholder": mark, "kind": kind, "ref": ref, "turn": self.turn, "n_tokens": min(tokens, MAX_TOKENS)})
 
 
 def parts_of(text: str | None) -> Any:
@@ -92,7 +103,7 @@ def parts_of(text: str | None) -> Any:
             parts = json.loads(text)
         except (ValueError, RecursionError):
             return text
-        if any(isinstance(p, dict) and ("type" in p or "content" in p) for p in parts):
+        if isinstance(parts, list) and any(isinstance(p, dict) and ("type" in p or "content" in p) for p in parts):
             return parts
     return text
 
@@ -106,7 +117,20 @@ def render(turns: list[dict[str, Any]]) -> tuple[str, list[str], list[dict[str,
         v.out.append(f"<|{role}|>\n")
         v.visit(parts_of(t["text"]))
         v.out.append("<|end|>\n")
-    return "".join(v.out), v.texts, v.attachments, sum(a["n_tokens"] for a in v.attachments) + TURN_TOKENS * len(turns)
+    return "".join(v.out), v.texts, v.attachments, min(sum(a["n_tokens"] for a in v.attachments) + TURN_TOKENS * len(turns), 1 << 62)
+
+
+def with_parts(conversations: DataFrame) -> DataFrame:
+    """`conversations` with typed parts made of its plain text by rule, to try the visitor on: turns of
+    number 1 modulo 3 hold their text, an image and an audio clip; those of number 2 hold a document
+    and then their text, nested one level down; the others stay."""
+    turn, own = F.col("turn"), F.to_json(F.struct(F.lit("text").alias("type"), "text"))
+    image = F.format_string('{"type":"image","url":"i%d","width":%d,"height":%d}', turn, 28 * (turn + 1), F.lit(60).cast("bigint"))
+    audio = F.format_string('{"type":"audio","file":"a%d.wav","seconds":%d}', turn, turn + 1)
+    document = F.format_string('{"type":"document","name":"d%d","pages":%d}', turn, turn)
+    parts = F.when(turn % 3 == 1, F.concat(F.lit("["), own, F.lit(","), image, F.lit(","), audio, F.lit("]")))
+    parts = parts.when(turn % 3 == 2, F.concat(F.lit("["), document, F.lit(',{"content":['), own, F.lit("]}]")))
+    return conversations.withColumn("text", F.when(F.col("text").isNotNull(), parts.otherwise(F.col("text"))))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -115,10 +139,13 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
     Turns of equal number go by role, then text; repeated rows are repeated turns; a null turn number
     comes first. A null role is "unknown", a null text an empty turn. Text that isn't a JSON array of
-    parts is plain text; parts of unknown type without content are skipped. Rows with null conv_id
-    belong to no conversation; an empty table gives no rows.
+    parts, and JSON nested too deeply for the parser, is plain text; parts of unknown type without
+    content are skipped. Sizes that aren't positive numbers are the usual ones, and an attachment has
+    at most MAX_TOKENS tokens. Halves of surrogate pairs become the replacement character. Rows with
+    null conv_id belong to no conversation; an empty table gives no rows. Other columns are ignored,
+    whatever their names. A conversation is one prompt, so all its turns meet in one task.
     """
-    need_columns(conversations, "conv_id", "turn", "role", "text")
+    conversations = only(conversations, "conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -49,6 +49,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second part of op8: the whole table with typed parts made by a rule that SQL repeats."""
+    return chat.format_chats(chat.with_parts(table(spark, sf_dir, "conversations")))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,7 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fingerprints, shared_passages, op2_near_dedup, op3_license_scan, op4_capture_index, op5_packing, op6_language_id, op7_pii, op8_chat_format, op9_decontamination, op10_quality)
+    for f in (op1_fingerprints, shared_passages, op2_near_dedup, op3_license_scan, op4_capture_index, op5_packing, op6_language_id, op7_pii, op8_chat_format, chat_parts, op9_decontamination, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -85,6 +90,24 @@ with t as (
 )
 select conv_id, string_agg(shown, '' order by turn nulls first, role nulls first, text nulls first) as prompt, count(*)::bigint as n_turns, sum(n)::bigint as n_tokens,
   0::bigint as n_attachments, '[]' as attachments
+from t group by conv_id""",
+    "chat_parts": r"""
+with s as (
+  select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as o, coalesce(text, '') as shown_text,
+    text is not null and turn % 3 = 1 as media, text is not null and turn % 3 = 2 as paper from conversations where conv_id is not null
+), m as (
+  select *, sum(media::int) over w as i, sum(paper::int) over w as d from s window w as (partition by conv_id order by o rows unbounded preceding)
+), t as (
+  select conv_id, o, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || case when paper then '<|document_' || d || '|>' else '' end || replace(shown_text, '<|', '< |')
+      || case when media then '<|image_' || i || '|><|audio_' || i || '|>' else '' end || '<|end|>' || chr(10) as shown,
+    len(regexp_extract_all(shown_text, '[0-9A-Za-z_\x{80}-\x{10ffff}]+|[\x21-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]')) + 2
+      + case when media then (turn + 1) * 3 + (turn + 1) * 25 when paper then turn * 512 else 0 end as n, case when media then 2 when paper then 1 else 0 end as a,
+    case when media then '{"placeholder": "<|image_' || i || '|>", "kind": "image", "ref": "i' || turn || '", "turn": ' || turn || ', "n_tokens": ' || (turn + 1) * 3 || '}, {"placeholder": "<|audio_' || i || '|>", "kind": "audio", "ref": "a' || turn || '.wav", "turn": ' || turn || ', "n_tokens": ' || (turn + 1) * 25 || '}'
+      when paper then '{"placeholder": "<|document_' || d || '|>", "kind": "document", "ref": "d' || turn || '", "turn": ' || turn || ', "n_tokens": ' || turn * 512 || '}' end as att
+  from m
+)
+select conv_id, string_agg(shown, '' order by o) as prompt, count(*)::bigint as n_turns, sum(n)::bigint as n_tokens, sum(a)::bigint as n_attachments,
+  '[' || coalesce(string_agg(att, ', ' order by o), '') || ']' as attachments
 from t group by conv_id""",
     "op9_decontamination": r"""
 with d as (
