@@ -64,6 +64,15 @@ def test_shared_phrases(spark):
     assert len(shared) > 20 and all(r.n_docs == 2 and r.first_doc_id == 1 for r in shared)
 
 
+def passages(df):
+    """(ids, n_docs, first_doc_id, start_word, n_words) of each passage."""
+    found = {}
+    for x in df.collect():
+        found.setdefault((x.n_docs, x.first_doc_id, x.start_word, x.n_words), []).append(x.doc_id)
+    assert all(len(ids) == k[0] == len(set(ids)) for k, ids in found.items())
+    return [(sorted(ids), *k) for k, ids in found.items()]
+
+
 def test_shared_passages_are_reported_by_a_query(spark, tmp_path, odd, empty):
     from threadmill.llm.queries import QUERIES
 
@@ -76,7 +85,7 @@ def test_shared_passages_are_reported_by_a_query(spark, tmp_path, odd, empty):
         rows += [(i, f"{w(int(r.integers(0, 80)))} {passage} {w(int(r.integers(0, 60)))}") for i in ids]
     rows += [(10_000 + i, w(200)) for i in range(20)] + [(None, rows[0][1]), (20_000, w(90)), (20_001, None)] + [(20_000, "x " * 30)]
     spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
-    got = [(list(x.doc_ids), x.n_docs, x.first_doc_id, x.start_word, x.n_words) for x in QUERIES["shared_passages"](spark, str(tmp_path)).collect()]
+    got = passages(QUERIES["shared_passages"](spark, str(tmp_path)))
     text = {i: t.split() for i, t in rows if i is not None and t}
     for ids, n in planted:
         mine = [x for x in got if set(x[0]) <= set(ids)]
@@ -93,6 +102,6 @@ def test_parts_with_more_documents_are_rows_of_their_own(spark):
     w = lambda n: " ".join(f"w{x}" for x in r.integers(0, 3000, n))
     a, b, c = w(100), w(100), w(100)
     df = spark.createDataFrame([(1, f"{a} {b} {c}"), (2, f"{w(9)} {a} {b} {c}"), (3, f"{w(30)} {b} {w(5)}")], "doc_id bigint, text string")
-    got = [(x.start_word, x.n_words, x.doc_ids) for x in L.shared_passages(df).orderBy("start_word").collect()]
+    got = [(x[3], x[4], x[0]) for x in sorted(passages(L.shared_passages(df)), key=lambda x: x[3])]
     assert [d for _, _, d in got] == [[1, 2], [1, 2, 3], [1, 2]]
     assert got[0][0] < 40 and got[2][0] + got[2][1] > 270

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLD, U64, fmix, list_array, need_columns, slices, word_hashes
+from .common import GOLD, U64, fmix, list_array, only, slices, word_hashes
 
+SALT = 16
 SCHEMA = "doc_id bigint, n_words int, n_levels int, root bigint, phrases array<bigint>, phrase_words array<int>"
 
 
@@ -123,9 +124,9 @@ def lcp_fingerprints(docs: DataFrame, level: int = 2) -> DataFrame:
 
     Null text and text without words: n_words 0, n_levels 0, null root, empty lists. A one-word text
     is its own root at level 0. Texts with at most `level` levels have their root as only phrase. A
-    null doc_id stays null; repeated rows give repeated rows; an empty table gives no rows.
+    null doc_id stays null; repeated rows give repeated rows; an empty table gives no rows. A text is
+    never cut: one of n bytes takes about 100 n bytes of memory in its task.
     """
-    need_columns(docs, "doc_id", "text")
     if level < 0:
         raise ValueError("level is 0 or more")
 
@@ -141,7 +142,7 @@ def lcp_fingerprints(docs: DataFrame, level: int = 2) -> DataFrame:
                     ["doc_id", "n_words", "n_levels", "root", "phrases", "phrase_words"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return only(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def shared_phrases(fingerprints: DataFrame, min_words: int = 4) -> DataFrame:
@@ -171,16 +172,21 @@ def phrase_windows(names: np.ndarray, sizes: np.ndarray, off: np.ndarray, least:
 
 
 def shared_passages(docs: DataFrame, min_words: int = 12, level: int = 2) -> DataFrame:
-    """(first_doc_id, start_word, n_words, n_docs, doc_ids): passages that several documents hold, as
-    place in the document with the least id and the ordered ids of all documents that hold it.
+    """(first_doc_id, start_word, n_words, n_docs, doc_id): passages that several documents hold, a row
+    for each passage and each document that holds it. A passage is named by its place in the document
+    with the least id; n_docs is the number of its documents.
 
-    Windows of phrases with at least `min_words` words are joined over all documents, and windows that
+    Windows of phrases with at least `min_words` words are counted over all documents, and windows that
     follow each other in the first document and have the same documents are one passage. Where a part
-    has more documents than the rest, each part is a row of its own. Names near a passage's ends differ
-    (see above), so n_words may leave out words there; passages of over 50 words are found at level 2.
-    Within a document the first place of a window counts. Null ids don't count as documents.
+    has more documents than the rest, each part is a passage of its own. Names near a passage's ends
+    differ (see above), so n_words may leave out words there; passages of over 50 words are found at
+    level 2. Within a document the first place of a window counts. Null ids don't count as documents.
+    Null and empty texts share nothing; repeated rows of one id are one document; an empty table gives
+    no rows; other columns are ignored.
+
+    No group is gathered in a task, however many documents hold a window: counts, the first document and
+    a sum of hashes, which stands for the set of documents, are combined before they are shuffled.
     """
-    need_columns(docs, "doc_id", "text")
     if min_words < 1 or level < 0:
         raise ValueError("min_words is 1 or more, level 0 or more")
 
@@ -198,12 +204,17 @@ def shared_passages(docs: DataFrame, min_words: int = 12, level: int = 2) -> Dat
                     ["window", "doc_id", "place", "words"],
                 )
 
-    one = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, "window bigint, doc_id bigint, place bigint, words int")
-    same = Window.partitionBy("window")
-    several = one.withColumns({"least": F.min("doc_id").over(same), "most": F.max("doc_id").over(same)}).where("least < most")
-    found = several.groupBy("window").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"), F.min(F.struct("doc_id", "place", "words")).alias("p"))
-    found = found.select("window", "doc_ids", F.xxhash64("doc_ids").alias("set"), F.col("p.doc_id").alias("first_doc_id"), F.shiftright("p.place", 31).alias("k"), F.col("p.place").bitwiseAND((1 << 31) - 1).alias("start"), F.col("p.words").alias("words"))
-    number = F.row_number().over(Window.partitionBy("first_doc_id", "set").orderBy("k", "start", "window"))
-    runs = found.withColumn("run", F.col("k") - number).groupBy("first_doc_id", "set", "run")
-    runs = runs.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("words")).alias("end"), F.first("doc_ids").alias("doc_ids"))
-    return runs.select("first_doc_id", F.col("start").cast("int").alias("start_word"), (F.col("end") - F.col("start")).cast("int").alias("n_words"), F.size("doc_ids").alias("n_docs"), "doc_ids")
+    one = only(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(run, "window bigint, doc_id bigint, place bigint, words int")
+    several = one.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window")
+    held = one.join(several, "window", "left_semi").groupBy("window", "doc_id").agg(F.min(F.struct("place", "words")).alias("p"))
+    held = held.select("window", "doc_id", "p.place", "p.words")
+    found = held.groupBy("window").agg(F.count("*").alias("n_docs"), F.sum(F.shiftright(F.xxhash64("doc_id"), 24)).alias("set"), F.min(F.struct("doc_id", "place", "words")).alias("p"))
+    found = found.select("window", "n_docs", "set", F.col("p.doc_id").alias("first_doc_id"), F.shiftright("p.place", 31).alias("k"), F.col("p.place").bitwiseAND((1 << 31) - 1).alias("start"), F.col("p.words").alias("words"))
+    number = F.row_number().over(Window.partitionBy("first_doc_id", "n_docs", "set").orderBy("k", "start", "window"))
+    runs = found.withColumn("run", F.col("k") - number).groupBy("first_doc_id", "n_docs", "set", "run")
+    runs = runs.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("words")).alias("end"), F.min("window").alias("window"))
+    # one window of each passage leads to its documents; the passages are copied SALT times to split a window that many hold
+    salted = held.select("window", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).alias("salt"))
+    runs = runs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
+    out = salted.join(runs, ["window", "salt"])
+    return out.select("first_doc_id", F.col("start").cast("int").alias("start_word"), (F.col("end") - F.col("start")).cast("int").alias("n_words"), "n_docs", "doc_id")
