@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 import pyarrow.fs as pfs
 import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 2 << 20
 U64 = np.uint64
@@ -59,7 +60,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["pow"], _tables["inv"]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of the batch with about `limit` bytes of text each."""
     if not batch.num_rows:
         return
@@ -147,13 +148,32 @@ def list_array(values: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values, type=kind))
 
 
+IDS = ("doc_id", "item_id", "page_id", "conv_id")
+
+
 def need_columns(df: DataFrame, *names: str) -> DataFrame:
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise ValueError(f"columns {missing} are missing; there are {df.columns}")
+    """`df`, if it has each of the columns once and ids among them are whole numbers."""
+    for n in names:
+        if df.columns.count(n) != 1:
+            raise ValueError(f"column {n} is {'missing' if n not in df.columns else 'there more than once'}; there are {df.columns}")
+        if n in IDS and not isinstance(df.schema.fields[df.columns.index(n)].dataType, (T.IntegralType, T.NullType)):
+            raise ValueError(f"{n} must be a whole number")
     return df
 
 
+def numbered(df: DataFrame, *keep: str) -> DataFrame:
+    """`df` with its columns named c0, c1, ... by position, but those in `keep`: names with dots, names
+    that differ in case only and names that are used here can then do no harm. `toDF(*df.columns)`
+    gives the names back."""
+    need_columns(df, *keep)
+    return df.toDF(*[c if c in keep else f"c{i}" for i, c in enumerate(df.columns)])
+
+
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """Just these columns, whatever the others are called."""
+    return numbered(df, *names).select(*names)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session, or, only where that is
     unset (as in tests), a temporary one that is then set."""
@@ -180,6 +200,9 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_leftover: dict[str, list[Scratch]] = {}
+
+
 class Scratch:
     """Tables of one job in a folder of their own below the shared one, which clear() removes."""
 
@@ -199,13 +222,25 @@ class Scratch:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
+    def later(self) -> Scratch:
+        """To be cleared by clear_leftovers(), as a lazy result still reads it."""
+        _leftover.setdefault(self.spark.sparkContext.applicationId, []).append(self)
+        return self
+
+
+def clear_leftovers(spark: SparkSession) -> None:
+    """Removes the lists that lazy results read; for a caller that has written those results."""
+    for scratch in _leftover.pop(spark.sparkContext.applicationId, []):
+        scratch.clear()
+
 
 def file_system(path: str) -> tuple[pfs.FileSystem, str]:
     """The file system of a folder that all executors share, and the path in it."""
     return pfs.FileSystem.from_uri("file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path)
 
 
-FILE, ROW = "__threadmill_file", "__threadmill_row"
+FILE, ROW, BUCKET = "__threadmill_file", "__threadmill_row", "__threadmill_bucket"
+PLACE_BUCKETS = 256
 
 
 def located(docs: DataFrame) -> DataFrame:
@@ -221,9 +256,14 @@ def located(docs: DataFrame) -> DataFrame:
         return places(materialize(docs, "docs"))
 
 
+def _bucket(file: Column) -> Column:
+    return F.pmod(file, F.lit(PLACE_BUCKETS))
+
+
 def write_places(rows: DataFrame, path: str) -> str:
-    """Writes rows (FILE, ROW) as sorted lists, one for each file, and returns the folder."""
-    rows.select(FILE, ROW).repartition(FILE).sortWithinPartitions(FILE, ROW).write.partitionBy(FILE).parquet(path)
+    """Writes rows (FILE, ROW) as sorted lists in PLACE_BUCKETS folders by file, and returns the folder."""
+    bucketed = rows.select(FILE, ROW, _bucket(F.col(FILE)).alias(BUCKET))
+    bucketed.repartition(BUCKET).sortWithinPartitions(BUCKET, FILE, ROW).write.partitionBy(BUCKET).parquet(path)
     return path
 
 
@@ -236,8 +276,9 @@ class Places:
 
     def _load(self, file: int) -> np.ndarray:
         if file != self.file:
-            found = self.fs.get_file_info(pfs.FileSelector(f"{self.root}/{FILE}={file}", allow_not_found=True))
-            parts = [np.asarray(pq.read_table(x.path, filesystem=self.fs, partitioning=None).column(ROW)) for x in found if x.path.endswith(".parquet")]
+            found = self.fs.get_file_info(pfs.FileSelector(f"{self.root}/{BUCKET}={file % PLACE_BUCKETS}", allow_not_found=True))
+            own = [x.path for x in found if x.path.endswith(".parquet")]  # sorted by file: other files' row groups are skipped
+            parts = [np.asarray(pq.read_table(x, filesystem=self.fs, partitioning=None, columns=[ROW], filters=[(FILE, "=", file)]).column(ROW)) for x in own]
             self.file, self.rows = file, np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
         return self.rows
 

@@ -20,13 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, U64, fmix, need_columns, slices
+from .common import GOLD, U64, fmix, numbered, only, slices
 
 DIM = 1024
 N_GRAM_BITS = 21
 MIN_COSINE = 0.15
 FULL_LETTERS = 128  # a shorter text's cosine is smaller, in proportion to the root of its length
 KEY_BLOCK = 16384
+MAX_LANGUAGES = 4096
 SCHEMA = "doc_id bigint, lang string, cosine double, margin double, n_letters bigint, accepted boolean"
 _vectors: dict[int, np.ndarray] = {}
 
@@ -100,8 +101,9 @@ def trigram_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def train_profiles(docs: DataFrame) -> dict[str, np.ndarray]:
-    """A unit prototype for each value of `lang` that has letters, from all rows where it isn't null."""
-    need_columns(docs, "text", "lang")
+    """A unit prototype for each value of `lang` that has letters, from all rows where it isn't null.
+    More than MAX_LANGUAGES values are an error: such a column doesn't name languages."""
+    docs = only(docs, "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, int], int] = {}
@@ -141,10 +143,15 @@ def train_profiles(docs: DataFrame) -> dict[str, np.ndarray]:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
-    counts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").mapInArrow(count, "lang string, trigram bigint, n bigint")
-    whole = counts.groupBy("lang", "trigram").agg(F.sum("n").alias("n")).repartition("lang").mapInArrow(bundle, "lang string, v array<double>")
+    counts = docs.mapInArrow(count, "lang string, trigram bigint, n bigint").groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
+    # each task bundles the trigrams it has of each language; the partial bundles are added by language and dimension
+    partial = counts.mapInArrow(bundle, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
+    summed = partial.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
+    found = summed.limit(MAX_LANGUAGES + 1).collect()  # DIM numbers for each language
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
     profiles = {}
-    for r in whole.collect():  # DIM numbers for each language
+    for r in found:
         v = np.array(r["v"])
         if np.linalg.norm(v) > 0:
             profiles[r["lang"]] = v / np.linalg.norm(v)
@@ -209,7 +216,7 @@ def bounds(letters: np.ndarray, min_cosine: float) -> np.ndarray:
 def _judged(docs: DataFrame, min_cosine: float, profiles: dict[str, np.ndarray] | None, keep: bool) -> DataFrame:
     profiles = train_profiles(docs) if profiles is None else profiles
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # languages x DIM numbers, whatever the corpus
-    columns = docs.columns
+    names_of, docs = docs.columns, numbered(docs, "text") if keep else only(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -236,8 +243,8 @@ def _judged(docs: DataFrame, min_cosine: float, profiles: dict[str, np.ndarray]
                 )
 
     if keep:
-        return docs.select(*columns).mapInArrow(run, docs.schema)
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+        return docs.mapInArrow(run, docs.schema).toDF(*names_of)
+    return docs.mapInArrow(run, SCHEMA)
 
 
 def identify(docs: DataFrame, min_cosine: float = MIN_COSINE, profiles: dict[str, np.ndarray] | None = None) -> DataFrame:
@@ -245,16 +252,17 @@ def identify(docs: DataFrame, min_cosine: float = MIN_COSINE, profiles: dict[str
 
     cosine is that of the nearest prototype, margin its lead over the next one (over 0 where there is
     one language). A text is accepted from min_cosine on; with under FULL_LETTERS letters the bound is
-    lower by the root of their share, as a clean text's cosine is. Texts that are null or without letters have null lang, cosine and margin and are
-    not accepted. Where no row is labelled there is nothing to compare with: lang is null and all rows
+    lower by the root of their share, as a clean text's cosine is. Texts that are null or without
+    letters have null lang, cosine and margin and are not accepted. Where no row is labelled there is nothing to compare with: lang is null and all rows
     are accepted. Equal cosines: the language first in the alphabet. A null doc_id stays; repeated
-    rows give repeated rows; an empty table gives no rows.
+    rows give repeated rows; an empty table gives no rows. Other columns are ignored, whatever their
+    names. A text is never cut: one of n bytes takes about 100 n bytes of memory in its task.
     """
-    need_columns(docs, "doc_id", "text")
     return _judged(docs, min_cosine, profiles, keep=False)
 
 
 def keep_identified(docs: DataFrame, min_cosine: float = MIN_COSINE, profiles: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """The rows of `docs` that identify() accepts, with all their columns."""
-    need_columns(docs, "doc_id", "text")
+    """The rows of `docs` that identify() accepts, with all their columns: null and empty texts and those
+    without letters go, repeated rows go or stay together, all stay where nothing is labelled, and an
+    empty table stays empty. Names of columns may clash, hold dots or repeat (but text and lang)."""
     return _judged(docs, min_cosine, profiles, keep=True)

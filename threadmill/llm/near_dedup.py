@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import FILE, GOLD, ROW, U64, Scratch, at_places, fmix, list_array, located, materialize, need_columns, shingles, slices, word_hashes, write_places
+from .common import FILE, GOLD, ROW, U64, Scratch, at_places, fmix, list_array, located, materialize, numbered, only, shingles, slices, word_hashes, write_places
 
 COMPONENTS, BANDS = 80, 20
 THRESHOLD = 0.6
@@ -233,11 +233,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     A text of one word is that word; texts that are null or have no words are in no group. Rows that
     agree in id and text are one document of n_rows rows, a group even if alone; rows of one id with
     other texts are documents of their own. Null ids take part and come last in order. Single
-    documents aren't reported; an empty table gives no rows.
+    documents aren't reported; an empty table gives no rows. Other columns are ignored, whatever their
+    names. A text is never cut: one of n bytes takes about 100 n bytes of memory in its task.
     """
-    need_columns(docs, "doc_id", "text")
     scratch = Scratch(docs.sparkSession)
-    found = _grouped(located(docs.select("doc_id", "text")), threshold, k, ["doc_id"], scratch)[1]
+    found = _grouped(located(only(docs, "doc_id", "text")), threshold, k, ["doc_id"], scratch)[1]
     back = lambda n: F.when(~F.col(f"{n}.z"), F.col(f"{n}.i"))
     out = materialize(found.select(back("n").alias("doc_id"), back("g").alias("group_id"), F.col("rows").alias("n_rows"), (F.col("n") == F.col("g")).alias("kept")), "groups")
     scratch.clear()
@@ -246,13 +246,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """The rows of `docs`, with all their columns, without those that near_duplicates() finds to be
-    copies: of each group one row stays, of equal rows the first by a hash of all columns and by place."""
-    need_columns(docs, "doc_id", "text")
-    columns, scratch = docs.columns, Scratch(docs.sparkSession)
-    docs = located(docs)
+    copies: of each group one row stays, of rows with one id and text the first by a hash of all columns
+    and by place. Null and empty texts stay; names of columns may clash, hold dots or repeat (but
+    doc_id and text); an empty table stays empty. The list of what goes lies in the shared folder until
+    clear_leftovers()."""
+    names, scratch = docs.columns, Scratch(docs.sparkSession)
+    docs = numbered(docs, "doc_id", "text")
+    columns, docs = docs.columns, located(docs)
     sketch, found = _grouped(docs, threshold, k, columns, scratch)
     copies = sketch.select("n", "o", FILE, ROW).join(found.where("n != g or rows > 1"), "n")
     nth = F.row_number().over(Window.partitionBy("n").orderBy("o", FILE, ROW))
-    gone = write_places(copies.withColumn("nth", nth).where("n != g or nth > 1"), Scratch(scratch.spark).path("gone"))
+    gone = write_places(copies.withColumn("nth", nth).where("n != g or nth > 1"), Scratch(scratch.spark).later().path("gone"))
     scratch.clear()
-    return at_places(docs, gone, columns, keep=False)
+    return at_places(docs, gone, columns, keep=False).toDF(*names)
