@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from threadmill.llm import decontam, langid, near_dedup, packing, pii
-from threadmill.llm.common import materialize
+from threadmill.llm.common import clear_leftovers, materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,4 +45,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        clear_leftovers(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
