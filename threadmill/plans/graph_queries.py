@@ -8,19 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmill.functions import markdown
+from threadmill.operators import bm25
 from threadmill.operators import graph as G
 from threadmill.operators import lint as N
 from threadmill.operators import reports as R
-from threadmill.plans.tables import GRAPH_SQL, SESSIONS_SQL, TURNS_SQL, VECTORS_SQL, graph_edges, sessions, table, turns, vectors
+from threadmill.plans import saved
+from threadmill.plans.saved import graph_edges, graph_nodes
+from threadmill.plans.tables import GRAPH_SQL, SESSIONS_SQL, TURNS_SQL, VECTORS_SQL, bytes_sql, orders, sessions, table, turns, vectors
 
 C = F.col
 
 
-def _orders(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders")
-    return o.select(C("o_orderkey").cast("string").alias("id"), C("o_custkey").cast("string").alias("project"), C("o_orderdate").alias("start_time"))
-
-
 def _sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions with tools, a body that names issues and files, and a folder."""
     s = sessions(spark, sf)
@@ -42,11 +40,11 @@ def g02_semantic(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w03_same_project(spark: SparkSession, sf: str) -> DataFrame:
-    return G.adjacency(_orders(spark, sf)).where("relation = 'same_project'").select("source", "target", "weight")
+    return G.adjacency(orders(spark, sf)).where("relation = 'same_project'").select("source", "target", "weight")
 
 
 def w04_same_day(spark: SparkSession, sf: str) -> DataFrame:
-    return G.adjacency(_orders(spark, sf)).where("relation = 'same_day'").select("source", "target", "weight")
+    return G.adjacency(orders(spark, sf)).where("relation = 'same_day'").select("source", "target", "weight")
 
 
 def g04_build(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,24 +66,29 @@ def g07_neighbors(spark: SparkSession, sf: str) -> DataFrame:
 
 def g08_bfs(spark: SparkSession, sf: str) -> DataFrame:
     seeds = spark.createDataFrame([("1",), ("100",)], "session_id string")
-    return G.related_sessions(G.adjacency(_orders(spark, sf)), seeds, 3)
+    return G.related_sessions(saved.order_edges(spark, sf), seeds, 3)
 
 
 def g09_khop(spark: SparkSession, sf: str) -> DataFrame:
     e = graph_edges(spark, sf)
-    return G.query(G.target_nodes(e), e, "project:7", 2).groupBy("node_id", "relation", "direction").agg(F.count("*").alias("n"))
+    return G.query(graph_nodes(spark, sf), e, "project:7", 2).groupBy("node_id", "relation", "direction").agg(F.count("*").alias("n"))
+
+
+def g09_khop3(spark: SparkSession, sf: str) -> DataFrame:
+    e = graph_edges(spark, sf)
+    return G.query(graph_nodes(spark, sf), e, "project:7", 3).groupBy("relation", "direction", "type").agg(F.count("*").alias("n"), F.count_distinct("node_id").alias("nodes"))
 
 
 def g10_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     e = graph_edges(spark, sf)
     s = e.select(C("source").alias("id")).distinct().select("id", F.lit("session").alias("type"), F.expr("substring(id, 9)").alias("label"), F.lit(None).cast("string").alias("meta"))
-    nodes = s.unionByName(G.target_nodes(e))
+    nodes = s.unionByName(graph_nodes(spark, sf))
     return G.snapshot(nodes, e, 40, 200)[1].select("source", "target", "relation", "priority")
 
 
 def a10_stats(spark: SparkSession, sf: str) -> DataFrame:
     e = graph_edges(spark, sf)
-    return G.stats(G.target_nodes(e), e)
+    return G.stats(graph_nodes(spark, sf), e)
 
 
 def a11_degrees(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +97,7 @@ def a11_degrees(spark: SparkSession, sf: str) -> DataFrame:
 
 def p16_allowlist(spark: SparkSession, sf: str) -> DataFrame:
     e = graph_edges(spark, sf)
-    return G.filter_sessions(G.target_nodes(e), e, "tool", "19", "uses_tool")
+    return G.filter_sessions(graph_nodes(spark, sf), e, "tool", "19", "uses_tool")
 
 
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,7 +120,7 @@ def g13_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 def g15_delete(spark: SparkSession, sf: str) -> DataFrame:
     e = graph_edges(spark, sf)
-    kept = G.delete_session(G.target_nodes(e), G.delete_relations(e, "by_agent"), "1")[1]
+    kept = G.delete_session(graph_nodes(spark, sf), G.delete_relations(e, "by_agent"), "1")[1]
     return kept.groupBy("relation").agg(F.count("*").alias("n"))
 
 
@@ -158,11 +161,12 @@ def n04_missing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def n05_index_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return N.index_counts(turns(spark, sf), vectors(spark, sf))
+    """An index that lacks some turns."""
+    return N.index_counts(turns(spark, sf), bm25.build(turns(spark, sf).where("turn_index < 5")).docs)
 
 
 def n06_orphan_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return N.orphan_vectors(vectors(spark, sf), sessions(spark, sf))
+    return N.orphan_vectors(vectors(spark, sf), sessions(spark, sf).where("conv_id % 4 != 1"))
 
 
 def n07_frontmatter(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,7 +227,7 @@ def r11_page_path(spark: SparkSession, sf: str) -> DataFrame:
 
 def r15_overview(spark: SparkSession, sf: str) -> DataFrame:
     e = graph_edges(spark, sf)
-    return R.overview(sessions(spark, sf), G.target_nodes(e), e, vectors(spark, sf))
+    return R.overview(sessions(spark, sf), graph_nodes(spark, sf), e, vectors(spark, sf))
 
 
 def f37_merge_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -281,6 +285,9 @@ QUERIES = dict([
       m as (select id, min(hop) as hop from w group by id) select id as session_id, min(r) as relation, hop::int as hop from w join m using (id, hop) where hop > 0 group by id, hop"""),
     _q(g09_khop, GR + """, u as (select source as id, target as other, relation, 'out' as direction from edges union all select target, source, relation, 'in' from edges), a as (select * from u where id = 'project:7'), b as (select * from u where id in (select other from a where other != 'project:7'))
       select other as node_id, relation, direction, count(*) as n from (select * from a union all select * from b) group by all"""),
+    _q(g09_khop3, GR + """, u as (select source as id, target as other, relation, 'out' as direction from edges union all select target, source, relation, 'in' from edges), a as (select * from u where id = 'project:7'), f1 as (select distinct other as id from a where other != 'project:7'), b as (select * from u where id in (select id from f1)),
+      f2 as (select distinct other as id from b where other != 'project:7' and other not in (select id from f1)), c as (select * from u where id in (select id from f2))
+      select relation, direction, case when starts_with(other, 'session:') then null else split_part(other, ':', 1) end as type, count(*) as n, count(distinct other) as nodes from (select * from a union all select * from b union all select * from c) group by all"""),
     _q(g10_snapshot, GR + """, deg as (select id, count(*) as d from (select source as id from edges union all select target from edges) group by id), top as (select id from deg where starts_with(id, 'session:') order by d desc, id limit 40)
       select source, target, relation, case relation when 'uses_tool' then 1 else 2 end::int as priority from edges where source in (select id from top) order by priority, source, target, relation limit 200"""),
     _q(a10_stats, GR + NODES + " select 'edge' as kind, relation as name, count(*) as n from edges group by relation union all select 'edge', null, count(*) from edges union all select 'node', split_part(id, ':', 1), count(*) from nodes group by 2 union all select 'node', null, count(*) from nodes"),
@@ -295,8 +302,8 @@ QUERIES = dict([
     _q(n02_orphan_files, S_ + FILES + " select 'L002' as code, 'warn' as severity, file_id as session_id, path as detail from files where not exists (select 1 from sessions where (id = file_id or (length(file_id) <= 8 and starts_with(id, file_id))))"),
     _q(n03_duplicates, L003),
     _q(n04_missing, "with " + TURNS_SQL + ", " + VECTORS_SQL + " " + L004),
-    _q(n05_index_counts, "with " + TURNS_SQL + " select 'L005' as code, 'error' as severity, null::varchar as session_id, count(*) || ' turns, ' || (select count(*) from embeddings) || ' indexed' as detail from turns"),
-    _q(n06_orphan_vectors, S_ + ", " + VECTORS_SQL + " " + L007),
+    _q(n05_index_counts, "with " + TURNS_SQL + " select 'L005' as code, 'error' as severity, null::varchar as session_id, count(*) || ' turns, ' || (select count(*) from turns where turn_index < 5) || ' indexed' as detail from turns"),
+    _q(n06_orphan_vectors, S_ + ", " + VECTORS_SQL + " " + L007.replace("from sessions", "from sessions where conv_id % 4 != 1")),
     _q(n07_frontmatter, S_ + WIKI + " " + L008),
     _q(n08_dead_sources, S_ + WIKI + " " + L009),
     _q(n09_unreferenced, S_ + WIKI + " " + L010),
@@ -306,7 +313,7 @@ QUERIES = dict([
     _q(r01_daily, S_ + f", d as (select * from sessions where start_time::date = '2024-01-01' and {NOISE}) select coalesce(project, '(none)') as project, string_agg(id, ',' order by start_time, id) as ids, string_agg(distinct 't' || (conv_id % 4), ',' order by 't' || (conv_id % 4)) as topics from d group by 1"),
     _q(r01_totals, S_ + f" select count(*) as total, count(*) filter ({NOISE}) as filtered from sessions where start_time::date = '2024-01-01'"),
     _q(r02_diary, S_ + f", d as (select coalesce(project, '(none)') as project, '## ' || coalesce(project, '(none)') || chr(10) || string_agg('- ' || coalesce(summary, '(no summary)'), chr(10) order by start_time, id) as b from sessions where start_time::date = '2024-01-01' and {NOISE} group by 1) select string_agg(b, chr(10) || chr(10) order by project) as prompt from d"),
-    _q(r04_prompt, "with " + TURNS_SQL + ", b as (select *, coalesce(sum(least(length(content), 1000)) over (partition by session_id order by turn_index rows between unbounded preceding and 1 preceding), 0) as before from turns) select session_id, string_agg('[' || role || '] ' || left(content, 1000), chr(10) order by turn_index) as prompt from b where before <= 3000 group by 1"),
+    _q(r04_prompt, "with " + TURNS_SQL + ", b as (select *, coalesce(sum(strlen(" + bytes_sql("content", 1000) + ")) over (partition by session_id order by turn_index rows between unbounded preceding and 1 preceding), 0) as before from turns) select session_id, string_agg('[' || role || '] ' || " + bytes_sql("content", 1000) + ", chr(10) order by turn_index) as prompt from b where before <= 3000 group by 1"),
     _q(r10_review, "select event_id as id, event_id % 3 = 0 as approved, case when event_id % 3 = 1 then 1 else 0 end::int as n_issues, event_id % 3 = 1 and event_id % 2 = 0 as regenerate from events"),
     _q(r11_page_path, S_ + " select id, case when project is not null then 'projects/' || project || '---x.md' else 'sessions/' || left(id, 8) || '.md' end as path from sessions"),
     _q(r15_overview, S_ + "," + GRAPH_SQL + NODES + " select (select count(*) from sessions) || ' sessions; projects: ' || (select string_agg(distinct project, ', ' order by project) from sessions) || '; agents: ' || (select string_agg(distinct agent, ', ' order by agent) from sessions) || '; vectors: yes; graph: ' || (select count(*) from nodes) || ' nodes, ' || (select count(*) from edges) || ' edges' as overview"),

@@ -43,6 +43,11 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bytes_sql(text: str, n: int) -> str:
+    """The longest prefix of at most n bytes."""
+    return f"case when strlen({text}) <= {n} then {text} else left({text}, list_max(list_filter(range({n // 4}, {n + 1}), lambda k: strlen(left({text}, k)) <= {n}))::bigint) end"
+
+
 TURNS_SQL = "turns as (select cast(conv_id as varchar) as session_id, turn::int as turn_index, role, text as content, conv_id from conversations)"
 FIRST_LINE_SQL = r"nullif(trim(regexp_extract({0}, '^\s*([^\r\n]*)', 1)), '')"
 SESSIONS_SQL = (
@@ -87,6 +92,20 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTORS_SQL = "vectors as (select cast(vec_id % 100 as varchar) as session_id, (vec_id // 100)::int as turn_index, 0 as chunk_seq, 'm' || (label % 2) as model, embedding, vec_id, label from embeddings)"
 
 
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sessions, customers as projects."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("project"), F.col("o_orderdate").alias("start_time"))
+
+
+def tooled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """turns() with a tool call in every third: the tool is named by the role, and was asked for the turn's
+    number and role."""
+    action = F.struct(F.lit("tool_use").alias("kind"), F.concat(F.lit("tool_"), "role").alias("name"), F.concat(F.lit("cargo test case"), "turn_index", F.lit(" "), "role").alias("input_summary"))
+    none = F.array().cast("array<struct<kind:string,name:string,input_summary:string>>")
+    return turns(spark, sf_dir).withColumn("actions", F.when(F.col("turn_index") % 3 == 0, F.array(action)).otherwise(none))
+
+
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as sessions: customer = project, supplier = agent, part = tool."""
     o = table(spark, sf_dir, "orders")
