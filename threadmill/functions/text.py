@@ -4,23 +4,31 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-SPLIT = r"[\s\p{Punct}]+"
+#: White space as Unicode has it, and ASCII punctuation: one class for Java's and Python's expressions,
+#: whose own \s differ.
+WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPLIT = rf"[{WHITE}!-/:-@\[-`{{-~]+"
 ISSUE = r"(?i)(?:fixes|closes|resolves|close|fix|resolve)\s+#(\d+)"
 EDIT_INLINE = r">\s*\[!tool\]-\s*Edit\s+`([^`]+)`"
 EDIT_BLOCK = r">\s*\[!tool\]-\s*(?:Edit|Write)\s*\n>\s*```\n>\s*([^\n`]+)\n>\s*```"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words of more than one character, split at white space and ASCII punctuation."""
+    """Lower-case words of more than one character, split at Unicode white space and ASCII punctuation."""
     return F.filter(F.split(F.lower(text), SPLIT), lambda x: F.length(x) > 1)
 
 
 def query_tokens(text: str) -> list[str]:
     """tokens() for a query that the caller holds."""
-    return [t for t in re.split(r"[\s!-/:-@\[-`{-~]+", text.lower()) if len(t) > 1]
+    return [t for t in re.split(SPLIT, text.lower()) if len(t) > 1]
+
+
+def query_terms(spark: SparkSession, text: str) -> list[str]:
+    """tokens() of a query, by Spark itself: also where its version of Unicode isn't Python's."""
+    return spark.sql("select 1").select(tokens(F.lit(text))).first()[0]
 
 
 def fts_text(text: Column) -> Column:
@@ -34,6 +42,11 @@ def index_text(content: Column, actions: Column) -> Column:
     return F.array_join(parts, "\n\n")
 
 
+def turn_text(columns: list[str]) -> Column:
+    """What is indexed of a table of turns: with tool calls where it has `actions`, else the content."""
+    return index_text(F.col("content"), F.col("actions")) if "actions" in columns else F.col("content")
+
+
 def snippet(content: Column, query: Column, size: int = 200) -> Column:
     """All of a short text; else a window that starts 30 characters before the first hit, or at 0."""
     at = F.position(F.lower(query), F.lower(content))
@@ -178,6 +191,10 @@ def yaml_escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
 
 
+def yaml_unescape(text: Column) -> Column:
+    return F.regexp_replace(text, r'\\(["\\])', "$1")
+
+
 def yaml_field(head: Column, key: str) -> Column:
     """A scalar of simple frontmatter, without quotes; null if it isn't there."""
     return F.nullif(F.regexp_replace(F.trim(F.regexp_extract(head, rf"(?m)^{key}:[ \t]*(.*?)[ \t]*\r?$", 1)), r"""^["']|["']$""", ""), F.lit(""))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,63 +20,92 @@ BUCKETS = 256
 
 @dataclass
 class Index:
-    """postings (keys, dl, term, tf); docs (keys, dl). Statistics are over all of docs."""
+    """postings (keys, dl, term, tf); docs (keys, dl). Statistics are over all of docs. A saved index has
+    the terms' document frequencies (term, df) and the one-row statistics (n, avgdl) as well."""
 
     postings: DataFrame
     docs: DataFrame
     keys: tuple[str, ...] = ("session_id", "turn_index")
+    terms: DataFrame | None = None
+    stats: DataFrame | None = None
 
 
-def build(turns: DataFrame, keys: tuple[str, ...] = ("session_id", "turn_index"), text: Column | None = None) -> Index:
-    """One shuffle, on the document's key and term, with counts combined before it."""
-    words = turns.select(*keys, X.tokens(F.col("content") if text is None else text).alias("words")).withColumn("dl", F.size("words"))
+def build(turns: DataFrame, keys: tuple[str, ...] = ("session_id", "turn_index"), text: Column | None = None, tokenizer: Callable[[Column], Column] = X.tokens) -> Index:
+    """One shuffle, on the document's key and term, with counts combined before it. The text is the
+    content with its tool calls, unless another is given."""
+    words = turns.select(*keys, tokenizer(X.turn_text(turns.columns) if text is None else text).alias("words")).withColumn("dl", F.size("words"))
     postings = words.select(*keys, "dl", F.explode("words").alias("term")).groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
     return Index(postings, words.select(*keys, "dl"), keys)
 
 
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 def save(index: Index, path: str) -> None:
-    """Postings in buckets of the term's hash, sorted, so that a query reads its terms' buckets only."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-    index.postings.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    """Postings in buckets of the term's hash, sorted by term, so that a query reads its terms' row
+    groups of its terms' buckets only; ranges of terms and keys are tasks of their own, so a term that
+    all documents hold is written by several. Frequencies of terms lie in the same buckets; statistics
+    are one row for each part of the index."""
+    p = index.postings.withColumn("bucket", _bucket(F.col("term")))
+    p.repartitionByRange("bucket", "term", *index.keys).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    _derive(index.docs.sparkSession, path, index.keys)
+
+
+def _derive(spark: SparkSession, path: str, keys: tuple[str, ...]) -> None:
+    stored = spark.read.parquet(f"{path}/postings")
+    terms = stored.groupBy("bucket", "term").agg(F.count("*").alias("df"))
+    terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/terms")
+    spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load(spark: SparkSession, path: str, keys: tuple[str, ...] = ("session_id", "turn_index")) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), keys)
+    stats = spark.read.parquet(f"{path}/stats").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), keys, spark.read.parquet(f"{path}/terms"), stats)
+
+
+def _only(table: DataFrame, terms: list[str]) -> DataFrame:
+    if "bucket" in table.columns:
+        own = table.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("term"))
+        table = table.where(F.col("bucket").isin([r[0] for r in own.select(_bucket(F.col("term"))).collect()]))  # one number for each query term
+    return table.where(F.col("term").isin(terms))
 
 
 def hits(index: Index, terms: list[str]) -> DataFrame:
     """The postings of the terms; prunes buckets where the index was saved."""
-    p = index.postings
-    if "bucket" in p.columns:
-        own = p.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("term"))
-        numbers = [r[0] for r in own.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).collect()]  # one for each query term
-        p = p.where(F.col("bucket").isin(numbers))
-    return p.where(F.col("term").isin(terms))
+    return _only(index.postings, terms)
 
 
 def scores(index: Index, terms: list[str], mode: str = "and") -> DataFrame:
     """(keys, score) of documents that hold all terms, or any with mode "or". Document frequencies and
-    the one row of corpus statistics are broadcast: their size is that of the query."""
+    the one row of corpus statistics are broadcast: their size is that of the query. A saved index has
+    both, so the postings are read once and nothing is tokenised."""
     terms = sorted(set(terms))
     own = hits(index, terms)
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
-    stats = index.docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    if index.terms is not None:
+        df, stats = _only(index.terms, terms).groupBy("term").agg(F.sum("df").alias("df")), index.stats
+    else:
+        df, stats = own.groupBy("term").agg(F.count("*").alias("df")), index.docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = own.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy(*index.keys).agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
     return scored.where(F.col("matched") == len(terms)).drop("matched") if mode == "and" else scored.drop("matched")
 
 
-def normalize(scored: DataFrame, column: str = "score") -> DataFrame:
-    """Scores over their maximum, where that is positive."""
-    top = F.max(column).over(Window.partitionBy())
-    return scored.withColumn(column, F.when(top > 0, F.col(column) / top).otherwise(F.col(column)))
+def normalize(scored: DataFrame, column: str = "score", by: str | None = None, bound: int | None = None) -> DataFrame:
+    """Scores over their maximum (of each `by`), where that is positive. A list known to have at most
+    `bound` rows is one window; any other is joined with the one row of its maximum."""
+    if by is not None or bound is not None:
+        top = F.max(column).over(Window.partitionBy(*([by] if by else [])))
+        return scored.withColumn(column, F.when(top > 0, F.col(column) / top).otherwise(F.col(column)))
+    with_top = scored.crossJoin(F.broadcast(scored.agg(F.max(column).alias("__top"))))  # one row
+    return with_top.withColumn(column, F.when(F.col("__top") > 0, F.col(column) / F.col("__top")).otherwise(F.col(column))).drop("__top")
 
 
 def search(index: Index, turns: DataFrame, sessions: DataFrame, query: str, limit: int = 10, filters: SearchFilters | None = None, mode: str = "and") -> DataFrame:
     """The best `limit` turns: filters before the cut, statistics from the whole index."""
-    terms = X.query_tokens(query)
+    terms = X.query_terms(turns.sparkSession, query)
     keys = list(index.keys)
     filters = filters or SearchFilters()
     if not terms:
@@ -82,10 +113,40 @@ def search(index: Index, turns: DataFrame, sessions: DataFrame, query: str, limi
     found = scores(index, terms, mode).join(search_predicate(sessions, filters).select(F.col("id").alias("session_id")), "session_id", "left_semi")
     best = found.orderBy(F.desc("score"), *keys).limit(limit)
     shown = turns.select(*keys, X.snippet(F.col("content"), F.lit(query)).alias("snippet"))
-    return normalize(shown.join(F.broadcast(best), keys))  # at most `limit` rows
+    return normalize(shown.join(F.broadcast(best), keys), bound=limit)  # at most `limit` rows
+
+
+EXPAND = "Rewrite the search query with words that mean the same. Answer with the words only."
+
+
+def _fresh(now: Column, days: int) -> Column:
+    return F.col("created_at") + F.make_interval(days=F.lit(days)) > now
 
 
 def expand_query(query: str, cache: DataFrame, now: Column, days: int = 7) -> DataFrame:
     """The cached expansion of a query, if it is younger than `days`."""
-    fresh = F.col("created_at") + F.make_interval(days=F.lit(days)) > now
-    return cache.where((F.col("query_hash") == F.xxhash64(F.lit(query))) & fresh).select("original", "expanded")
+    return cache.where((F.col("query_hash") == F.xxhash64(F.lit(query))) & _fresh(now, days)).select("original", "expanded")
+
+
+def expand(query: str, cache: DataFrame, backend: Callable[[str, str], str], now: datetime, days: int = 7) -> tuple[str, DataFrame]:
+    """The query with the words that a language model adds, and the cache with that answer put in; an
+    answer that is young enough comes from the cache. A model that fails or says nothing leaves the query
+    as it is, and isn't remembered."""
+    known = expand_query(query, cache, F.lit(now), days).limit(1).collect()
+    if known:
+        return known[0]["expanded"], cache
+    try:
+        said = " ".join(backend(EXPAND, query).split())
+    except Exception:  # noqa: BLE001 - the model is the caller's; search goes on without it
+        said = ""
+    if not said:
+        return query, cache
+    whole = f"{query} {said}"
+    row = cache.sparkSession.createDataFrame([(query, whole, now)], "original string, expanded string, created_at timestamp").select(F.xxhash64("original").alias("query_hash"), "original", "expanded", "created_at")
+    kept = cache.where(F.col("query_hash") != F.xxhash64(F.lit(query)))
+    return whole, kept.select("query_hash", "original", "expanded", "created_at").unionByName(row)
+
+
+def expire_cache(cache: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """The cache without answers that are too old."""
+    return cache.where(_fresh(now, days))

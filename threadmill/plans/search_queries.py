@@ -11,7 +11,9 @@ from threadmill.functions import text as X
 from threadmill.model import QueryItem, SearchFilters
 from threadmill.operators import bm25, fusion, graph
 from threadmill.operators import vectors as V
-from threadmill.plans.tables import SESSIONS_SQL, VECTORS_SQL, documents_turns, sessions, table, turns, vectors
+from threadmill.plans import saved
+from threadmill.plans.saved import sessions
+from threadmill.plans.tables import SESSIONS_SQL, TURNS_SQL, VECTORS_SQL, documents_turns, table, tooled_turns, turns, vectors
 from threadmill.plans.text_queries import WORDS_SQL
 
 C = F.col
@@ -29,8 +31,7 @@ def _vector(spark: SparkSession, sf: str, vec_id: int = 7) -> list[float]:
 
 
 def _scores(spark: SparkSession, sf: str, mode: str) -> DataFrame:
-    i = bm25.build(documents_turns(spark, sf))
-    return bm25.scores(i, X.query_tokens(QUERY), mode).select("session_id", "turn_index", F.round("score", 6).alias("score"))
+    return bm25.scores(saved.document_index(spark, sf), X.query_tokens(QUERY), mode).select("session_id", "turn_index", F.round("score", 6).alias("score"))
 
 
 def b02_bm25_and(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,13 +45,23 @@ def b02_bm25_or(spark: SparkSession, sf: str) -> DataFrame:
 def b02_search(spark: SparkSession, sf: str) -> DataFrame:
     t = turns(spark, sf)
     f = SearchFilters(exclude_session_types=("automated",))
-    return bm25.search(bm25.build(t), t, sessions(spark, sf), "the and", 10, f).select("session_id", "turn_index", F.round("score", 6).alias("score"), "snippet")
+    return bm25.search(saved.turn_index(spark, sf), t, sessions(spark, sf), "the and", 10, f).select("session_id", "turn_index", F.round("score", 6).alias("score"), "snippet")
 
 
 def b01_postings(spark: SparkSession, sf: str) -> DataFrame:
     return bm25.build(turns(spark, sf)).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def b01_index_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings over content and tool calls."""
+    return bm25.build(tooled_turns(spark, sf)).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def b02_tool_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns found by what their tools were asked."""
+    return bm25.scores(bm25.build(tooled_turns(spark, sf)), X.query_tokens("cargo test tool_user")).select("session_id", "turn_index", F.round("score", 6).alias("score"))
+
+
 def b07_query_cache(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     cache = e.select(F.xxhash64(F.concat(F.lit("q"), C("user_id"))).alias("query_hash"), C("event_type").alias("original"), C("props").alias("expanded"), C("ts").alias("created_at"))
@@ -66,9 +77,15 @@ def v02_knn(spark: SparkSession, sf: str) -> DataFrame:
     return V.knn(vectors(spark, sf), _vector(spark, sf), 20, ("vec_id",)).select("vec_id", _r("distance").alias("distance"))
 
 
-def v02_knn_all(spark: SparkSession, sf: str) -> DataFrame:
+def _asked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and those of ids that 50 divides as queries."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return V.knn_join(e, e.select(C("vec_id").alias("query_id"), "embedding"), 5).select("query_id", "vec_id", _r("distance").alias("distance"))
+    return e, e.where("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), "embedding")
+
+
+def v02_knn_all(spark: SparkSession, sf: str) -> DataFrame:
+    e, q = _asked(spark, sf)
+    return V.knn_join(e, q, 5).select("query_id", "vec_id", _r("distance").alias("distance"))
 
 
 def v03_knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,15 +94,29 @@ def v03_knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("session_id", "turn_index", _r("score").alias("score"), "snippet")
 
 
-def v05_lsh(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return V.approx_knn(e, 10)
+def v05_ann(spark: SparkSession, sf: str) -> DataFrame:
+    return saved.vector_index(spark, sf).search(_asked(spark, sf)[1], 10).select("query_id", "vec_id", _r("distance").alias("distance"))
+
+
+def v05_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored index against the exact join: queries, neighbours found, whether 0.9 of them are right,
+    and whether every row is indexed."""
+    e, q = _asked(spark, sf)
+    index = saved.vector_index(spark, sf)
+    exact, found = V.knn_join(e, q, 10).select("query_id", "vec_id"), index.search(q, 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "vec_id"], "left").agg(F.count_distinct("query_id").alias("n_queries"), F.count("*").alias("n_neighbors"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+    return both.crossJoin(F.broadcast(index.sizes().agg(F.sum("n").alias("n_indexed"))))  # one row each
 
 
 def v06_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return V.chunks(documents_turns(spark, sf)).select("session_id", "turn_index", "seq", F.length("text").alias("n"))
 
 
+def v06_index_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of content and tool calls."""
+    return V.chunks(tooled_turns(spark, sf)).select("session_id", "turn_index", "seq", F.sha2("text", 256).alias("sha"))
+
+
 def v07_pending(spark: SparkSession, sf: str) -> DataFrame:
     return V.pending(V.chunks(turns(spark, sf)), vectors(spark, sf), "m0").select("session_id", "turn_index", "seq")
 
@@ -120,13 +151,13 @@ def h01_rrf(spark: SparkSession, sf: str) -> DataFrame:
 def h03_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: both searches, fusion, the penalty for short sessions, diversity."""
     t = turns(spark, sf)
-    return fusion.hybrid(bm25.build(t), t, sessions(spark, sf), vectors(spark, sf), "the and", _vector(spark, sf), 10).select("session_id", "turn_index", F.round("score", 6).alias("score"))
+    return fusion.hybrid(saved.turn_index(spark, sf), t, sessions(spark, sf), vectors(spark, sf), "the and", _vector(spark, sf), 10).select("session_id", "turn_index", F.round("score", 6).alias("score"))
 
 
 def h04_multi(spark: SparkSession, sf: str) -> DataFrame:
     t = turns(spark, sf)
     items = [QueryItem("keyword", "the and"), QueryItem("keyword", "of"), QueryItem("semantic", vector=_vector(spark, sf))]
-    return fusion.recall(items, bm25.build(t), t, sessions(spark, sf), vectors(spark, sf), 10).select("session_id", "turn_index", F.round("score", 6).alias("score"))
+    return fusion.recall(items, saved.turn_index(spark, sf), t, sessions(spark, sf), vectors(spark, sf), 10).select("session_id", "turn_index", F.round("score", 6).alias("score"))
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,6 +205,7 @@ def _bm25_sql(source: str, terms: list[str], mode: str) -> str:
 
 DOCS = "select source as session_id, doc_id as turn_index, text as content from documents"
 TURNS = "select session_id, turn_index, content from turns"
+TOOLED = "select session_id, turn_index, coalesce(content, '') || case when turn_index % 3 = 0 then case when coalesce(content, '') = '' then '' else chr(10) || chr(10) end || '[Tool: tool_' || role || '] cargo test case' || turn_index || ' ' || role else '' end as content from turns"
 Q7 = "(select embedding from embeddings where vec_id = 7)"
 COS = "case when {0} is null or len({0}) != len(" + Q7 + ") then 1.0 else 1 - list_dot_product({0}::double[], " + Q7 + "::double[]) / (sqrt(list_dot_product({0}::double[], {0}::double[])) * sqrt(list_dot_product(" + Q7 + "::double[], " + Q7 + "::double[]))) end"
 SV = "with " + SESSIONS_SQL + ", " + VECTORS_SQL
@@ -193,6 +225,8 @@ select session_id, turn_index, round(score, 6) as score from d where nth <= 2 or
 PAGES = "p as (select source || '/' || doc_id as path, 'the' || (doc_id % 3) as stem, text as body, embedding from documents left join embeddings on vec_id = doc_id)"
 QUERIES = dict([
     _q(b01_postings, "with " + SESSIONS_SQL.split(", sess0")[0] + ", x as (select session_id, turn_index, unnest(" + WORDS_SQL.format("content") + ") as term from turns) select term, count(distinct (session_id, turn_index)) as df, count(*) as cf from x group by term"),
+    _q(b01_index_text, "with " + TURNS_SQL + f", s as ({TOOLED}), x as (select session_id, turn_index, unnest(" + WORDS_SQL.format("content") + ") as term from s) select term, count(distinct (session_id, turn_index)) as df, count(*) as cf from x group by term"),
+    _q(b02_tool_search, "with " + TURNS_SQL + ", " + _bm25_sql(TOOLED, ["cargo", "test", "tool", "user"], "and") + " select session_id, turn_index, round(score, 6) as score from scored"),
     _q(b02_bm25_and, "with " + _bm25_sql(DOCS, ["the", "and", "of"], "and") + " select session_id, turn_index, round(score, 6) as score from scored"),
     _q(b02_bm25_or, "with " + _bm25_sql(DOCS, ["the", "and", "of"], "or") + " select session_id, turn_index, round(score, 6) as score from scored"),
     _q(b02_search, "with " + SESSIONS_SQL + ", " + _bm25_sql(TURNS, ["the", "and"], "and") + """, best as (select session_id, turn_index, score from scored join sessions on id = session_id where not is_archived and (session_type is null or session_type != 'automated') order by score desc, session_id, turn_index limit 10)
@@ -200,10 +234,12 @@ QUERIES = dict([
     _q(b07_query_cache, "select event_type as original, props as expanded from events where user_id = 7 and ts + interval 7 day > timestamp '2024-01-20'"),
     _q(v01_cosine, f"select vec_id, round({COS.format('embedding')}, 6) + 0.0 as distance from embeddings"),
     _q(v02_knn, f"select vec_id, round({COS.format('embedding')}, 6) + 0.0 as distance from embeddings order by {COS.format('embedding')}, vec_id limit 20"),
-    _q(v02_knn_all, "with e as (select vec_id, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings), d as (select a.vec_id as query_id, b.vec_id, 1 - list_dot_product(a.e, b.e) / (a.n * b.n) as distance from e a, e b) select query_id, vec_id, round(distance, 6) + 0.0 as distance from d qualify row_number() over (partition by query_id order by round(distance, 12), vec_id) <= 5"),
+    _q(v02_knn_all, "with e as (select vec_id, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings), d as (select a.vec_id as query_id, b.vec_id, 1 - list_dot_product(a.e, b.e) / (a.n * b.n) as distance from e a, e b where a.vec_id % 50 = 0) select query_id, vec_id, round(distance, 6) + 0.0 as distance from d qualify row_number() over (partition by query_id order by round(distance, 12), vec_id) <= 5"),
     _q(v03_knn_filtered, SV + f", vd as (select session_id, turn_index, min({COS.format('embedding')}) as distance from vectors group by 1, 2), b as (select session_id, turn_index, distance from vd join sessions on id = session_id where not is_archived and agent = 'codex' and start_time >= '2024-01-01 03:00' order by distance, session_id, turn_index limit 10) select session_id, turn_index, round(1 - distance, 6) + 0.0 as score, left(content, 200) as snippet from b join turns using (session_id, turn_index)"),
-    _q(v05_lsh, None),
+    _q(v05_ann, None),
+    _q(v05_recall, "select count(*) filter (vec_id % 50 = 0) as n_queries, 10 * count(*) filter (vec_id % 50 = 0) as n_neighbors, true as enough, count(*) as n_indexed from embeddings"),
     _q(v06_chunks, "select source as session_id, doc_id as turn_index, i::int as seq, length(substr(text, (i * 850 + 1)::int, 1000))::int as n from (select source, doc_id, text, unnest(range(0, greatest(ceil((length(text) - 1000) / 850.0), 0)::bigint + 1)) as i from documents where text != '')"),
+    _q(v06_index_text, "with " + TURNS_SQL + f", s as ({TOOLED}) select session_id, turn_index, i::int as seq, sha256(substr(content, (i * 850 + 1)::int, 1000)) as sha from (select session_id, turn_index, content, unnest(range(0, greatest(ceil((length(content) - 1000) / 850.0), 0)::bigint + 1)) as i from s where content != '')"),
     _q(v07_pending, "with " + SESSIONS_SQL.split(", sess0")[0] + ", " + VECTORS_SQL + ", c as (select session_id, turn_index, unnest(range(0, greatest(ceil((length(content) - 1000) / 850.0), 0)::bigint + 1))::int as seq from turns where content != '') select session_id, turn_index, seq from c where (session_id, turn_index, seq) not in (select session_id, turn_index, chunk_seq from vectors where model = 'm0')"),
     _q(v07_embed, "with c as (select conv_id, turn, unnest(range(0, greatest(ceil((length(text) - 1000) / 850.0), 0)::bigint + 1)) as seq from conversations where text != '') select 'hash64' as model, count(*) as n, count(distinct (conv_id, turn)) as turns from c"),
     _q(v08_insert, "with " + VECTORS_SQL + ", k as (select session_id, turn_index, chunk_seq, model from vectors) select model, (select count(*) from k a where a.model = k.model) + count(*) filter (turn_index % 2 = 1) as n from k group by model"),

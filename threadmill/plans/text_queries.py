@@ -9,7 +9,8 @@ from threadmill.functions import text as X
 from threadmill.plans.tables import table, turns
 
 C = F.col
-WORDS_SQL = r"list_filter(regexp_split_to_array(lower({0}), '[\s[:punct:]]+'), lambda x: length(x) > 1)"
+WHITE_SQL = r"\t-\r\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}"
+WORDS_SQL = rf"list_filter(regexp_split_to_array(lower({{0}}), '[{WHITE_SQL}[:punct:]]+'), lambda x: length(x) > 1)"
 
 
 def f01_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -17,12 +18,25 @@ def f01_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
+#: White space of every kind between words of a text, one after another.
+SPACES = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def f01_unicode(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of texts whose spaces are of every kind that Unicode has: which one follows from the word's
+    place in the text."""
+    some = F.split("text", " ")
+    spaced = F.array_join(F.transform(some, lambda w, i: F.concat(w, F.substring(F.lit(SPACES), (i % len(SPACES) + 1).cast("int"), F.lit(1)))), "")
+    d = table(spark, sf, "documents").select("doc_id", F.explode(X.tokens(spaced)).alias("term"))
+    return d.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
 def f05_fts_text(spark: SparkSession, sf: str) -> DataFrame:
     return turns(spark, sf).select("session_id", "turn_index", X.fts_text(C("content")).alias("fts"))
 
 
 def f06_index_text(spark: SparkSession, sf: str) -> DataFrame:
-    action = F.struct(F.lit("tool_use").alias("kind"), C("role").alias("name"), F.substring("content", 1, 20).alias("input_summary"))
+    action = F.struct(F.lit("tool_use").alias("kind"), C("role").alias("name"), C("content").alias("input_summary"))
     none = F.array().cast("array<struct<kind:string,name:string,input_summary:string>>")
     actions = F.when(C("turn_index") % 2 == 0, F.array(action)).otherwise(none)
     return turns(spark, sf).select("session_id", "turn_index", X.index_text(C("content"), actions).alias("shown"))
@@ -55,11 +69,6 @@ def f13_sanitize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f14_wiki_safe(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.wiki_safe(F.substring("text", 1, 60)).alias("name"))
-
-
-def f14_wiki_safe_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """f14_wiki_safe has the first 60 characters only, as its SQL; this has all."""
     return table(spark, sf, "documents").select("doc_id", X.wiki_safe(C("text")).alias("name"))
 
 
@@ -68,11 +77,6 @@ def f15_tag_norm(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f16_tag_list(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.array_join(X.normalize_tags(F.split(F.substring("text", 1, 200), " ")), ",").alias("tags"))
-
-
-def f16_tag_list_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """f16_tag_list has the first 200 characters only, as its SQL; this has all."""
     return table(spark, sf, "documents").select("doc_id", F.array_join(X.normalize_tags(F.split("text", " ")), ",").alias("tags"))
 
 
@@ -172,19 +176,18 @@ WORD = r"\p{L}\p{N}"
 TAGS = r"left(regexp_replace(regexp_replace(lower(trim({0})), '\s', '-', 'g'), '[^\p{{L}}\p{{N}}_-]', '', 'g'), 32)"
 QUERIES = dict([
     _both(f01_tokens, "select doc_id, term, count(*) as tf from (select doc_id, unnest(" + WORDS_SQL.format("text") + ") as term from documents) group by all"),
+    _both(f01_unicode, "with s as (select doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w, i: w || (" + "[" + ", ".join(f"chr({ord(c)})" for c in SPACES) + "])[(i - 1) % " + str(len(SPACES)) + " + 1]), '') as text from documents) select doc_id, term, count(*) as tf from (select doc_id, unnest(" + WORDS_SQL.format("text") + ") as term from s) group by all"),
     _both(f05_fts_text, "select cast(conv_id as varchar) as session_id, turn::int as turn_index, array_to_string(" + WORDS_SQL.format("text") + ", ' ') as fts from conversations"),
-    _both(f06_index_text, "select cast(conv_id as varchar) as session_id, turn::int as turn_index, concat_ws(chr(10) || chr(10), nullif(text, ''), case when turn % 2 = 0 then '[Tool: ' || role || '] ' || left(text, 20) end) as shown from conversations"),
+    _both(f06_index_text, "select cast(conv_id as varchar) as session_id, turn::int as turn_index, concat_ws(chr(10) || chr(10), nullif(text, ''), case when turn % 2 = 0 then '[Tool: ' || role || '] ' || text end) as shown from conversations"),
     _both(f07_snippet, "select doc_id, case when length(text) <= 200 then text else substr(text, (case when position('the ' in lower(text)) > 0 then greatest(position('the ' in lower(text)) - 31, 0) else 0 end + 1)::int, 200) end as snippet from documents"),
     _both(f08_chunks, "select doc_id, i::int as seq, substr(text, (i * 850 + 1)::int, 1000) as chunk from (select doc_id, text, unnest(range(0, greatest(ceil((length(text) - 1000) / 850.0), 0)::bigint + 1)) as i from documents)"),
     _both(f09_token_windows, "with w as (select doc_id, string_split(text, ' ') as w from documents), x as (select doc_id, w, unnest(range(0, greatest(ceil((len(w) - 500) / 425.0), 0)::bigint + 1)) as i from w) select doc_id, i::int as seq, len(w[i * 425 + 1:i * 425 + 500])::int as n, w[i * 425 + 1] as first_word, w[least(i * 425 + 500, len(w))] as last_word from x"),
     _both(f11_truncate, "select doc_id, case when length(text) > 80 then left(text, 80) || '...' else text end as short from documents"),
     _both(f12_truncate_bytes, "with c as (select doc_id, text, list_max(list_filter(range(0, least(length(text), 101) + 1), lambda i: strlen(left(text, i)) <= 101)) as k from documents) select doc_id, left(text, k) as cut, strlen(left(text, k))::int as n_bytes from c"),
     _both(f13_sanitize, rf"select doc_id, left(trim(regexp_replace(text, '[^{WORD}_ -]', '_', 'g')), 50) as name from documents"),
-    _both(f14_wiki_safe, rf"select doc_id, regexp_replace(regexp_replace(left(text, 60), '[^{WORD}]', '-', 'g'), '^-+|-+$', '', 'g') as name from documents"),
-    _both(f14_wiki_safe_whole, None),
+    _both(f14_wiki_safe, rf"select doc_id, regexp_replace(regexp_replace(text, '[^{WORD}]', '-', 'g'), '^-+|-+$', '', 'g') as name from documents"),
     _both(f15_tag_norm, "select doc_id, " + TAGS.format("text") + " as tag from documents"),
-    _both(f16_tag_list, "select doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(left(text, 200), ' '), lambda t: " + TAGS.format("t") + "), lambda t: t != ''))), ',') as tags from documents"),
-    _both(f16_tag_list_whole, None),
+    _both(f16_tag_list, "select doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(text, ' '), lambda t: " + TAGS.format("t") + "), lambda t: t != ''))), ',') as tags from documents"),
     _both(f17_summary, r"with t as (select conv_id, trim(regexp_extract(arg_min(text, turn) filter (role = 'user'), '^\s*([^\r\n]*)', 1)) as line from conversations group by conv_id) select cast(conv_id as varchar) as session_id, nullif(case when length(line) > 80 then left(line, 80) || '...' else line end, '') as summary from t"),
     _both(f23_blank_lines, r"select doc_id, sha256(regexp_replace(replace(text, '.', '.' || chr(10) || chr(10) || chr(10)), '\n([ \t]*\n){2,}', chr(10) || chr(10), 'g')) as sha from documents"),
     _both(f25_vault_path, "select cast(conv_id as varchar) as id, 'raw/.sessions/' || strftime(make_timestamp((1704067200 + conv_id * 3600) * 1000000), '%Y-%m-%d') || '/' || (['claude-code', 'codex', 'gemini-cli', 'chatgpt'])[(conv_id % 4 + 1)::int] || '_' || case when conv_id % 13 != 0 then 'proj' || (conv_id % 7) else 'unknown' end || '_' || left(cast(conv_id as varchar), 8) || '.md' as path from (select distinct conv_id from conversations)"),
