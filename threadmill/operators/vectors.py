@@ -1,4 +1,4 @@
-"""Vector search: exact cosine ranking, hyperplane buckets, incremental embedding."""
+"""Vector search: exact cosine ranking, incremental embedding, stored vectors."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pfs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,8 +16,7 @@ from pyspark.sql.window import Window
 from threadmill.functions import text as X
 from threadmill.model import SearchFilters
 from threadmill.operators.filters import search_predicate
-
-QUERY_BYTES = 32 << 20
+from threadmill.storage import Scratch, file_system
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -57,99 +58,90 @@ def search(vectors: DataFrame, turns: DataFrame, sessions: DataFrame, query: lis
     return F.broadcast(best).join(shown, ["session_id", "turn_index"]).withColumn("score", 1 - F.col("distance"))  # at most `limit` rows
 
 
-def knn_join(vectors: DataFrame, queries: DataFrame, k: int, limit: int = QUERY_BYTES) -> DataFrame:
-    """(query_id, vec_id, distance): the k nearest vectors of every query, exactly. Queries travel in
-    blocks of at most `limit` bytes; each task keeps k rows a query, which a window cuts to k."""
-    dim = queries.select(F.max(F.size("embedding")).alias("d"), F.count("*").alias("n")).first()
-    if not dim["n"]:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, distance double")
-    blocks = max(1, -(-dim["n"] * max(1, dim["d"]) * 8 // limit))
-    parts = []
-    for b in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = own.select("query_id", "embedding").toPandas()
-        if len(rows):
-            parts.append(_knn_block(vectors, rows, k, dim["d"]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Vectors as rows; those of another size, null or not finite are rows of zeros."""
+    rows = column.to_pylist()
+    out = np.zeros((len(rows), dim))
+    for i, v in enumerate(rows):
+        if v is not None and len(v) == dim:
+            out[i] = v
+    out[~np.isfinite(out).all(axis=1)] = 0
+    return out
 
 
-def _knn_block(vectors: DataFrame, rows: pd.DataFrame, k: int, dim: int) -> DataFrame:
-    ids = rows["query_id"].to_numpy()
-    q = np.stack([np.asarray(v, dtype=np.float64) if v is not None and len(v) == dim else np.zeros(dim) for v in rows["embedding"]])
-    size = np.linalg.norm(q, axis=1)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, q, size))
+def distances(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """cosine_distance() of every row of q with every row of v."""
+    both = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+    return np.where(both > 0, 1 - (q @ v.T) / np.where(both > 0, both, 1), 1.0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, size = shared.value
-        top_d, top_i = np.full((len(ids), 0), np.inf), np.full((len(ids), 0), -1, dtype=np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                vid = np.asarray(part.column("vec_id"))
-                v = np.stack([np.asarray(x, dtype=np.float64) if x is not None and len(x) == dim else np.zeros(dim) for x in part.column("embedding").to_pylist()])
-                both = size[:, None] * np.linalg.norm(v, axis=1)[None, :]
-                d = np.where(both > 0, 1 - (q @ v.T) / np.where(both > 0, both, 1), 1.0)
-                d, i = np.concatenate([top_d, d], axis=1), np.concatenate([top_i, np.broadcast_to(vid, d.shape)], axis=1)
-                order = np.lexsort((i, np.round(d, 12)), axis=1)[:, :k]
-                top_d, top_i = np.take_along_axis(d, order, axis=1), np.take_along_axis(i, order, axis=1)
-        if top_i.shape[1]:
-            n = top_i.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(top_i.reshape(-1)), pa.array(top_d.reshape(-1))], ["query_id", "vec_id", "distance"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, distance double")
+def nearest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, ids) of the k least of each row, ties (to 12 digits) by id."""
+    if d.shape[1] > 4 * k:  # all that are no farther than the k-th: few are left to sort
+        kth = np.partition(np.round(d, 12), k - 1, axis=1)[:, k - 1 : k]
+        width = int((np.round(d, 12) <= kth).sum(axis=1).max(initial=0))
+        at = np.argpartition(np.round(d, 12), min(width, d.shape[1] - 1), axis=1)[:, :width] if width < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+        d, ids = np.take_along_axis(d, at, axis=1), np.take_along_axis(ids, at, axis=1)
+    order = np.lexsort((ids, np.round(d, 12)), axis=1)[:, :k]
+    return np.take_along_axis(d, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
 
-def hyperplanes(dim: int, tables: int, bits: int, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables, bits, dim))
+KNN = "query_id bigint, vec_id bigint, distance double"
+HELD = 1 << 16  # vectors that a task holds at once
+BLOCK = 2048  # queries and vectors that are compared at once
+
+
+def _top_k(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
-def lsh_buckets(vectors: DataFrame, tables: int = 24, bits: int = 8, probes: int = 8, seed: int = 11) -> DataFrame:
-    """(vec_id, cell): a cell for each table and sign pattern (Charikar 2002), and with `probes` also
-    the cells reached by flipping each of the least certain bits."""
+def knn_join(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, distance): the k nearest vectors (vec_id, embedding) of every query (query_id,
+    embedding), exactly. The queries are written to the shared folder; each task holds HELD of its
+    vectors and reads all queries in blocks, so neither the driver nor a broadcast holds them. A task
+    sends k rows a query for each HELD vectors, which a window cuts to k."""
+    scratch = Scratch(vectors.sparkSession)
+    path = scratch.path("queries")
+    queries.select("query_id", "embedding").write.parquet(path)
+    dim = vectors.sparkSession.read.parquet(path).agg(F.max(F.size("embedding"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
+        fs, root = file_system(path)
+        files = sorted(x.path for x in fs.get_file_info(pfs.FileSelector(root)) if x.path.endswith(".parquet"))
+
+        def compare(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            ids, v = np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held])
+            for file in files:
+                with fs.open_input_file(file) as f:
+                    for block in pq.ParquetFile(f).iter_batches(BLOCK):
+                        q, asked = matrix(block.column("embedding"), dim), np.asarray(block.column("query_id"))
+                        best_d, best_i = np.zeros((len(asked), 0)), np.zeros((len(asked), 0), np.int64)
+                        for at in range(0, len(v), BLOCK):
+                            d = distances(q, v[at : at + BLOCK])
+                            own = np.broadcast_to(ids[at : at + BLOCK], d.shape)
+                            best_d, best_i = nearest(np.concatenate([best_d, d], axis=1), np.concatenate([best_i, own], axis=1), k)
+                        n = best_i.shape[1]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, n), pa.int64()), pa.array(best_i.reshape(-1), pa.int64()), pa.array(best_d.reshape(-1))], ["query_id", "vec_id", "distance"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            rows = [(i, v) for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True) if v]
-            if not rows:
-                continue
-            x = np.array([v for _, v in rows], dtype=np.float64)
-            planes = hyperplanes(x.shape[1], tables, bits, seed) if planes is None else planes
-            side = np.einsum("nd,tbd->ntb", x, planes)
-            code = ((side > 0) * (1 << np.arange(bits))).sum(axis=2)
-            codes = [code]
-            near = np.argsort(np.abs(side), axis=2)
-            codes += [code ^ (1 << near[:, :, p]) for p in range(probes)]
-            cell = np.stack([c + np.arange(tables) * (1 << bits) for c in codes], axis=2).reshape(len(rows), -1)
-            n = cell.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([i for i, _ in rows], n), pa.int64()), pa.array(cell.reshape(-1), pa.int64()), pa.array(np.tile(np.arange(n) % (1 + probes) > 0, len(rows)))], ["vec_id", "cell", "probe"])
-
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, cell bigint, probe boolean")
-
-
-def approx_knn(vectors: DataFrame, k: int, tables: int = 24, bits: int = 8, probes: int = 8) -> DataFrame:
-    """(query_id, vec_id, distance): about the k nearest of every row, itself included. Every row is a
-    query; rows that share a cell are compared exactly. The defaults find over 0.9 of the nearest ten
-    among vectors without any structure, where no bucketing saves much and knn_join() is the better
-    choice; vectors that cluster need fewer tables and probes."""
-    cells = lsh_buckets(vectors, tables, bits, probes)
-    asked, stored = cells.select(F.col("vec_id").alias("query_id"), "cell"), cells.where("not probe").select("vec_id", "cell")
-    pairs = asked.join(stored, "cell").select("query_id", "vec_id").distinct()
-    v = vectors.select("vec_id", "embedding")
-    near = pairs.join(v, "vec_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")), "query_id")
-    near = near.select("query_id", "vec_id", cosine_distance(F.col("embedding"), F.col("asked")).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                held.append((np.asarray(part.column("vec_id")), matrix(part.column("embedding"), dim)))
+                if sum(len(i) for i, _ in held) >= HELD:
+                    yield from compare(held)
+                    held = []
+        if held:
+            yield from compare(held)
+
+    return _top_k(vectors.select("vec_id", "embedding").mapInArrow(run, KNN), k)
 
 
 def chunks(turns: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
-    """(session_id, turn_index, seq, text) of turns that have text."""
-    own = turns.where(F.coalesce(F.col("content"), F.lit("")) != "")
-    return own.select("session_id", "turn_index", F.posexplode(X.char_chunks(F.col("content"), size, overlap)).alias("seq", "text"))
+    """(session_id, turn_index, seq, text) of turns that have text: the content with its tool calls."""
+    own = turns.withColumn("shown", X.turn_text(turns.columns)).where(F.coalesce(F.col("shown"), F.lit("")) != "")
+    return own.select("session_id", "turn_index", F.posexplode(X.char_chunks(F.col("shown"), size, overlap)).alias("seq", "text"))
 
 
 def pending(chunked: DataFrame, stored: DataFrame, model: str) -> DataFrame:
@@ -229,6 +221,15 @@ def mean_pool(tokens: Column, mask: Column) -> Column:
     return F.transform(total, lambda v: v / norm(total))
 
 
+def encode_floats(vector: Column) -> Column:
+    """Little-endian 32-bit floats."""
+
+    def run(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+
+    return F.pandas_udf(run, "binary")(vector)
+
+
 def decode_floats(blob: Column) -> Column:
     """Little-endian 32-bit floats; a length that isn't a multiple of 4 gives an empty array."""
 
