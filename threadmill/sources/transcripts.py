@@ -24,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from threadmill.model import PARSED_SESSION
+from threadmill.storage import file_system, hadoop
 
 RESULT_CHARS = 500
 Json = Any
@@ -449,8 +450,8 @@ def parse_file(path: str, data: bytes) -> list[dict[str, Any]]:
 def hidden_folders(root: str) -> list[str]:
     """Folders below the root whose names start with a dot or an underscore: Spark's listing passes
     over them unless they are named, and agents keep their files in such."""
-    fs, base = pfs.FileSystem.from_uri(root) if "://" in root else (pfs.LocalFileSystem(), os.path.abspath(root))
-    prefix = root[: len(root) - len(base)] if "://" in root else ""
+    fs, base = file_system(root) if ":/" in root else (pfs.LocalFileSystem(), os.path.abspath(root))
+    prefix = root[: len(root) - len(base)] if ":/" in root else ""
     found = [x.path for x in fs.get_file_info(pfs.FileSelector(base, recursive=True, allow_not_found=True)) if x.type == pfs.FileType.Directory and PurePosixPath(x.path).name[0] in "._"]
     return [prefix + p for p in sorted(found)]
 
@@ -472,6 +473,19 @@ def find_session(files: DataFrame, session_id: str) -> DataFrame:
     return files.where((stem == session_id) | F.startswith(stem, F.lit(session_id + "_")) | F.startswith(stem, F.lit(session_id + "-")))
 
 
+def resolve(spark: SparkSession, target: str, root: str, agent: str = "claude-code") -> DataFrame:
+    """The paths that are meant by `target`: "auto" for the agent's files below the root, the files of a
+    folder, a file, the files of a session id below the root, or else the path as it is."""
+    if target == "auto":
+        return discover(spark, root, agent).select("path")
+    fs, at = hadoop(spark, target)
+    if fs.exists(at):
+        return find_files(spark, target).select("path") if fs.getFileStatus(at).isDirectory() else spark.createDataFrame([(target,)], "path string")
+    if "/" not in target and "." not in target:
+        return find_session(find_files(spark, root), target).select("path")
+    return spark.createDataFrame([(target,)], "path string")
+
+
 def parse_all(files: DataFrame) -> DataFrame:
     """Sessions of files (path, content); several paths to one file count once."""
 
@@ -505,7 +519,8 @@ class TranscriptSource(DataSource):
         return PARSED_SESSION
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options.get("path", "."), int(self.options.get("filesPerPartition", "64")))
+        path = self.options.get("path", ".")
+        return _Reader(path if ":/" in path else "file://" + os.path.abspath(path), int(self.options.get("filesPerPartition", "64")))
 
 
 class _Files(InputPartition):
@@ -518,13 +533,13 @@ class _Reader(DataSourceReader):
         self.root, self.each = root, each
 
     def partitions(self) -> list[InputPartition]:
-        from pathlib import Path
-
-        paths = sorted(str(p) for p in Path(self.root).rglob("*") if p.is_file() and "subagents" not in p.parts)
+        fs, base = file_system(self.root)
+        found = fs.get_file_info(pfs.FileSelector(base, recursive=True))
+        paths = sorted(x.path for x in found if x.type == pfs.FileType.File and "subagents" not in PurePosixPath(x.path).parts)
         return [_Files(paths[i : i + self.each]) for i in range(0, len(paths), self.each)] or [_Files([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        from pathlib import Path
+        fs, _ = file_system(self.root)
 
         def value(x: Any, kind: Any) -> Any:
             if isinstance(x, list):
@@ -532,5 +547,7 @@ class _Reader(DataSourceReader):
             return tuple(value(x.get(f.name), f.dataType) for f in kind.fields) if isinstance(x, dict) else x
 
         for p in partition.paths:
-            for s in parse_file(p, Path(p).read_bytes()):
+            with fs.open_input_file(p) as f:
+                data = f.read()
+            for s in parse_file(p, data):
                 yield tuple(value(s[f.name], f.dataType) for f in PARSED_SESSION.fields)

@@ -5,23 +5,26 @@ from __future__ import annotations
 import os
 import subprocess
 import uuid
+from datetime import date
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmill.functions import markdown
 from threadmill.sources.transcripts import hidden_folders
+from threadmill.storage import file_system, qualified
 
 
 def write(rendered: DataFrame, root: str) -> DataFrame:
     """Writes (path, markdown) below the root, each to a name of its own and then moved, so that no
     reader meets half a file; (path, bytes) of what was written. Lazy: an action runs it."""
 
+    root = qualified(rendered.sparkSession, root)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = pfs.FileSystem.from_uri(root if "://" in root else "file://" + os.path.abspath(root))
+        fs, base = file_system(root)
         for pdf in frames:
             sizes = []
             for path, text in zip(pdf["path"], pdf["markdown"], strict=True):
@@ -41,7 +44,7 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     """(path, markdown) of every markdown file below the root; path is relative to it."""
     found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text([root, *hidden_folders(root)], wholetext=True)
     plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # names come as in a url
-    clean = root.removeprefix("file://").rstrip("/")
+    clean = root.removeprefix("file://").removeprefix("file:").rstrip("/")
     return found.select(F.substring_index(plain, clean + "/", -1).alias("path"), F.col("value").alias("markdown"))
 
 
@@ -49,7 +52,7 @@ def reindex(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sessions and turns of vault files (path, markdown); files without a session id are passed over."""
     f = markdown.session_fields(F.col("markdown"))
     sessions = files.select("path", "markdown", *[c.alias(n) for n, c in f.items()]).where("session_id is not null")
-    sessions = sessions.withColumn("start_time", F.try_to_timestamp("start_time")).withColumn("summary", F.coalesce("summary", markdown.summary_of_body(F.col("markdown"))))
+    sessions = sessions.withColumn("start_time", F.try_to_timestamp("start_time")).withColumn("summary", F.coalesce("summary", markdown.summary_of_body(F.col("markdown")))).withColumn("archived_at", F.try_to_timestamp("archived_at"))
     turns = markdown.parse_turns(sessions.select(F.col("session_id").alias("id"), "markdown")).withColumnRenamed("id", "session_id")
     return sessions.drop("markdown").withColumnRenamed("session_id", "id").withColumnRenamed("path", "vault_path"), turns
 
@@ -63,6 +66,39 @@ def missing_turns(found_sessions: DataFrame, found_turns: DataFrame, stored_sess
     return new, todo
 
 
+def against(found: DataFrame, stored: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Sessions of the vault that aren't stored; and the stored rows whose archive state or number of
+    turns isn't the vault's, brought in line (None where nothing is stored)."""
+    if stored is None:
+        return found, None
+    told = found.select("id", F.coalesce("archived", F.lit(False)).alias("a"), F.col("archived_at").alias("at"), F.coalesce(F.col("turns"), F.lit(0)).cast("bigint").alias("n"))
+    both = stored.join(told, "id")
+    off = (F.col("is_archived") != F.col("a")) | (F.col("turn_count") != F.col("n"))
+    changed = both.where(off).withColumns({"is_archived": F.col("a"), "archived_at": F.col("at"), "turn_count": F.col("n")}).select(*stored.columns)
+    return found.join(stored.select("id"), "id", "left_anti"), changed
+
+
+def move_orphans(findings: DataFrame, root: str, day: date) -> DataFrame:
+    """Moves the files of L002 findings to archive/orphan-<day>/ below the root, under their own paths:
+    nothing is deleted. (path, moved) of each; one that has gone already isn't moved. Lazy."""
+    root, to = qualified(findings.sparkSession, root), f"archive/orphan-{day.isoformat()}"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = file_system(root)
+        for pdf in frames:
+            moved = []
+            for path in pdf["path"]:
+                try:
+                    fs.create_dir(f"{base}/{to}/{path}".rsplit("/", 1)[0], recursive=True)
+                    fs.move(f"{base}/{path}", f"{base}/{to}/{path}")
+                    moved.append(True)
+                except OSError:
+                    moved.append(False)
+            yield pd.DataFrame({"path": pdf["path"], "moved": moved})
+
+    return findings.where("code = 'L002'").select(F.col("detail").alias("path")).mapInPandas(run, "path string, moved boolean")
+
+
 def run_hook(script: str, session: dict[str, str], timeout: float = 30) -> bool:
     """Runs a script with the session's fields in its environment; a failure is told, not raised."""
     env = os.environ | {f"SESSION_{k.upper()}": str(v) for k, v in session.items()}
