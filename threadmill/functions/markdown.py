@@ -29,9 +29,9 @@ def render(sessions: DataFrame, turns: DataFrame) -> DataFrame:
     time = F.coalesce(F.concat(F.lit(" ("), F.date_format("ts", "HH:mm"), F.lit(")")), F.lit("")) if "ts" in turns.columns else F.lit("")
     n = (F.col("turn_index") + 1).cast("string")
     head = F.when(same, F.concat(F.lit("### Turn "), n, time)).otherwise(F.concat(F.lit("## Turn "), n, F.lit(" — "), F.initcap("role"), time))
-    parts = [head, F.nullif(F.coalesce(F.col("content"), F.lit("")), F.lit(""))]
+    parts = [head, F.nullif(escape_fields(F.coalesce(F.col("content"), F.lit(""))), F.lit(""))]
     if "thinking" in turns.columns:
-        parts.insert(1, F.when(F.col("thinking").isNotNull(), F.concat(F.lit("> [!thinking]- Thinking\n> "), F.replace("thinking", F.lit("\n"), F.lit("\n> ")))))
+        parts.insert(1, F.when(F.col("thinking").isNotNull(), F.concat(F.lit("> [!thinking]- Thinking\n> "), F.replace(escape_fields(F.col("thinking")), F.lit("\n"), F.lit("\n> ")))))
     if "actions" in turns.columns:
         tool = lambda a: F.concat(F.lit("> [!tool]- "), a["name"], F.lit("\n> ```\n> "), F.replace(F.coalesce(a["input_summary"], F.lit("")), F.lit("\n"), F.lit("\n> ")), F.lit("\n> ```"))
         parts.append(F.nullif(F.array_join(F.transform(F.filter("actions", lambda a: a["kind"] == "tool_use"), tool), "\n\n"), F.lit("")))
@@ -59,7 +59,7 @@ def parse_turns(docs: DataFrame, text: str = "markdown") -> DataFrame:
     marked = marked.withColumn("role", F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("group") > 0)
     content = F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("no", "line"))))
     done = marked.groupBy("id", "group").agg(F.max("turn_index").alias("turn_index"), F.first("role", ignorenulls=True).alias("role"), F.array_join(F.transform(content, lambda x: x["line"]), "\n").alias("raw"))
-    return done.select("id", "turn_index", "role", F.regexp_replace("raw", r"^\n+|\n+$", "").alias("content"))
+    return done.select("id", "turn_index", "role", unescape_fields(F.regexp_replace("raw", r"^\n+|\n+$", "")).alias("content"))
 
 
 def summary_of_body(text: Column) -> Column:
@@ -71,19 +71,27 @@ def summary_of_body(text: Column) -> Column:
 def session_fields(text: Column) -> dict[str, Column]:
     """The fields of a session's frontmatter; all may be null."""
     h = X.frontmatter(text)
-    names = ("session_id", "agent", "model", "project", "cwd", "date", "start_time", "end_time", "host", "status", "summary", "session_type")
-    return {n: X.yaml_field(h, n) for n in names} | {"turns": X.yaml_field(h, "turns").cast("int"), "tools_used": X.yaml_list(h, "tools_used"), "tags": X.yaml_list(h, "tags")}
+    names = ("session_id", "agent", "model", "project", "cwd", "date", "start_time", "end_time", "host", "status", "session_type", "archived_at")
+    whole = {n: X.yaml_field(h, n).try_cast("bigint") for n in ("tokens_in", "tokens_out")}
+    lists = {n: X.yaml_list(h, n) for n in ("tools_used", "tags")}
+    archived = F.lower(X.yaml_field(h, "archived")) == "true"
+    return {n: X.yaml_field(h, n) for n in names} | {"summary": X.yaml_unescape(X.yaml_field(h, "summary")), "turns": X.yaml_field(h, "turns").try_cast("int"), "archived": archived} | whole | lists
 
 
-def escape_fields(text: str) -> str:
+#: Fenced blocks, to the end of the text where they aren't closed, and code in a line.
+CODE = r"(?s)```.*?(?:```|\z)|`[^`\n]*`"
+
+
+def escape_fields(text: Column) -> Column:
     """`::` outside of code is broken by a zero-width space."""
-    out = []
-    for i, block in enumerate(re.split(r"(```.*?(?:```|\Z))", text, flags=re.S)):
-        if i % 2:
-            out.append(block)
-        else:
-            out.append("".join(p if j % 2 else p.replace("::", f":{ZWSP}:") for j, p in enumerate(re.split(r"(`[^`\n]*`)", block))))
-    return "".join(out)
+    between, code = F.split(text, CODE, -1), F.regexp_extract_all(text, F.lit(CODE), F.lit(0))
+    shown = F.zip_with(between, code, lambda a, c: F.concat(F.replace(a, F.lit("::"), F.lit(f":{ZWSP}:")), F.coalesce(c, F.lit(""))))
+    return F.when(F.contains(text, F.lit("::")), F.array_join(shown, "")).otherwise(text)
+
+
+def unescape_fields(text: Column) -> Column:
+    """The inverse of escape_fields(): `::` as it was."""
+    return F.replace(text, F.lit(f":{ZWSP}:"), F.lit("::"))
 
 
 def insert_links(text: str, names: dict[str, str]) -> str:
@@ -96,11 +104,22 @@ def insert_links(text: str, names: dict[str, str]) -> str:
     return "".join(p if i % 2 else pattern.sub(put, p) for i, p in enumerate(re.split(r"(\[\[.*?\]\])", text)))
 
 
-def escape_column(text: Column) -> Column:
+def linked(pages: DataFrame, names: dict[str, str]) -> DataFrame:
+    """`pages` (text) with names linked as insert_links() does, a batch of pages at a time."""
+
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else escape_fields(t))
+        return texts.map(lambda t: None if t is None else insert_links(t, names))
+
+    return pages.withColumn("text", F.pandas_udf(run, "string")("text"))
+
 
-    return F.pandas_udf(run, "string")(text)
+def merge_conflict(ours: Column, theirs: Column) -> Column:
+    """The text of a page of which two versions exist: theirs, with the sources of both as a block list."""
+    sources = F.array_distinct(F.concat(X.yaml_list(X.frontmatter(ours), "sources"), X.yaml_list(X.frontmatter(theirs), "sources")))
+    block = F.concat(F.lit("sources:\n"), F.array_join(F.transform(sources, lambda x: F.concat(F.lit("  - "), x)), "\n"))
+    head = F.regexp_replace(X.frontmatter(theirs), r"(?m)^sources:.*(?:\n[ \t]+-.*)*\n?", "")
+    head = F.regexp_replace(head, r"\n+$", "")
+    return F.concat(F.lit("---\n"), F.when(head != "", F.concat(head, F.lit("\n"))).otherwise(""), F.when(F.size(sources) > 0, F.concat(block, F.lit("\n"))).otherwise(""), F.lit("---\n"), X.body(theirs))
 
 
 def merge_pages(existing: DataFrame, new: DataFrame) -> DataFrame:

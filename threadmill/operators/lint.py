@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadmill.functions import text as X
-from threadmill.operators.sessions import duplicate_ingests
+from threadmill.operators.sessions import agent_counts, duplicate_ingests
 
 REQUIRED = ("title", "type", "sources")
 
@@ -87,6 +87,20 @@ def severities(findings: DataFrame) -> DataFrame:
     return findings.agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("error", "warn", "info")])
 
 
+def run_all(sessions: DataFrame, turns: DataFrame, docs: DataFrame, vectors: DataFrame, files: DataFrame, log: DataFrame, pages: DataFrame, vault: str) -> DataFrame:
+    """The findings of every check, L001 to L011."""
+    return report([
+        vault_files(sessions, files), orphan_files(files, sessions), duplicates(log), missing_embeddings(turns, vectors), index_counts(turns, docs), orphan_vectors(vectors, sessions),
+        wiki_frontmatter(pages), dead_sources(pages, sessions), unreferenced(sessions, pages), wiki_invocations(sessions, vault),
+    ])
+
+
+def summary(findings: DataFrame, sessions: DataFrame) -> DataFrame:
+    """One row: the number of sessions, of findings by severity, and sessions by agent."""
+    agents = agent_counts(sessions).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("agent", "n")))).alias("agents"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_sessions"))  # a row for each agent
+    return severities(findings).crossJoin(F.broadcast(agents))  # one row each
+
+
 def fix_stale(sessions: DataFrame, findings: DataFrame) -> DataFrame:
     """Sessions without those whose file is missing (not those that never had one)."""
     stale = findings.where("code = 'L001' and detail != 'no path'").select(F.col("session_id").alias("id"))

@@ -42,6 +42,25 @@ def turn_prompt(turns: DataFrame, budget: int = 3000, each: int = 1000) -> DataF
     return parts.select("session_id", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("prompt"))
 
 
+def project_prompt(sessions: DataFrame, turns: DataFrame, each: int = 1000, stop: int = 3000) -> DataFrame:
+    """(project, prompt) for every project: a heading for each of its sessions in order of time, with the
+    first 200 characters of its summary's first line, and its turns, each cut to `each` bytes, until
+    they are more than `stop` bytes."""
+    shown = F.when(F.octet_length("content") > each, F.concat(X.truncate_bytes(F.col("content"), each), F.lit("..."))).otherwise(F.coalesce("content", F.lit("")))
+    label = F.when(F.col("role") == "user", "User").when(F.col("role") == "assistant", "Assistant").otherwise("System")
+    line = turns.select("session_id", "turn_index", F.concat(F.lit("**"), label, F.lit("**: "), shown, F.lit("\n")).alias("line"))
+    w = Window.partitionBy("session_id").orderBy("turn_index")
+    line = line.withColumn("upto", F.sum(F.octet_length("line")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.octet_length("line")).where(F.col("before") <= stop)
+    own = line.groupBy(F.col("session_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("turn_index", "line"))).alias("l"), (F.max("upto") > stop).alias("over"))
+    told = own.select("id", F.concat(F.array_join(F.transform("l", lambda x: x["line"]), ""), F.when(F.col("over"), "...(truncated)\n").otherwise("")).alias("turns"))
+    first = F.substring(F.coalesce(F.split("summary", "\n")[0], F.lit("(no summary)")), 1, 200)
+    head = F.concat(F.lit("### "), F.substring("id", 1, 8), F.lit(" ("), F.date_format("start_time", "yyyy-MM-dd"), F.lit(", "), F.col("turn_count").cast("string"), F.lit(" turns, "), "agent", F.lit(")\n"), first, F.lit("\n\n"))
+    part = F.concat(head, F.coalesce(F.concat("turns", F.lit("\n")), F.lit("")))
+    rows = sessions.where("project is not null").join(told, "id", "left").select("project", F.struct("start_time", "id", part.alias("p")).alias("x"))
+    g = rows.groupBy("project").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return g.select("project", F.concat(F.lit("## Project: "), "project", F.lit("\n## Sessions: "), F.size("x").cast("string"), F.lit("\n\n"), F.array_join(F.transform("x", lambda r: r["p"]), "")).alias("prompt"))
+
+
 def review_source(turns: DataFrame, n: int = 5, each: int = 500, budget: int = 2000) -> DataFrame:
     return turn_prompt(turns.where(F.col("turn_index") < n), budget, each)
 

@@ -119,11 +119,11 @@ def budget_suffix(entries: DataFrame, budget: int, by: str, order: str, length:
 
 
 def budget_prefix(turns: DataFrame, budget: int = 3000, each: int = 1000, by: str = "session_id", order: str = "turn_index", content: str = "content") -> DataFrame:
-    """Turns in order, each cut to `each` characters, until more than the budget is used; the one that
-    goes over is the last."""
-    cut = turns.withColumn("shown", F.substring(content, 1, each))
+    """Turns in order, each cut to `each` bytes at the end of a character, until more than `budget` bytes
+    are used; the one that goes over is the last."""
+    cut = turns.withColumn("shown", X.truncate_bytes(F.col(content), each))
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return cut.withColumn("before", F.coalesce(F.sum(F.length("shown")).over(w), F.lit(0))).where(F.col("before") <= budget)
+    return cut.withColumn("before", F.coalesce(F.sum(F.octet_length("shown")).over(w), F.lit(0))).where(F.col("before") <= budget)
 
 
 # classification
