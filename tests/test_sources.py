@@ -1,5 +1,6 @@
 import io
 import json
+import time
 import zipfile
 
 import pytest
@@ -11,6 +12,7 @@ from threadmill.functions import markdown
 from threadmill.sources import transcripts as T
 from threadmill.sources import vault
 from threadmill.streaming import ingest
+from threadmill.streaming.store import Conflict, Store
 
 
 def lines(*events):
@@ -131,25 +133,28 @@ def test_files_become_tables(spark, folder):
 
 
 def test_stream_ingests_like_batch_and_is_idempotent(spark, folder, tmp_path):
-    batch = ingest.Store(spark, str(tmp_path / "b"))
+    batch = Store(spark, str(tmp_path / "b"))
     ingest.ingest_batch(batch, T.discover(spark, str(folder), "claude-code"))
     ingest.ingest_batch(batch, T.discover(spark, str(folder), "claude-code"))
-    stream = ingest.Store(spark, str(tmp_path / "s"))
+    stream = Store(spark, str(tmp_path / "s"))
     ingest.ingest_stream(spark, str(folder / ".claude"), stream, str(tmp_path / "cp")).awaitTermination(120)
-    pick = lambda s: s.read("turns").select("session_id", "turn_index", "content").orderBy("turn_index").collect()
+    pick = lambda s: ingest.turns_of(s).select("session_id", "turn_index", "content").orderBy("turn_index").collect()
     assert pick(batch) == pick(stream) and len(pick(batch)) == 3
     assert [r.action for r in batch.read("ingest_log").orderBy("at").collect()] == ["new", "skip"]
     p = folder / ".claude" / "projects" / "p" / "s1.jsonl"
     p.write_bytes(p.read_bytes() + b"\n" + lines({"type": "user", "timestamp": "2026-01-01T11:00:00Z", "message": {"content": "more"}}))
     ingest.ingest_batch(batch, T.discover(spark, str(folder), "claude-code"))
-    assert len(pick(batch)) == 4 and batch.read("sessions").first().turn_count == 4
+    assert len(pick(batch)) == 4 and ingest.sessions_of(batch).first().turn_count == 4
 
 
 def test_job_states_stream(spark, tmp_path):
     src = tmp_path / "jobs"
     spark.createDataFrame([(1, 1, "started"), (1, 2, "running"), (1, 3, "completed"), (1, 4, "running"), (2, 1, "started")], "job_id bigint, seq bigint, status string").write.parquet(str(src))
-    q = ingest.job_states(spark.readStream.schema("job_id bigint, seq bigint, status string").parquet(str(src))).writeStream.outputMode("update").format("memory").queryName("jobs_out").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination(120)
+    q = ingest.job_states(spark.readStream.schema("job_id bigint, seq bigint, status string").parquet(str(src))).writeStream.outputMode("update").format("memory").queryName("jobs_out").option("checkpointLocation", str(tmp_path / "c")).start()
+    until = time.time() + 120
+    while spark.table("jobs_out").count() < 2 and time.time() < until:  # state timeouts keep such a query going
+        time.sleep(0.5)
+    q.stop()
     assert sorted(map(tuple, spark.table("jobs_out").collect())) == [(1, "completed", 4), (2, "started", 1)]
 
 
@@ -167,8 +172,11 @@ def test_vault_round_trip(spark, tmp_path):
     assert new.count() == 0 and todo.count() == 2
 
 
-def test_markdown_helpers():
-    assert markdown.escape_fields("a:: b `c:: d` ```\ne::\n```") == "a:​: b `c:: d` ```\ne::\n```"
+def test_markdown_helpers(spark):
+    zw = "\u200b"
+    cases = {"a:: b `c:: d` ```\ne::\n```": f"a:{zw}: b `c:: d` ```\ne::\n```", "``` open:: x": "``` open:: x", "`a:: b": f"`a:{zw}: b", "`x\ny:: z`": f"`x\ny:{zw}: z`", "": "", "::" * 3: f":{zw}:" * 3, "x" * 200_000 + "::": "x" * 200_000 + f":{zw}:"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.e for r in df.select("t", markdown.escape_fields(F.col("t")).alias("e")).collect()} == cases
     assert markdown.insert_links("see abcd1234 and [[abcd1234]]", {"abcd1234": "s/abcd1234"}) == "see [[s/abcd1234|abcd1234]] and [[abcd1234]]"
     assert markdown.parse_frontmatter("---\r\na: 1\r\n---\r\nx") == {"a": 1} and markdown.parse_frontmatter("---\n: [\n---") == {}
 
@@ -179,3 +187,121 @@ def test_phases_stop_at_a_failure():
 
     assert [p["outcome"] for p in ingest.run_phases([("a", lambda: 1), ("b", bad), ("c", lambda: 1)])] == ["done", "failed: no"]
     assert ingest.run_phases([("a", lambda: 1)], lambda: True)[0]["outcome"] == "cancelled"
+
+
+def test_progress_is_told():
+    events = []
+    ingest.run_phases([("a", lambda: 3), ("b", lambda: 1)], told_to=lambda *e: events.append(e))
+    assert events == [("a: done", 3), ("b: done", 1)]
+
+
+@pytest.fixture
+def logs(spark):
+    return lambda *sessions: spark.createDataFrame([(f"/h/.claude/projects/p/{i}.jsonl", lines(*[{"type": "user" if k % 2 == 0 else "assistant", "timestamp": f"2026-01-01T10:00:{k:02d}Z", "sessionId": i, "cwd": "/w/p", "message": {"id": f"m{k}", "content": f"{i} word{k}" if k % 2 == 0 else [{"type": "text", "text": f"{i} word{k}"}]}} for k in range(n)])) for i, n in sessions], "path string, content binary")
+
+
+def test_a_broken_run_leaves_all_tables_as_they_were(spark, tmp_path, logs, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    ingest.ingest_batch(store, logs(("a", 2), ("b", 3)))
+    state = lambda: (sorted((r.id, r.turn_count) for r in ingest.sessions_of(store).collect()), ingest.turns_of(store).count(), ingest.index_of(store).postings.count(), ingest.pending_of(store, "m").count(), store.read("ingest_log").count())
+    before = state()
+    assert before[:2] == ([("a", 2), ("b", 3)], 5)
+    for name in ("_publish",):
+        with monkeypatch.context() as m:
+            m.setattr(Store, name, lambda *a: (_ for _ in ()).throw(OSError("killed")))
+            with pytest.raises(OSError, match="killed"):
+                ingest.ingest_batch(store, logs(("a", 5), ("c", 2)))
+        assert state() == before
+    from threadmill.streaming import store as module
+
+    real, n = module.Transaction._stage, [0]
+
+    def dies(self, *args):
+        n[0] += 1
+        if n[0] == 3:
+            raise OSError("killed")
+        return real(self, *args)
+
+    with monkeypatch.context() as m:
+        m.setattr(module.Transaction, "_stage", dies)
+        with pytest.raises(OSError, match="killed"):
+            ingest.ingest_batch(store, logs(("a", 5), ("c", 2)))
+    assert state() == before
+    ingest.ingest_batch(store, logs(("a", 5), ("c", 2)), token="t")
+    after = state()
+    assert after[:2] == ([("a", 5), ("b", 3), ("c", 2)], 10)
+    ingest.ingest_batch(store, logs(("a", 5), ("c", 2)), token="t")
+    assert state() == after and store.vacuum() > 0 and state() == after
+    ingest.compact(store)
+    assert state() == after
+
+
+def test_a_session_built_anew_counts_once(spark, tmp_path, logs):
+    store = Store(spark, str(tmp_path / "s"))
+    ingest.ingest_batch(store, logs(("a", 30), ("b", 2)))
+    ingest.ingest_batch(store, logs(("a", 4)))  # shorter than what is stored: not one that has grown
+    assert ingest.turns_of(store).where("session_id = 'a'").count() == 4 and ingest.turns_of(store).count() == 6
+    assert ingest.index_of(store).docs.count() == 6 and ingest.index_of(store).postings.where("term = 'word20'").count() == 0
+    from threadmill.operators import bm25
+
+    assert bm25.scores(ingest.index_of(store), ["word1"]).count() == 2
+
+
+def test_ingest_reads_no_turns(spark, tmp_path, logs, monkeypatch):
+    """The cost of a batch doesn't depend on the turns that are stored."""
+    store = Store(spark, str(tmp_path / "s"))
+    ingest.ingest_batch(store, logs(("a", 2)))
+    read = []
+    real = Store.read
+    monkeypatch.setattr(Store, "read", lambda self, name: read.append(name) or real(self, name))
+    ingest.ingest_batch(store, logs(("a", 4), ("b", 2)))
+    assert set(read) == {"sessions"}
+
+
+def test_hook_vault_and_embedding_queue(spark, tmp_path, logs):
+    script = tmp_path / "hook.sh"
+    script.write_text(f'#!/bin/sh\necho "$SESSION_SESSION_ID $SESSION_TURNS $SESSION_AGENT" >> {tmp_path}/out\n[ "$SESSION_SESSION_ID" != b ]\n')
+    script.chmod(0o755)
+    from threadmill.operators import sessions as S
+    from threadmill.operators import vectors as V
+
+    rules = ingest.Rules(classify=[S.Rule("automated", pattern="^b")], vault=str(tmp_path / "v"), hook=str(script))
+    store = Store(spark, str(tmp_path / "s"))
+    ingest.ingest_batch(store, logs(("a", 2), ("b", 3)), rules)
+    assert sorted((tmp_path / "out").read_text().split("\n")[:-1]) == ["a 2 claude-code", "b 3 claude-code"]
+    assert {r.session_id: r.hook for r in store.read("ingest_log").collect()} == {"a": True, "b": False}
+    assert vault.read(spark, str(tmp_path / "v")).count() == 2
+    assert {r.session_id for r in ingest.pending_of(store, "m").collect()} == {"a"}
+    assert ingest.embed_pending(store, V.hash_embedder(), "m") == 2 and ingest.pending_of(store, "m").count() == 0
+    assert ingest.update_graph(store) > 0 and store.read("nodes").where("type = 'session'").count() == 2
+    assert vault.run_hook("/no/such/script", {}) is False and vault.run_hook("/bin/sleep", {}) is False
+
+
+def test_reindex_takes_up_vault_files(spark, tmp_path, logs):
+    one, two = Store(spark, str(tmp_path / "one")), Store(spark, str(tmp_path / "two"))
+    rules = ingest.Rules(vault=str(tmp_path / "v"))
+    ingest.ingest_batch(one, logs(("a", 2), ("b", 3)), rules)
+    assert ingest.reindex(two, rules.vault) == 2 and ingest.reindex(two, rules.vault) == 0
+    assert sorted((r.id, r.turn_count) for r in ingest.sessions_of(two).collect()) == [("a", 2), ("b", 3)]
+    assert ingest.turns_of(two).count() == 5
+    (md,) = (tmp_path / "v").rglob("*_a.md")
+    md.write_text(md.read_text().replace("turns: 2", "turns: 7\narchived: true"))
+    assert ingest.reindex(two, rules.vault) == 1
+    assert {(r.id, r.turn_count, r.is_archived) for r in ingest.sessions_of(two).collect()} == {("a", 7, True), ("b", 3, False)}
+
+
+def test_transactions_conflict_only_where_they_must(spark, tmp_path):
+    store, row = Store(spark, str(tmp_path / "s")), spark.createDataFrame([(1,)], "x int")
+    store.write("t", row)
+    with store.transaction() as a, store.transaction() as b:
+        a.append("t", row), b.append("t", row)
+    assert store.read("t").count() == 3
+    late = store.transaction()
+    late.replace("t", row)
+    store.append("t", row)
+    with pytest.raises(Conflict):
+        late.commit()
+    store.append("t", spark.createDataFrame([(2, "new")], "x int, y string"))
+    assert store.read("t").columns == ["x", "y"] and store.read("t").count() == 5
+    store.append("e", row.limit(0))
+    assert store.read("e").count() == 0 and not store.exists("none")

@@ -1,4 +1,4 @@
-"""The text queries without SQL give what a loop over whole texts gives."""
+"""Text queries that also have SQL give what a loop over whole texts gives."""
 
 import re
 
@@ -18,7 +18,7 @@ def tags(text):
     return ",".join(sorted({t for t in shown if t}))
 
 
-@pytest.mark.parametrize(("name", "brute"), [("f14_wiki_safe_whole", wiki), ("f16_tag_list_whole", tags)])
+@pytest.mark.parametrize(("name", "brute"), [("f14_wiki_safe", wiki), ("f16_tag_list", tags)])
 def test_whole_text(spark, tmp_path, name, brute):
     texts = [TEXT, TEXT[:60], "short one", "", " !? ", "tail at\nline two " * 30 + "END"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")

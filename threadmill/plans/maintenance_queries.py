@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadmill.operators import filters as P
 from threadmill.operators import maintenance as M
 from threadmill.operators import reports as R
-from threadmill.plans.tables import SESSIONS_SQL, sessions, table, turns
+from threadmill.plans.tables import SESSIONS_SQL, bytes_sql, sessions, table, turns
 
 C = F.col
 
@@ -69,7 +69,7 @@ def m09_migrate(spark: SparkSession, sf: str) -> DataFrame:
 
 def s26_text(spark: SparkSession, sf: str) -> DataFrame:
     t = turns(spark, sf)
-    return M.as_text(t.select("session_id", "turn_index", (1 / (1.1 + C("turn_index"))).alias("score"), F.substring("content", 1, 30).alias("snippet")))
+    return M.as_text(t.select("session_id", "turn_index", (1 / (1.1 + C("turn_index"))).alias("score"), C("content").alias("snippet")))
 
 
 def r03_project_prompts(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,7 +86,7 @@ def _q(f, sql: str):  # noqa: ANN001, ANN202
 
 ACTION = "case when lang = 'de' then 'delete' when quality = 1 and toxic = 0 then 'skip' else 'embed' end"
 RES = "res as (select id, conv_id, semantic_extracted_at, case when conv_id % 4 = 0 then 'failed' when conv_id % 5 = 0 then 'skipped' else 'ok' end as outcome from sessions)"
-PREFIX = "b as (select *, coalesce(sum(least(length(content), 1000)) over (partition by session_id order by turn_index rows between unbounded preceding and 1 preceding), 0) as before from turns), pr as (select session_id, string_agg('[' || role || '] ' || left(content, 1000), chr(10) order by turn_index) as prompt from b where before <= 3000 group by 1)"
+PREFIX = "b as (select *, coalesce(sum(strlen(" + bytes_sql("content", 1000) + ")) over (partition by session_id order by turn_index rows between unbounded preceding and 1 preceding), 0) as before from turns), pr as (select session_id, string_agg('[' || role || '] ' || " + bytes_sql("content", 1000) + ", chr(10) order by turn_index) as prompt from b where before <= 3000 group by 1)"
 S_ = "with " + SESSIONS_SQL
 QUERIES = dict([
     _q(m08_wiki_vectors, f"select 'p/' || doc_id as path, {ACTION} as action from documents left join labels using (doc_id) where lang != 'de' or quality is not null"),
@@ -97,7 +97,7 @@ QUERIES = dict([
     _q(p09_local_since, S_ + " select id from sessions where start_time >= timestamp '2024-01-01 15:00'"),
     _q(p14_embeddable, "select cast(conv_id as varchar) as session_id, turn::int as turn_index from conversations where (turn % 3 != 0 and coalesce(text, '') != '') or turn % 2 = 0"),
     _q(m09_migrate, S_ + " select id, is_archived, 'interactive' as session_type, 'raw' as status, false as is_favorite, null::bigint as source_size from sessions"),
-    _q(s26_text, r"select printf('%.2f', 1.0 / (1.1 + turn)) || '  ' || conv_id || ':' || turn || '  ' || regexp_replace(left(text, 30), '\s+', ' ', 'g') as line from conversations"),
+    _q(s26_text, r"select printf('%.2f', 1.0 / (1.1 + turn)) || '  ' || conv_id || ':' || turn || '  ' || regexp_replace(text, '\s+', ' ', 'g') as line from conversations"),
     _q(r03_project_prompts, S_ + f", {PREFIX} select project as id, sha256(string_agg('### ' || left(coalesce(summary, ''), 200) || chr(10) || left(coalesce(prompt, ''), 3000), chr(10) || chr(10) order by start_time, id)) as sha from sessions left join pr on session_id = id where project is not null and start_time >= '2024-01-01 03:00' group by 1"),
     _q(r12_page_count, "select source as category, count(*) as n from documents group by 1"),
 ])

@@ -12,8 +12,10 @@ from threadmill.functions import markdown
 from threadmill.functions import text as X
 from threadmill.model import ListFilter, SearchFilters
 from threadmill.operators import filters as P
+from threadmill.operators import bm25
+from threadmill.operators import lint as N
 from threadmill.operators import sessions as S
-from threadmill.plans.tables import SESSIONS_SQL, TURNS_SQL, VECTORS_SQL, sessions, table, turns, vectors
+from threadmill.plans.tables import SESSIONS_SQL, TURNS_SQL, VECTORS_SQL, bytes_sql, sessions, table, turns, vectors
 
 C = F.col
 NOW = datetime(2024, 1, 5, 12)
@@ -111,16 +113,17 @@ def j03_first_user(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j04_anti_missing(spark: SparkSession, sf: str) -> DataFrame:
-    return turns(spark, sf).join(vectors(spark, sf), ["session_id", "turn_index"], "left_anti").select("session_id").distinct()
+    return N.missing_embeddings(turns(spark, sf), vectors(spark, sf)).select("session_id")
 
 
 def j05_anti_orphan(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors(spark, sf).join(sessions(spark, sf).select(C("id").alias("session_id")), "session_id", "left_anti").select("vec_id", "session_id")
+    """Vectors whose session isn't among those of three agents."""
+    return N.orphan_vectors(vectors(spark, sf), sessions(spark, sf).where("conv_id % 4 != 2")).select("session_id", "detail")
 
 
 def j06_semi_pair(spark: SparkSession, sf: str) -> DataFrame:
     wanted = vectors(spark, sf).select("session_id", "turn_index")
-    return turns(spark, sf).join(wanted, ["session_id", "turn_index"], "left_semi").select("session_id", "turn_index", F.substring("content", 1, 60).alias("snippet"))
+    return turns(spark, sf).join(wanted, ["session_id", "turn_index"], "left_semi").select("session_id", "turn_index", "content")
 
 
 def j08_full_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,11 +133,9 @@ def j08_full_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j14_prefix_anti(spark: SparkSession, sf: str) -> DataFrame:
-    """Files whose id, of 8 characters at most, starts no session's id: prefixes of every length are
-    made, so that the join is an equality."""
-    files = table(spark, sf, "events").select((C("user_id") + 40).cast("string").alias("file_id")).distinct()
-    ids = sessions(spark, sf).select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("id"), F.lit(8))), lambda n: F.substring(C("id"), F.lit(1), n))).alias("file_id"))
-    return files.join(ids, "file_id", "left_anti")
+    """Files whose id, of 8 characters at most, starts no session's id."""
+    files = table(spark, sf, "events").select((C("user_id") + 40).cast("string").alias("file_id")).distinct().withColumn("path", C("file_id"))
+    return N.orphan_files(files, sessions(spark, sf)).select(C("session_id").alias("file_id"))
 
 
 def j17_tool_results(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,8 +197,8 @@ def a15_session_agg(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a17_max_norm(spark: SparkSession, sf: str) -> DataFrame:
-    top = F.max("l_extendedprice").over(Window.partitionBy("l_suppkey"))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.when(top > 0, C("l_extendedprice") / top).otherwise(C("l_extendedprice")), 9).alias("score"))
+    scored = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", C("l_extendedprice").alias("score"))
+    return bm25.normalize(scored, by="l_suppkey").select("l_orderkey", "l_linenumber", F.round("score", 9).alias("score"))
 
 
 def w02_diversify(spark: SparkSession, sf: str) -> DataFrame:
@@ -330,8 +331,8 @@ QUERIES = dict([
     _q(j02_left_latest, S_ + "select event_id, cast(user_id as varchar) as id, coalesce(agent, 'unknown') as agent, ts from events left join sessions on id = cast(user_id as varchar) order by ts desc, event_id limit 5"),
     _q(j03_first_user, S_ + "select id, arg_min(content, turn_index) filter (role = 'user') as content, min(turn_index) filter (role = 'user') as turn_index from sessions left join turns on id = session_id group by id"),
     _q(j04_anti_missing, TV + "select distinct session_id from turns t where not exists (select 1 from vectors v where v.session_id = t.session_id and v.turn_index = t.turn_index)"),
-    _q(j05_anti_orphan, SV + "select vec_id, session_id from vectors where session_id not in (select id from sessions)"),
-    _q(j06_semi_pair, TV + "select session_id, turn_index, left(content, 60) as snippet from turns where (session_id, turn_index) in (select session_id, turn_index from vectors)"),
+    _q(j05_anti_orphan, SV + "select session_id, count(*) || ' vectors' as detail from vectors where session_id not in (select id from sessions where conv_id % 4 != 2) group by 1"),
+    _q(j06_semi_pair, TV + "select session_id, turn_index, content from turns where (session_id, turn_index) in (select session_id, turn_index from vectors)"),
     _q(j08_full_merge, TV + "select session_id, turn_index, left_score, right_score from (select session_id, turn_index, length(content)::int as left_score from turns) full join (select session_id, turn_index, vec_id as right_score from vectors) using (session_id, turn_index)"),
     _q(j14_prefix_anti, S_ + "select distinct cast(user_id + 40 as varchar) as file_id from events where not exists (select 1 from sessions where starts_with(id, cast(user_id + 40 as varchar)))"),
     _q(j17_tool_results, "select u.event_id as tool_use_id, u.event_type, r.value as output from events u left join (select event_id * 2 as k, value from events) r on r.k = u.event_id"),
@@ -352,7 +353,7 @@ QUERIES = dict([
     _q(w06_ffill, T_ + "select session_id, turn_index, last_value(case when turn_index % 3 = 0 then role end ignore nulls) over (partition by session_id order by turn_index rows unbounded preceding) as role from turns"),
     _q(w07_merge_islands, "with r as (select *, sum(case when lag is not distinct from event_type then 0 else 1 end) over (partition by user_id order by event_id) as run from (select *, lag(event_type) over (partition by user_id order by event_id) as lag from events)) select user_id as session_id, min(event_id) as event_id, min(event_type) as msg, string_agg('v', chr(10) || chr(10)) as merged, count(*) as n from r group by user_id, run"),
     _q(w09_budget, T_ + "select session_id, turn_index, used::bigint as used from (select *, sum(length(content)) over (partition by session_id order by turn_index desc) as used from turns) where used <= 1500"),
-    _q(w10_prefix_budget, T_ + "select session_id, turn_index, before::bigint as before, length(left(content, 1000))::int as n from (select *, coalesce(sum(least(length(content), 1000)) over (partition by session_id order by turn_index rows between unbounded preceding and 1 preceding), 0) as before from turns) where before <= 3000"),
+    _q(w10_prefix_budget, T_ + "select session_id, turn_index, before::bigint as before, length(" + bytes_sql("content", 1000) + ")::int as n from (select *, coalesce(sum(strlen(" + bytes_sql("content", 1000) + ")) over (partition by session_id order by turn_index rows between unbounded preceding and 1 preceding), 0) as before from turns) where before <= 3000"),
     _q(c01_classify, S_ + ", f as (select session_id, arg_min(content, turn_index) as c from turns where role = 'user' group by 1) select id, session_type as old, case when coalesce(regexp_matches(c, '^The|^Nicht'), false) then 'wiki' when project = 'proj3' then 'third' when coalesce(regexp_matches(c, '(?i)thes'), false) then 'long' else 'interactive' end as new from sessions left join f on id = session_id"),
     _q(r05_detail, S_ + ", g as (select session_id, count(*) filter (role = 'user') as user_turns, count(*) filter (role = 'assistant') as assistant_turns, count(*) filter (role = 'system') as system_turns, string_agg('## ' || role || chr(10) || content, chr(10) || chr(10) order by turn_index) as content from turns group by 1) select id, agent, user_turns, assistant_turns, system_turns, content from sessions left join g on id = session_id"),
     _q(r06_with_turns, T_ + "select session_id as id, string_agg(turn_index || role, ',' order by turn_index) as turns from turns group by 1"),
