@@ -15,7 +15,8 @@ from threadmill.model import SearchFilters
 from threadmill.operators.filters import search_predicate
 
 K1, B = 1.2, 0.75
-BUCKETS = 256
+BUCKETS = 32  # few enough to be listed without a job of its own; sorted files do the rest
+_buckets: dict[str, int] = {}
 
 
 @dataclass
@@ -67,8 +68,13 @@ def load(spark: SparkSession, path: str, keys: tuple[str, ...] = ("session_id",
 
 def _only(table: DataFrame, terms: list[str]) -> DataFrame:
     if "bucket" in table.columns:
-        own = table.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("term"))
-        table = table.where(F.col("bucket").isin([r[0] for r in own.select(_bucket(F.col("term"))).collect()]))  # one number for each query term
+        new = [t for t in terms if t not in _buckets]
+        if new:
+            if len(_buckets) > 100_000:
+                _buckets.clear()
+            own = table.sparkSession.sql("select 1").select(F.explode(F.array(*map(F.lit, new))).alias("term"))
+            _buckets.update({r["term"]: r["b"] for r in own.select("term", _bucket(F.col("term")).alias("b")).collect()})  # one number for each query term
+        table = table.where(F.col("bucket").isin(sorted({_buckets[t] for t in terms})))
     return table.where(F.col("term").isin(terms))
 
 
@@ -103,8 +109,9 @@ def normalize(scored: DataFrame, column: str = "score", by: str | None = None, b
     return with_top.withColumn(column, F.when(F.col("__top") > 0, F.col(column) / F.col("__top")).otherwise(F.col(column))).drop("__top")
 
 
-def search(index: Index, turns: DataFrame, sessions: DataFrame, query: str, limit: int = 10, filters: SearchFilters | None = None, mode: str = "and") -> DataFrame:
-    """The best `limit` turns: filters before the cut, statistics from the whole index."""
+def search(index: Index, turns: DataFrame, sessions: DataFrame, query: str, limit: int = 10, filters: SearchFilters | None = None, mode: str = "and", snippets: bool = True) -> DataFrame:
+    """The best `limit` turns: filters before the cut, statistics from the whole index. Without
+    `snippets` the turns aren't read."""
     terms = X.query_terms(turns.sparkSession, query)
     keys = list(index.keys)
     filters = filters or SearchFilters()
@@ -112,6 +119,8 @@ def search(index: Index, turns: DataFrame, sessions: DataFrame, query: str, limi
         return turns.select(*keys, F.lit(0.0).alias("score"), F.lit("").alias("snippet")).limit(0)
     found = scores(index, terms, mode).join(search_predicate(sessions, filters).select(F.col("id").alias("session_id")), "session_id", "left_semi")
     best = found.orderBy(F.desc("score"), *keys).limit(limit)
+    if not snippets:
+        return normalize(best, bound=limit)
     shown = turns.select(*keys, X.snippet(F.col("content"), F.lit(query)).alias("snippet"))
     return normalize(shown.join(F.broadcast(best), keys), bound=limit)  # at most `limit` rows
 

@@ -58,7 +58,7 @@ def diversify(scored: DataFrame, per_session: int = 2, score: str = "score") ->
 def hybrid(index: bm25.Index, turns: DataFrame, sessions: DataFrame, stored: DataFrame, query: str, vector: list[float] | None, limit: int = 10, filters: SearchFilters | None = None, mode: str = "and") -> DataFrame:
     """Both searches for 3 x limit candidates, fused; one alone isn't fused. Then diversity and the cut."""
     filters = filters or SearchFilters()
-    words = bm25.search(index, turns, sessions, query, 3 * limit, filters, mode).select(*KEYS, "score") if query else None
+    words = bm25.search(index, turns, sessions, query, 3 * limit, filters, mode, False).select(*KEYS, "score") if query else None
     near = vectors.search(stored, turns, sessions, vector, 3 * limit, filters).select(*KEYS, "score") if vector is not None else None
     if words is not None and near is not None:
         found = with_penalty(rrf({"bm25": words, "vector": near}, bound=3 * limit), sessions, 6 * limit)
@@ -74,7 +74,7 @@ def recall(items: list[QueryItem], index: bm25.Index, turns: DataFrame, sessions
     lists: dict[str, list[DataFrame]] = {"bm25": [], "vector": []}
     for i in items:
         if i.kind in ("keyword", "hybrid") and i.text:
-            lists["bm25"].append(bm25.search(index, turns, sessions, i.text, 3 * limit, filters, mode).select(*KEYS, "score"))
+            lists["bm25"].append(bm25.search(index, turns, sessions, i.text, 3 * limit, filters, mode, False).select(*KEYS, "score"))
         if i.kind in ("semantic", "hybrid") and i.vector is not None:
             lists["vector"].append(vectors.search(stored, turns, sessions, i.vector, 3 * limit, filters).select(*KEYS, "score"))
     joined = {}
