@@ -13,9 +13,14 @@ Pipeline. (1) Documents of equal multisets are collapsed to one. (2) Signatures
 cut into 20 bands of 4. (3) In each bucket all members are paired with the least one and verified by
 the exact multiset overlap. (4) Verified pairs make connected components. (5) Members of a bucket that
 are in different components yet are paired too, unless their distances to the least one differ by more
-than 1 - threshold, in which case they can't be similar (Jaccard distance is a metric). So every pair
-that shares a bucket is verified, is connected already, or is ruled out, without a cap; a bucket of n
-copies costs n pairs, not n^2. (6) Components are formed again.
+than 1 - threshold (Jaccard distance is a metric) or their sizes by more than the threshold allows, in
+which cases they can't be similar. So every pair that shares a bucket is verified, is connected already,
+or is ruled out, without a cap; a bucket of n copies costs n pairs, not n^2. (6) Components are formed
+again.
+
+What is asked of a bucket (its least member, its size, its components) is aggregated before it is
+shuffled and joined back, so no task holds a bucket, however many rows share it; Spark splits the larger
+side of a skewed join.
 
 Signatures travel with the place of their row (file and row number). The texts of candidates, and at
 the end the rows that stay, are picked in a map over the files by lists of places that lie in the
@@ -30,7 +35,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import FILE, GOLD, ROW, U64, Scratch, at_places, fmix, list_array, located, materialize, numbered, only, shingles, slices, word_hashes, write_places
 
@@ -113,8 +117,8 @@ _NODE = "struct<z:boolean,i:bigint,h:bigint>"
 
 
 def _sketch(docs: DataFrame, k: int, order: list[str]) -> DataFrame:
-    """(n, o, FILE, ROW, e1, e2, bands) for rows that have words; o is a hash of the columns `order`,
-    and e1 and e2 are equal for equal multisets."""
+    """(n, o, FILE, ROW, e1, e2, w, bands) for rows that have words; o is a hash of the columns `order`,
+    e1 and e2 are equal for equal multisets, and w is the multiset's size."""
     carried = ["n", "o", FILE, ROW]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,12 +134,12 @@ def _sketch(docs: DataFrame, k: int, order: list[str]) -> DataFrame:
                 have = np.flatnonzero(np.bincount(doc, minlength=n))
                 b = bands_of(signatures(doc, element, count, n))[have]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(pa.array(have)) for c in carried), pa.array(e[0][have].view(np.int64)), pa.array(e[1][have].view(np.int64)), list_array(b.reshape(-1).view(np.int64), np.arange(len(have) + 1) * BANDS, pa.int64())],
-                    [*carried, "e1", "e2", "bands"],
+                    [*(part.column(c).take(pa.array(have)) for c in carried), pa.array(e[0][have].view(np.int64)), pa.array(e[1][have].view(np.int64)), pa.array(np.bincount(doc, weights=count, minlength=n)[have].astype(np.int64)), list_array(b.reshape(-1).view(np.int64), np.arange(len(have) + 1) * BANDS, pa.int64())],
+                    [*carried, "e1", "e2", "w", "bands"],
                 )
 
     own = docs.where(F.col("text").isNotNull()).select(_node().alias("n"), F.xxhash64(*order).alias("o"), FILE, ROW, "text")
-    return own.mapInArrow(run, f"n {_NODE}, o bigint, {FILE} bigint, {ROW} bigint, e1 bigint, e2 bigint, bands array<bigint>")
+    return own.mapInArrow(run, f"n {_NODE}, o bigint, {FILE} bigint, {ROW} bigint, e1 bigint, e2 bigint, w bigint, bands array<bigint>")
 
 
 def overlap(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], n: int) -> np.ndarray:
@@ -191,28 +195,28 @@ def _grouped(docs: DataFrame, threshold: float, k: int, order: list[str], scratc
     represented by one row, and a candidate is known by the place of that row."""
     sketch = scratch.table(_sketch(docs, k, order), "sketch")
     first_row = F.struct("n", FILE, ROW)
-    reps = sketch.groupBy("e1", "e2").agg(F.min(first_row).alias("y"), F.min_by("bands", first_row).alias("bands"), F.count("*").alias("total"))
-    reps = scratch.table(reps.select("e1", "e2", "y.n", F.struct(F.col(f"y.{FILE}").alias("f"), F.col(f"y.{ROW}").alias("r")).alias("x"), "bands", "total"), "reps")
-    w = Window.partitionBy("key")
+    reps = sketch.groupBy("e1", "e2").agg(F.min(first_row).alias("y"), F.min_by("bands", first_row).alias("bands"), F.min("w").alias("w"), F.count("*").alias("total"))
+    reps = scratch.table(reps.select("e1", "e2", "y.n", F.struct(F.col(f"y.{FILE}").alias("f"), F.col(f"y.{ROW}").alias("r")).alias("x"), "w", "bands", "total"), "reps")
     # three numbers a band travel: the key, which has the band's number in it, and the place
-    cell = reps.select(F.col("x.f").alias("f"), F.col("x.r").alias("r"), F.explode("bands").alias("key")).repartition("key")
-    cell = cell.select("key", F.struct("f", "r").alias("x")).withColumn("low", F.min("x").over(w)).withColumn("size", F.count("*").over(w))
-    cell = scratch.table(cell.where("size > 1").drop("size"), "cells")
+    band = reps.select(F.explode("bands").alias("key"), "x")
+    several = band.groupBy("key").agg(F.min("x").alias("low"), F.count("*").alias("size")).where("size > 1").select("key", "low")
+    cell = scratch.table(band.join(several, "key"), "cells")
     wanted = write_places(cell.select(F.col("x.f").alias(FILE), F.col("x.r").alias(ROW)).distinct(), scratch.path("wanted"))
     texts = scratch.table(at_places(docs.select(_place().alias("x"), "text", FILE, ROW), wanted, ["x", "text"], keep=True), "texts")
     stars = cell.where("low != x").select(F.col("low").alias("a"), F.col("x").alias("b")).distinct()
     checked = scratch.table(_verify(stars, texts, k), "checked")
     first = components(checked.where(F.col("j") >= threshold), scratch)
     # members of a bucket that aren't connected yet
-    placed = cell.join(first, "x", "left").select("key", "low", "x", F.coalesce("c", "x").alias("c"))
-    mixed = placed.withColumn("c0", F.min("c").over(w)).withColumn("c1", F.max("c").over(w)).where("c0 != c1").drop("c0", "c1")
+    placed = scratch.table(cell.join(first, "x", "left").select("key", "low", "x", F.coalesce("c", "x").alias("c")), "placed")
+    split = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("key")
     away = checked.select(F.col("a").alias("low"), F.col("b").alias("x"), (1 - F.col("j")).alias("d"))
-    mixed = scratch.table(mixed.join(away, ["low", "x"], "left").select("key", "low", "x", "c", F.coalesce("d", F.lit(0.0)).alias("d")), "mixed")
+    mixed = placed.join(split, "key", "left_semi").where("low != x").join(away, ["low", "x"], "left").join(reps.select("x", "w"), "x")
+    mixed = scratch.table(mixed.select("key", "low", "x", "c", "w", F.coalesce("d", F.lit(0.0)).alias("d")), "mixed")
     rest = (
         mixed.alias("p")
         .join(mixed.alias("q"), F.col("p.key") == F.col("q.key"))
-        .where("p.x < q.x and p.c != q.c and p.x != p.low and q.x != q.low")
-        .where(F.abs(F.col("p.d") - F.col("q.d")) <= 1 - threshold + 1e-9)
+        .where("p.x < q.x and p.c != q.c")
+        .where((F.abs(F.col("p.d") - F.col("q.d")) <= 1 - threshold + 1e-9) & (F.least("p.w", "q.w") >= threshold * F.greatest("p.w", "q.w") - 1e-9))
         .select(F.col("p.x").alias("a"), F.col("q.x").alias("b"))
         .distinct()
     )
@@ -255,7 +259,9 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int =
     columns, docs = docs.columns, located(docs)
     sketch, found = _grouped(docs, threshold, k, columns, scratch)
     copies = sketch.select("n", "o", FILE, ROW).join(found.where("n != g or rows > 1"), "n")
-    nth = F.row_number().over(Window.partitionBy("n").orderBy("o", FILE, ROW))
-    gone = write_places(copies.withColumn("nth", nth).where("n != g or nth > 1"), Scratch(scratch.spark).later().path("gone"))
+    copies = scratch.table(copies.select("n", "g", F.struct("o", FILE, ROW).alias("p")), "copies")
+    first = copies.groupBy("n").agg(F.min("p").alias("first"))
+    late = copies.join(first, "n").where("n != g or p != first").select("p.*")
+    gone = write_places(late, Scratch(scratch.spark).later().path("gone"))
     scratch.clear()
     return at_places(docs, gone, columns, keep=False).toDF(*names)
