@@ -72,3 +72,13 @@ def test_table(spark, documents, odd, empty):
     assert P.pack_windows(empty).count() == 0
     with pytest.raises(ValueError):
         P.pack_windows(documents, capacity=0)
+
+
+def test_repeated_rows_are_spread_over_the_shards(spark):
+    df = spark.range(20_000).selectExpr("7 as doc_id", "'one two three' as text").unionByName(spark.createDataFrame([(8, "a b"), (7, "one two three four")], "doc_id bigint, text string"))
+    got = P.pack_windows(df, capacity=50, shard_tokens=3000).toPandas()
+    shards = got.window_id.str.split("-").str[0]
+    assert got.n_tokens.sum() == 60_006 and got.groupby("window_id").n_tokens.sum().max() <= 50
+    assert shards.nunique() == 20 and shards.value_counts().max() < 1100
+    few = P.pack_windows(df, capacity=50).toPandas()  # one shard
+    assert few.n_tokens.sum() == 60_006 and few.window_id.str.startswith("0-").all()
