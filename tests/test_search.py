@@ -45,6 +45,17 @@ def test_saved_index_reads_its_buckets(spark, small, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", bm25.hits(j, ["apple"])._jdf.queryExecution().toString())
 
 
+def test_terms_are_counted_without_a_shuffle_where_keys_are_unique(spark, small, tmp_path):
+    turns = small[0].union(spark.createDataFrame([("d", 0, ""), ("d", 1, None), ("d", 2, "b! bb BB bb aa"), (None, 3, "zz zz")], small[0].schema))
+    apart, one = bm25.build(turns), bm25.build(turns, unique=True)
+    assert not bm25.keys_repeat(turns) and bm25.keys_repeat(turns.union(turns.limit(1)))
+    assert one.postings.schema.simpleString() == apart.postings.schema.simpleString()
+    assert sorted(map(str, one.postings.collect())) == sorted(map(str, apart.postings.collect())) and one.docs.count() == 8
+    assert "Exchange" not in one.postings._jdf.queryExecution().toString()
+    bm25.save(one, str(tmp_path / "i"))
+    assert sorted(map(str, bm25.scores(bm25.load(spark, str(tmp_path / "i")), ["bb", "apple"], "or").collect())) == sorted(map(str, bm25.scores(apart, ["bb", "apple"], "or").collect()))
+
+
 def test_cosine_edge_cases(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([1.0, 0.0], [2.0, 0.0]), ([1.0], [1.0, 2.0]), ([], []), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(V.cosine_distance(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 1.0, 1.0, 1.0]

@@ -31,25 +31,45 @@ class Index:
     stats: DataFrame | None = None
 
 
-def build(turns: DataFrame, keys: tuple[str, ...] = ("session_id", "turn_index"), text: Column | None = None, tokenizer: Callable[[Column], Column] = X.tokens) -> Index:
-    """One shuffle, on the document's key and term, with counts combined before it. The text is the
-    content with its tool calls, unless another is given."""
+def build(turns: DataFrame, keys: tuple[str, ...] = ("session_id", "turn_index"), text: Column | None = None, tokenizer: Callable[[Column], Column] = X.tokens, unique: bool = False) -> Index:
+    """One shuffle, on the document's key and term, with counts combined before it; none with `unique`,
+    which says that no two turns have the same key, so that terms are counted where their turn is. The text
+    is the content with its tool calls, unless another is given."""
     words = turns.select(*keys, tokenizer(X.turn_text(turns.columns) if text is None else text).alias("words")).withColumn("dl", F.size("words"))
-    postings = words.select(*keys, "dl", F.explode("words").alias("term")).groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+    if unique:
+        postings = _counted(words, keys)
+    else:
+        postings = words.select(*keys, "dl", F.explode("words").alias("term")).groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
     return Index(postings, words.select(*keys, "dl"), keys)
 
 
+def _counted(words: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, dl, term, tf) row by row: words in order, the places where another begins, and the distance
+    from each to the next; in proportion to the text but for the sort."""
+    own = words.select(*keys, "dl", F.sort_array("words").alias("words"))
+    begins = F.transform("words", lambda x, i: F.when((i == 0) | (x != F.get("words", i - 1)), i))
+    own = own.withColumn("at", F.filter(begins, lambda i: i.isNotNull()))
+    count = lambda i, k: F.struct(F.get("words", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.col("dl")) - i).cast("bigint").alias("tf"))
+    return own.select(*keys, "dl", F.explode(F.transform("at", count)).alias("x")).select(*keys, "dl", "x.term", "x.tf")
+
+
+def keys_repeat(turns: DataFrame, keys: tuple[str, ...] = ("session_id", "turn_index")) -> bool:
+    """Whether two turns have the same key; only keys are read."""
+    return not turns.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).isEmpty()
+
+
 def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def save(index: Index, path: str) -> None:
     """Postings in buckets of the term's hash, sorted by term, so that a query reads its terms' row
-    groups of its terms' buckets only; ranges of terms and keys are tasks of their own, so a term that
-    all documents hold is written by several. Frequencies of terms lie in the same buckets; statistics
-    are one row for each part of the index."""
+    groups of its terms' buckets only. One shuffle, without a pass to look for ranges: a bucket that is too
+    large for a task is dealt to several, so a term that all documents hold is written by several, and small
+    buckets share a task. Frequencies of terms lie in the same buckets; statistics are one row for each part
+    of the index."""
     p = index.postings.withColumn("bucket", _bucket(F.col("term")))
-    p.repartitionByRange("bucket", "term", *index.keys).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    p.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
     _derive(index.docs.sparkSession, path, index.keys)
 
@@ -58,11 +78,11 @@ def _derive(spark: SparkSession, path: str, keys: tuple[str, ...]) -> None:
     stored = spark.read.parquet(f"{path}/postings")
     terms = stored.groupBy("bucket", "term").agg(F.count("*").alias("df"))
     terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/terms")
-    spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).write.mode("overwrite").parquet(f"{path}/stats")
+    spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n"), F.count("dl").alias("counted"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load(spark: SparkSession, path: str, keys: tuple[str, ...] = ("session_id", "turn_index")) -> Index:
-    stats = spark.read.parquet(f"{path}/stats").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
+    stats = spark.read.parquet(f"{path}/stats").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("counted")).alias("avgdl"))  # turns without content have no length
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), keys, spark.read.parquet(f"{path}/terms"), stats)
 
 

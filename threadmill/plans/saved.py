@@ -34,12 +34,16 @@ def stored_table(spark: SparkSession, sf_dir: str, name: str, make: Callable[[Sp
     return spark.read.parquet(_folder(spark, sf_dir, name, lambda path: make(spark, sf_dir).write.mode("overwrite").parquet(path)))
 
 
+def _save_index(turns: DataFrame, path: str) -> None:
+    bm25.save(bm25.build(turns, unique=not bm25.keys_repeat(turns)), path)
+
+
 def turn_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    return bm25.load(spark, _folder(spark, sf_dir, "turn_index", lambda path: bm25.save(bm25.build(tables.turns(spark, sf_dir)), path)))
+    return bm25.load(spark, _folder(spark, sf_dir, "turn_index", lambda path: _save_index(tables.turns(spark, sf_dir), path)))
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    return bm25.load(spark, _folder(spark, sf_dir, "document_index", lambda path: bm25.save(bm25.build(tables.documents_turns(spark, sf_dir)), path)))
+    return bm25.load(spark, _folder(spark, sf_dir, "document_index", lambda path: _save_index(tables.documents_turns(spark, sf_dir), path)))
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
