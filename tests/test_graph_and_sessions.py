@@ -35,6 +35,34 @@ def test_bfs_leaves_seeds_out_and_takes_the_least_hop(spark):
     assert "q" in {r.session_id for r in G.related_sessions(e, seeds, 2, via_hubs=True).collect()}
 
 
+def test_a_walk_neither_writes_the_edges_again_nor_shuffles_them(spark):
+    from threadmill.storage import hadoop, shared_dir
+
+    e = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select(F.concat(F.lit("session:"), "o_orderkey").alias("source"), F.concat(F.lit("project:"), "o_custkey").alias("target"), F.lit("r").alias("relation"))
+    fs, at = hadoop(spark, shared_dir(spark))
+    written = lambda: {f.getPath().getName() for f in fs.listStatus(at) if "-both-" in f.getPath().getName()}
+    before = written()
+    found = G.query(G.target_nodes(e), e, e.first().target, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert written() == before and found.count() > 0
+    assert "LeftSemi" in plan and "SortMergeJoin" not in [line.split("[")[0].split()[-1] for line in plan.splitlines() if "LeftSemi" in line]
+
+
+def test_graph_tables_are_made_distinct_as_numbers(spark, tmp_path):
+    from threadmill.plans import tables
+
+    spark.createDataFrame([(1, 7), (1, 7), (2, 7), (3, None), (None, 8)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, 5, 7), (1, 5, 9), (2, 5, 7), (2, None, 7), (None, 5, None), (None, 5, None)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    edges = tables.graph_edges(spark, str(tmp_path))
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(source" not in plan and plan.count("Exchange hashpartitioning") == 2
+    s = lambda k: None if k is None else f"session:{k}"
+    belongs = [(s(a), f"project:{b}" if b else None, "belongs_to") for a, b in ((1, 7), (2, 7), (3, None), (None, 8))]
+    used = [(s(1), "tool:5", "uses_tool"), (s(2), "tool:5", "uses_tool"), (s(2), None, "uses_tool"), (None, "tool:5", "uses_tool"), (s(1), "agent:7", "by_agent"), (s(1), "agent:9", "by_agent"), (s(2), "agent:7", "by_agent"), (None, None, "by_agent")]
+    assert sorted(map(str, map(tuple, edges.collect()))) == sorted(map(str, belongs + used))
+    assert sorted(map(str, tables.graph_nodes(spark, str(tmp_path)).collect())) == sorted(map(str, G.target_nodes(edges).collect()))
+
+
 def test_llm_answers(spark):
     ok = '{"edges":[{"relation":"fixes_bug","target_type":"issue","target_label":"1"},{"relation":"nope","target_type":"x","target_label":"y"},{"relation":"fixes_bug","target_type":"issue","target_label":""}]}'
     df = spark.createDataFrame([("a", ok), ("b", f"```json\n{ok}\n```"), ("c", "sorry"), ("d", None)], "session_id string, answer string")

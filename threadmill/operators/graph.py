@@ -190,15 +190,12 @@ def related_sessions(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: i
 
 def query(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 1, relation: str | None = None) -> DataFrame:
     """(node_id, relation, direction, type, label): the neighbours met within 1 to 3 hops, as often as
-    edges lead to them, the start among them; `relation` holds at every hop. Frontiers are found as in
-    related_sessions(); one join then gives the edges of them all."""
+    edges lead to them, the start among them; `relation` holds at every hop. A hop reads the edges and
+    writes what it reached, whose size Spark then knows: edges are shuffled only where a frontier is too
+    large to broadcast, and are never written again. One join then gives the edges of them all."""
     both = neighbors(edges if relation is None else edges.where(F.col("relation") == relation))
-    start = edges.sparkSession.createDataFrame([(node_id,)], "id string")
-    walk = seen = start
-    depth = min(HOPS, max(1, depth))
-    if depth > 1:
-        both = materialize(both, "both")
-    for _ in range(1, depth):
+    walk = seen = edges.sparkSession.range(1).select(F.lit(node_id).alias("id"))  # of a size that Spark knows, unlike local rows
+    for _ in range(1, min(HOPS, max(1, depth))):
         walk = both.join(walk, "id", "left_semi").select(F.col("other").alias("id")).distinct().join(seen, "id", "left_anti")
         walk = materialize(walk, "hop")
         seen = seen.union(walk)
