@@ -120,7 +120,7 @@ def g13_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 def g15_delete(spark: SparkSession, sf: str) -> DataFrame:
     e = graph_edges(spark, sf)
-    kept = G.delete_session(graph_nodes(spark, sf), G.delete_relations(e, "by_agent"), "1")[1]
+    kept = G.delete_session(G.target_nodes(e), G.delete_relations(e, "by_agent"), "1")[1]  # no node is made for the edges that stay
     return kept.groupBy("relation").agg(F.count("*").alias("n"))
 
 

@@ -31,7 +31,7 @@ def _folder(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], o
 
 
 def stored_table(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    return spark.read.parquet(_folder(spark, sf_dir, name, lambda path: make(spark, sf_dir).write.mode("overwrite").parquet(path)))
+    return spark.read.parquet(_folder(spark, sf_dir, name, lambda path: make(spark, sf_dir).write.mode("overwrite").option("compression", "zstd").parquet(path)))
 
 
 def _save_index(turns: DataFrame, path: str) -> None:
@@ -55,7 +55,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_table(spark, sf_dir, "graph_nodes", lambda s, d: G.target_nodes(graph_edges(s, d)))
+    return stored_table(spark, sf_dir, "graph_nodes", tables.graph_nodes)
 
 
 def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
