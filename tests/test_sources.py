@@ -305,3 +305,27 @@ def test_transactions_conflict_only_where_they_must(spark, tmp_path):
     assert store.read("t").columns == ["x", "y"] and store.read("t").count() == 5
     store.append("e", row.limit(0))
     assert store.read("e").count() == 0 and not store.exists("none")
+
+
+def test_sessions_of_many_files_share_a_frame():
+    import pandas as pd
+
+    file = lines({"type": "user", "timestamp": "2026-01-01T10:00:00Z", "sessionId": "a", "message": {"content": "hi"}})
+    files = pd.DataFrame({"path": [f"/h/.claude/projects/p/{i}.jsonl" for i in range(2 * T.TOGETHER + 1)], "content": [file] * (2 * T.TOGETHER) + [b"\xff"]})
+    found = list(T._frames(iter([files, files[:0], files[:3]])))
+    assert [len(f) for f in found] == [T.TOGETHER, T.TOGETHER, 1, 3] and list(pd.concat(found[:3])["path"]) == list(files["path"])
+    large = pd.DataFrame({"path": files["path"][:3], "content": [file + b"\n" * T.TOGETHER_BYTES] * 3})
+    assert [len(f) for f in T._frames(iter([large]))] == [1, 1, 1]
+
+
+def test_a_bucket_of_a_batch_is_one_file(spark, tmp_path, logs):
+    """Whatever the number of tasks that make the rows."""
+    store = Store(spark, str(tmp_path / "s"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ingest.ingest_batch(store, logs(*[(f"x{i}", 3) for i in range(40)]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for name in ("postings", "docs", "queue"):
+        assert len(list((tmp_path / "s" / name).rglob("*.parquet"))) == len(list((tmp_path / "s" / name).rglob("bucket=*"))) > 1
+    assert ingest.index_of(store).postings.count() == 40 * 3 * 2

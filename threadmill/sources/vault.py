@@ -25,11 +25,14 @@ def write(rendered: DataFrame, root: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = file_system(root)
+        made = set()
         for pdf in frames:
             sizes = []
             for path, text in zip(pdf["path"], pdf["markdown"], strict=True):
                 target = f"{base}/{path}"
-                fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                if (folder := target.rsplit("/", 1)[0]) not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
                 part = f"{target}.{uuid.uuid4().hex}.part"
                 with fs.open_output_stream(part) as f:
                     f.write(text.encode())

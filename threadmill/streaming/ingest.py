@@ -51,6 +51,12 @@ def _bucket(session_id: str) -> Column:
     return F.pmod(F.xxhash64(session_id), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    """Rows of a bucket together, so that the files of a batch are as many as buckets and not as buckets
+    times tasks; a bucket that is too large for a task is dealt to several."""
+    return rows.hint("rebalance", F.col("bucket"))
+
+
 def sessions_of(store: Store, buckets: list[int] | None = None) -> DataFrame:
     """The newest row of each session; of some buckets only, if they are given."""
     rows = store.read("sessions")
@@ -152,7 +158,7 @@ def ingest_batch(store: Store, files: DataFrame, rules: Rules | None = None, don
     added = turns.join(changed.select(F.col("id").alias("session_id"), F.when(anew, F.lit(0)).otherwise(F.col("stored")).alias("from"), "bucket", "session_type"), "session_id")
     added = scratch.table(added.where("turn_index >= from").drop("from"), "added")
     stamp = lambda df: df.withColumn("seq", F.lit(seq).cast("bigint"))
-    index = bm25.build(added, ("bucket", "session_id", "turn_index"))
+    index = bm25.build(added, ("bucket", "session_id", "turn_index"), unique=True)  # a session's turns are numbered
     queue = V.chunks(added.where(~F.coalesce(F.col("session_type").isin(*rules.skip_embedding), F.lit(False)))).withColumnRenamed("seq", "chunk").withColumn("bucket", _bucket("session_id"))
     if rules.vault is not None:
         vault.write(markdown.render(changed.select(*sessions.columns), turns), rules.vault).count()
@@ -162,9 +168,9 @@ def ingest_batch(store: Store, files: DataFrame, rules: Rules | None = None, don
     with store.transaction(token) as t:
         t.append("turns", stamp(added.drop("session_type")).repartition("bucket"), ("bucket",))
         t.append("sessions", rows.repartition("bucket"), ("bucket",))
-        t.append("postings", stamp(index.postings), ("bucket",))
-        t.append("docs", stamp(index.docs), ("bucket",))
-        t.append("queue", stamp(queue), ("bucket",))
+        t.append("postings", _by_bucket(stamp(index.postings)), ("bucket",))
+        t.append("docs", _by_bucket(stamp(index.docs)), ("bucket",))
+        t.append("queue", _by_bucket(stamp(queue)), ("bucket",))
         t.append("ingest_log", log.unionByName(left_out).withColumn("at", F.current_timestamp()))
     if done is not None:
         done(both.select("id", "action"))
