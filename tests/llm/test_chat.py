@@ -59,3 +59,17 @@ def test_other_columns_and_ids(spark):
     assert chat.format_chats(df).count() == 1
     with pytest.raises(ValueError):
         chat.format_chats(df.selectExpr("'a' as conv_id", "turn", "role", "text"))
+
+
+def test_a_batch_is_worked_on_in_pieces_of_bounded_bytes(monkeypatch):
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]))
+    turns = [[{"turn": k, "role": "user", "text": "x" * (i % 7 * 100)} for k in range(i % 4)] for i in range(200)] + [[{"turn": 0, "role": None, "text": None}, {"turn": 1, "role": "user", "text": "y" * 9000}]]
+    whole = pa.RecordBatch.from_arrays([pa.array(turns, kind)], ["turns"])
+    monkeypatch.setattr(chat, "PIECE", 4000)
+    for batch in (whole, whole.slice(13, 150), whole.slice(0, 0)):
+        pieces = list(chat._pieces(batch))
+        assert [t for p in pieces for t in p.column("turns").to_pylist()] == batch.column("turns").to_pylist()
+        weigh = [sum(len(t["text"] or "") + chat.TURN_BYTES for c in p.column("turns").to_pylist() for t in c) for p in pieces]
+        assert all(w <= 4000 or p.num_rows == 1 for w, p in zip(weigh, pieces)) and len(pieces) < 80

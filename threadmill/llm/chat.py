@@ -14,6 +14,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ IMAGE_SIDE = 448
 AUDIO_TOKENS_A_SECOND = 25
 PAGE_TOKENS = 512
 TURN_TOKENS = 2  # the markers around a turn
+PIECE, TURN_BYTES = 2 << 20, 100  # bytes of text worked on at once, and what a turn counts besides its text
 MAX_TOKENS = 1 << 31  # more tokens of one attachment count as so many
 SCHEMA = "conv_id bigint, prompt string, n_turns bigint, n_tokens bigint, n_attachments bigint, attachments string"
 
@@ -120,6 +122,19 @@ def render(turns: list[dict[str, Any]]) -> tuple[str, list[str], list[dict[str,
     return "".join(v.out), v.texts, v.attachments, min(sum(a["n_tokens"] for a in v.attachments) + TURN_TOKENS * len(turns), 1 << 62)
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in pieces of about PIECE bytes of text: Python's objects take many times the
+    room of Arrow's, and a batch has as many rows as Spark puts into it."""
+    turns = batch.column("turns")
+    sizes = pc.fill_null(pc.binary_length(pc.struct_field(turns.values, "text")), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(sizes.astype(np.int64) + TURN_BYTES)))[turns.offsets.to_numpy()]
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def with_parts(conversations: DataFrame) -> DataFrame:
     """`conversations` with typed parts made of its plain text by rule, to try the visitor on: turns of
     number 1 modulo 3 hold their text, an image and an audio clip; those of number 2 hold a document
@@ -148,7 +163,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     conversations = only(conversations, "conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for batch in batches for piece in _pieces(batch)):
             done = [render(t) for t in batch.column("turns").to_pylist()]
             texts = [x for d in done for x in d[1]]
             n = np.concatenate(([0], np.cumsum(token_counts(pa.array(texts, pa.large_string()))))) if texts else np.zeros(1, np.int64)
