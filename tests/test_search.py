@@ -1,4 +1,5 @@
 import math
+import os
 import re
 
 import pytest
@@ -8,6 +9,7 @@ from threadmill.functions import text as X
 from threadmill.model import SearchFilters
 from threadmill.operators import bm25, fusion
 from threadmill.operators import vectors as V
+from threadmill.plans import saved
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +58,39 @@ def test_terms_are_counted_without_a_shuffle_where_keys_are_unique(spark, small,
     assert sorted(map(str, bm25.scores(bm25.load(spark, str(tmp_path / "i")), ["bb", "apple"], "or").collect())) == sorted(map(str, bm25.scores(apart, ["bb", "apple"], "or").collect()))
 
 
+def test_postings_are_shuffled_by_turn_and_bucket(spark, tmp_path, monkeypatch):
+    """Keys go with a turn's words of a bucket, and a task's words are bounded, whatever the corpus."""
+    rows = [(f"s{i % 3}", i, " ".join(["the", "the"] + [f"w{i * j % 700}" for j in range(300)])) for i in range(40)]
+    rows += [("d", 0, ""), ("d", 1, None), (None, 3, "zz ZZ zz"), ("d", 4, "\u00e9\u00e9 \u65e5\u672c \u65e5\u672c a\x00b \U0001f600\U0001f600")]
+    turns = spark.createDataFrame(rows, "session_id string, turn_index int, content string")
+    apart, one = bm25.build(turns), bm25.build(turns, unique=True)
+    packed = bm25._packed(one.words, one.keys)
+    assert packed.count() <= 42 * bm25.BUCKETS < apart.postings.count() and max(r["count"] for r in packed.groupBy(*one.keys).count().collect()) <= bm25.BUCKETS
+    want = sorted(map(str, apart.postings.select("session_id", "turn_index", "dl", "term", "tf").collect()))
+    for words, tasks in ((2_000_000, 1), (1_000, 13), (100, 128)):  # buckets share a task, or have four each
+        monkeypatch.setattr(bm25, "TASK_WORDS", words)
+        own = bm25._shuffled(one.words, one.keys, 12_100)
+        assert own.rdd.getNumPartitions() == tasks
+        bm25.save(one, str(tmp_path / f"{words}"))
+        kept = bm25.load(spark, str(tmp_path / f"{words}"))
+        assert kept.postings.where(kept.postings["bucket"] != bm25._bucket(kept.postings["term"])).isEmpty()
+        assert sorted(map(str, kept.postings.select("session_id", "turn_index", "dl", "term", "tf").collect())) == want
+        assert sorted(map(str, bm25.scores(kept, ["the", "w0"]).collect())) == sorted(map(str, bm25.scores(apart, ["the", "w0"]).collect()))
+    common = bm25.hits(kept, ["the"])
+    assert common.select(F.input_file_name()).distinct().count() > 1  # a term that all hold is written by several
+
+
+def test_saved_tables_belong_to_their_folder(spark, tmp_path):
+    """Folders whose files have the same names, sizes and times don't share what is saved."""
+    states = set()
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "documents.parquet").write_text(name)
+        os.utime(tmp_path / name / "documents.parquet", (0, 0))
+        states |= {saved._state(spark, str(tmp_path / name)), saved._state(spark, f"file://{tmp_path / name}")}
+    assert len(states) == 2
+
+
 def test_cosine_edge_cases(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([1.0, 0.0], [2.0, 0.0]), ([1.0], [1.0, 2.0]), ([], []), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(V.cosine_distance(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 1.0, 1.0, 1.0]

@@ -16,19 +16,22 @@ from threadmill.operators.filters import search_predicate
 
 K1, B = 1.2, 0.75
 BUCKETS = 32  # few enough to be listed without a job of its own; sorted files do the rest
+TASK_WORDS = 2_000_000  # of a task that writes postings: some 250 MB while they are sorted
 _buckets: dict[str, int] = {}
 
 
 @dataclass
 class Index:
     """postings (keys, dl, term, tf); docs (keys, dl). Statistics are over all of docs. A saved index has
-    the terms' document frequencies (term, df) and the one-row statistics (n, avgdl) as well."""
+    the terms' document frequencies (term, df) and the one-row statistics (n, avgdl) as well. One that can be
+    saved in packed form has its words (keys, words, dl), none of which holds a space."""
 
     postings: DataFrame
     docs: DataFrame
     keys: tuple[str, ...] = ("session_id", "turn_index")
     terms: DataFrame | None = None
     stats: DataFrame | None = None
+    words: DataFrame | None = None
 
 
 def build(turns: DataFrame, keys: tuple[str, ...] = ("session_id", "turn_index"), text: Column | None = None, tokenizer: Callable[[Column], Column] = X.tokens, unique: bool = False) -> Index:
@@ -37,22 +40,47 @@ def build(turns: DataFrame, keys: tuple[str, ...] = ("session_id", "turn_index")
     is the content with its tool calls, unless another is given."""
     words = turns.select(*keys, tokenizer(X.turn_text(turns.columns) if text is None else text).alias("words")).withColumn("dl", F.size("words"))
     if unique:
-        postings = _counted(words, keys)
+        postings = _counted(words.select(*keys, "dl", F.sort_array("words").alias("words")), keys)
     else:
         postings = words.select(*keys, "dl", F.explode("words").alias("term")).groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
-    return Index(postings, words.select(*keys, "dl"), keys)
+    return Index(postings, words.select(*keys, "dl"), keys, words=words if unique and tokenizer is X.tokens else None)
+
+
+def _begins(of: Callable[[Column], Column]) -> Column:
+    """The places in the sorted words where of(word) is another than before."""
+    return F.filter(F.transform("words", lambda x, i: F.when((i == 0) | (of(x) != of(F.get("words", i - 1))), i)), lambda i: i.isNotNull())
 
 
 def _counted(words: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, dl, term, tf) row by row: words in order, the places where another begins, and the distance
-    from each to the next; in proportion to the text but for the sort."""
-    own = words.select(*keys, "dl", F.sort_array("words").alias("words"))
-    begins = F.transform("words", lambda x, i: F.when((i == 0) | (x != F.get("words", i - 1)), i))
-    own = own.withColumn("at", F.filter(begins, lambda i: i.isNotNull()))
-    count = lambda i, k: F.struct(F.get("words", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.col("dl")) - i).cast("bigint").alias("tf"))
+    """(keys, dl, term, tf) row by row of sorted words: the places where another begins, and the distance
+    from each to the next; in proportion to the text."""
+    own = words.withColumn("at", _begins(lambda x: x))
+    count = lambda i, k: F.struct(F.get("words", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("words")) - i).cast("bigint").alias("tf"))
     return own.select(*keys, "dl", F.explode(F.transform("at", count)).alias("x")).select(*keys, "dl", "x.term", "x.tf")
 
 
+def _packed(words: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, dl, pack): a row for each turn and bucket, with the turn's words of that bucket in order and
+    with repeats. A letter for the bucket stands before each word, so that one sort brings both in order."""
+    tagged = F.sort_array(F.transform("words", lambda w: F.concat(F.char(_bucket(w) + 64), w)))
+    own = words.select(*keys, "dl", tagged.alias("words")).withColumn("at", _begins(F.ascii))
+    pack = lambda i, k: F.array_join(F.slice("words", i + 1, F.coalesce(F.get("at", k + 1), F.size("words")) - i), " ")
+    return own.select(*keys, "dl", F.explode(F.transform("at", pack)).alias("pack"))
+
+
+def _shuffled(words: DataFrame, keys: tuple[str, ...], n_words: int) -> DataFrame:
+    """(keys, dl, term, tf, bucket) in tasks of a bucket or several, or of a part of one: keys and lengths go
+    with a turn's words of a bucket, not with each term, and tasks hold as many words whatever the corpus."""
+    tasks = max(1, -(-n_words // TASK_WORDS))
+    parts = -(-tasks // BUCKETS)
+    tasks = BUCKETS * parts if parts > 1 else tasks
+    bucket = F.ascii("pack") - 64
+    task = bucket * parts + F.pmod(F.xxhash64(*keys), F.lit(parts)) if parts > 1 else F.floor(bucket * tasks / BUCKETS)
+    dealt = _packed(words, keys).repartitionById(tasks, task.cast("int"))
+    counted = _counted(dealt.select(*keys, "dl", F.split("pack", " ").alias("words")), keys)
+    return counted.select(*keys, "dl", F.substring("term", F.lit(2), F.length("term")).alias("term"), "tf", (F.ascii("term") - 64).alias("bucket"))
+
+
 def keys_repeat(turns: DataFrame, keys: tuple[str, ...] = ("session_id", "turn_index")) -> bool:
     """Whether two turns have the same key; only keys are read."""
     return not turns.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).isEmpty()
@@ -68,17 +96,16 @@ def save(index: Index, path: str) -> None:
     large for a task is dealt to several, so a term that all documents hold is written by several, and small
     buckets share a task. Frequencies of terms lie in the same buckets; statistics are one row for each part
     of the index."""
-    p = index.postings.withColumn("bucket", _bucket(F.col("term")))
-    p.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    spark = index.docs.sparkSession
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    _derive(index.docs.sparkSession, path, index.keys)
-
-
-def _derive(spark: SparkSession, path: str, keys: tuple[str, ...]) -> None:
-    stored = spark.read.parquet(f"{path}/postings")
-    terms = stored.groupBy("bucket", "term").agg(F.count("*").alias("df"))
-    terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/terms")
     spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n"), F.count("dl").alias("counted"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).write.mode("overwrite").parquet(f"{path}/stats")
+    if index.words is not None:
+        p = _shuffled(index.words, index.keys, spark.read.parquet(f"{path}/stats").agg(F.sum("words")).first()[0])
+    else:
+        p = index.postings.withColumn("bucket", _bucket(F.col("term"))).hint("rebalance", F.col("bucket"))
+    p.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    terms = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"))
+    terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/terms")
 
 
 def load(spark: SparkSession, path: str, keys: tuple[str, ...] = ("session_id", "turn_index")) -> Index:

@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from threadmill.operators import ann, bm25
 from threadmill.operators import graph as G
 from threadmill.plans import tables
-from threadmill.storage import hadoop, shared_dir
+from threadmill.storage import hadoop, qualified, shared_dir
 
 _made: set[str] = set()
 
 
 def _state(spark: SparkSession, sf_dir: str) -> str:
-    """Changes when a table of the folder does."""
+    """Changes when a table of the folder does; another folder has another."""
     fs, at = hadoop(spark, sf_dir)
-    return hashlib.sha256(repr(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at))).encode()).hexdigest()[:16]
+    return hashlib.sha256(repr((qualified(spark, sf_dir), sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))).encode()).hexdigest()[:16]
 
 
 def _folder(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], object]) -> str:
